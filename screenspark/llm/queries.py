@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifiers
+from . import classifiers, decontaminate, packing, quotes, tokencounts
 from .common import fold, table
 
 
@@ -26,8 +26,35 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifiers.quality_rules(docs, labels)
 
 
+def tokenizer_file(name: str) -> str:
+    """Where this machine keeps a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op9_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_order(table(spark, sf_dir, "conversations"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
+    "op6_token_counts": op6_token_counts,
+    "op9_quotation": op9_quotation,
+    "op10_decontamination": op10_decontamination,
     "op4_quality": op4_quality,
     "op8_quality_rules": op8_quality_rules,
 }

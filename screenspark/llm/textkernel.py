@@ -180,3 +180,48 @@ def coverage(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, ends, -1)
     return np.cumsum(edge[:n]) > 0
+
+
+class HashIndex:
+    """Open-addressing map from 64-bit hashes to the order in which they were added."""
+
+    def __init__(self, bits: int = 20):
+        self.size, self.shift, self.n = 1 << bits, _U(64 - bits), 0
+        self.key = np.zeros(self.size, np.uint64)
+        self.value = np.full(self.size, -1, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the keys; -1 where absent."""
+        slot = self._slots(keys)
+        out = self.value[slot]
+        todo = np.flatnonzero((out >= 0) & (self.key[slot] != keys))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (self.size - 1)
+            out[todo] = self.value[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.key[slot[todo]] != keys[todo])]
+        return out
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Add distinct keys that are absent; their numbers."""
+        numbers = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.n += len(keys)
+        if 2 * self.n > self.size:
+            raise ValueError("the index is over half full")
+        slot, todo = self._slots(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.value[slot[todo]] < 0]
+            _, one = np.unique(slot[free], return_index=True)
+            placed = free[one]
+            self.key[slot[placed]], self.value[slot[placed]] = keys[placed], numbers[placed]
+            todo = todo[self.key[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + 1) & (self.size - 1)
+        return numbers
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    """The spans of a block as text; callers pass spans that are whole characters."""
+    raw = data.tobytes()
+    return [raw[s:e].decode("utf-8", "replace") for s, e in zip(start.tolist(), end.tolist(), strict=True)]
