@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifiers, decontaminate, packing, quotes, substring, tokencounts
+from . import classifiers, decontaminate, neardup, packing, quotes, substring, tokencounts
 from .common import fold, table
 
 
@@ -21,6 +21,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("doc_key")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return classifiers.quality_rules(docs, labels)
@@ -66,6 +70,7 @@ QUERIES = {
     "op9_quotation": op9_quotation,
     "op10_decontamination": op10_decontamination,
     "op4_quality": op4_quality,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_quality_rules": op8_quality_rules,
 }
 

@@ -42,7 +42,7 @@ def parse(messages: DataFrame) -> DataFrame:
     lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n")
     # An own line ends any paragraph that a quote interrupts.
     shown = F.transform("lines", lambda x: F.when(_level(x) > 0, "").otherwise(x))
-    clean = F.trim(F.regexp_replace(F.array_join(F.filter("lines", lambda x: _level(x) == 0), "\n"), r"\n{3,}", "\n\n"))
+    clean = F.btrim(F.regexp_replace(F.array_join(F.filter("lines", lambda x: _level(x) == 0), "\n"), r"\n{3,}", "\n\n"), F.lit(" \t\n"))
     runs = F.regexp_extract_all(F.array_join("lines", "\n"), F.lit(_RUN), F.lit(0))
     passages = F.flatten(
         F.transform(
