@@ -10,7 +10,6 @@ from . import registry as Q
 from .registry import over, query
 from .views import boxes, captions, truth
 
-A, B = G.box("a"), G.box("b")
 PAIR = "SELECT a.state_id, a.elem_id AS a_id, b.elem_id AS b_id"
 JOIN = "FROM boxes a JOIN boxes b ON a.state_id = b.state_id"
 
@@ -22,7 +21,7 @@ def pair_ids(df, *more):
 @query("iou_pairs", over(f"{PAIR}, round({Q.iou('a', 'b')}, 6) AS iou {JOIN} AND a.elem_id < b.elem_id WHERE {Q.iou('a', 'b')} > 0.3"))
 def iou_pairs(spark, sf):
     df = boxes(spark, sf)
-    return pair_ids(spatial.self_pairs(df, "state_id", lambda a, b: G.iou(a, b) > 0.3), F.round(G.iou(A, B), 6).alias("iou"))
+    return pair_ids(spatial.self_pairs(df, "state_id", lambda a, b: G.iou(a, b) > 0.3), F.round(G.iou(G.box("a"), G.box("b")), 6).alias("iou"))
 
 
 @query("containment_pairs", over(f"{PAIR} {JOIN} AND a.elem_id <> b.elem_id WHERE {Q.contained('a', 'b')} >= 0.8"))
@@ -61,12 +60,12 @@ _GAP = "greatest(greatest(0, b.x1-a.x2, a.x1-b.x2), greatest(0, b.y1-a.y2, a.y1-
 
 @query("edge_gap_pairs", over(f"{PAIR}, CASE WHEN {Q.inter('a', 'b')} > 0 THEN 0 ELSE {_GAP} END AS gap {JOIN} AND a.elem_id < b.elem_id WHERE {_GAP} <= 5"))
 def edge_gap_pairs(spark, sf):
-    return pair_ids(spatial.self_pairs(boxes(spark, sf), "state_id", lambda a, b: G.are_close(a, b, 5)), G.edge_gap(A, B).alias("gap"))
+    return pair_ids(spatial.self_pairs(boxes(spark, sf), "state_id", lambda a, b: G.are_close(a, b, 5)), G.edge_gap(G.box("a"), G.box("b")).alias("gap"))
 
 
 @query("centre_distance_pairs", over(f"{PAIR}, round(sqrt(pow((a.x1+a.x2-b.x1-b.x2)/2.0,2)+pow((a.y1+a.y2-b.y1-b.y2)/2.0,2)), 6) AS distance {JOIN} AND a.elem_id < b.elem_id"))
 def centre_distance_pairs(spark, sf):
-    return pair_ids(spatial.self_pairs(boxes(spark, sf), "state_id", lambda *_: F.lit(True)), F.round(G.centre_distance(A, B), 6).alias("distance"))
+    return pair_ids(spatial.self_pairs(boxes(spark, sf), "state_id", lambda *_: F.lit(True)), F.round(G.centre_distance(G.box("a"), G.box("b")), 6).alias("distance"))
 
 
 @query(
@@ -74,7 +73,7 @@ def centre_distance_pairs(spark, sf):
     over(f"{PAIR}, round((least(a.y2,b.y2)-greatest(a.y1,b.y1))/CAST(least(a.y2-a.y1,b.y2-b.y1) AS DOUBLE), 6) AS share {JOIN} AND a.elem_id < b.elem_id WHERE least(a.y2,b.y2) > greatest(a.y1,b.y1)"),
 )
 def row_overlap_pairs(spark, sf):
-    return pair_ids(spatial.self_pairs(boxes(spark, sf), "state_id", lambda a, b: G.row_overlap(a, b) > 0), F.round(G.row_overlap(A, B), 6).alias("share"))
+    return pair_ids(spatial.self_pairs(boxes(spark, sf), "state_id", lambda a, b: G.row_overlap(a, b) > 0), F.round(G.row_overlap(G.box("a"), G.box("b")), 6).alias("share"))
 
 
 @query("touching_pairs", over(f"{PAIR} {JOIN} AND a.elem_id < b.elem_id WHERE a.x2 >= b.x1 AND b.x2 >= a.x1 AND a.y2 >= b.y1 AND b.y2 >= a.y1"))
@@ -333,7 +332,7 @@ def label_knn(spark, sf):
 )
 def label_association(spark, sf):
     df = boxes(spark, sf)
-    gap = G.label_distance(B, A)
+    gap = G.label_distance(G.box("b"), G.box("a"))
     near = spatial.pairs(df.where("visual_type <> 'text'"), df.where("visual_type = 'text'"), "state_id", lambda *_: gap["distance"] < 50, F.col("a.elem_id") != F.col("b.elem_id"))
     rows = near.select(F.col("a.state_id").alias("state_id"), F.col("a.elem_id").alias("elem_id"), F.col("b.elem_id").alias("near_id"), gap["distance"].alias("distance"))
     return greedy.assign(rows, ["state_id"], "elem_id", "near_id", "distance").drop("distance")
@@ -345,7 +344,7 @@ def label_association(spark, sf):
 )
 def best_iou_score(spark, sf):
     near = spatial.pairs(truth(spark, sf), boxes(spark, sf), "state_id", lambda a, b: G.iou(a, b) >= 0.5)
-    return near.groupBy(F.col("a.state_id").alias("state_id"), F.col("a.elem_id").alias("elem_id")).agg(F.max_by(F.col("b.confidence"), F.struct(G.iou(A, B), F.col("b.elem_id"))).alias("score"))
+    return near.groupBy(F.col("a.state_id").alias("state_id"), F.col("a.elem_id").alias("elem_id")).agg(F.max_by(F.col("b.confidence"), F.struct(G.iou(G.box("a"), G.box("b")), F.col("b.elem_id"))).alias("score"))
 
 
 @query("yolo_normalise", over("SELECT state_id, elem_id, round((x1+x2)/2.0/400, 6) AS cx, round((y1+y2)/2.0/200, 6) AS cy, round((x2-x1)/400.0, 6) AS w, round((y2-y1)/200.0, 6) AS h FROM boxes"))
