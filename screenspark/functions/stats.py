@@ -49,8 +49,8 @@ def sign_flip(clusters: DataFrame, diff: str, exact_up_to: int = 16, draws: int
         k = ranked.count()
         numbered = ranked.withColumn("j", F.row_number().over(Window.orderBy("h", "d")) - 1)
         flips = spark.range(2**k).withColumnRenamed("id", "draw")
-        sign = F.when(F.shiftright("draw", F.col("j")).bitwiseAND(F.lit(1)) == 1, -1).otherwise(1)
-        sums = flips.join(F.broadcast(numbered)).groupBy("draw").agg(F.sum(sign * F.col("d")).alias("s"))
+        sign = F.when(F.getbit("draw", F.col("j")) == 1, -1).otherwise(1)
+        sums = flips.crossJoin(F.broadcast(numbered)).groupBy("draw").agg(F.sum(sign * F.col("d")).alias("s"))
     else:
         parts = ranked.select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "d", "h")
         sign = F.when(F.xxhash64("h", "draw", F.lit(seed)) < 0, -1).otherwise(1)
@@ -58,7 +58,7 @@ def sign_flip(clusters: DataFrame, diff: str, exact_up_to: int = 16, draws: int
     total = ranked.agg(F.sum("d").alias("t"), F.count("*").alias("clusters"))
     met = (F.abs("s") >= F.abs("t") - 1e-12).cast("double")
     out = F.mean(met) if few else (F.sum(met) + 1) / (F.count("*") + 1)
-    return sums.join(F.broadcast(total)).groupBy("clusters").agg(out.alias("p_value"))
+    return sums.crossJoin(F.broadcast(total)).groupBy("clusters").agg(out.alias("p_value"))
 
 
 def bootstrap(clusters: DataFrame, hits: str, n: str, draws: int = 5000, seed: int = 7) -> DataFrame:

@@ -90,12 +90,12 @@ def describe(description: Column) -> Column:
 
 
 def lexical_score(said: Column, element: Column, cx: Column, cy: Column) -> Column:
-    """How well an element (struct with text, label, hint, role, visual_type) fits what a
-    description says.  Shared name words count double, a field that is exactly the name half
+    """How well an element (struct with role, visual_type and the tokens of its label, text
+    and hint, one by one and together) fits what a description says.  Shared name words count double, a field that is exactly the name half
     a point more, the kind one, each place half; without any name word of a description that
     names something, kind and place count half, one at most."""
-    fields = [X.tokens(element[c]) for c in ("label", "text", "hint")]
-    have = F.concat(*fields)
+    fields = [element[f"{c}_tokens"] for c in ("label", "text", "hint")]
+    have = element["tokens"]
     hits = F.size(F.filter(said["name"], lambda t: F.array_contains(have, t)))
     partly = F.size(F.filter(said["name"], lambda t: ~F.array_contains(have, t) & ~t.rlike("^[0-9]+$") & F.exists(have, lambda e: F.contains(e, t))))
     share = F.coalesce(F.try_divide(hits + 0.7 * partly, F.size(said["name"])), F.lit(0.0))
@@ -116,8 +116,10 @@ def rank(descriptions: DataFrame, elements: DataFrame, on: str = "state_id", wid
     """(desc_id, on, elem_id, score, place) of elements that score above 0, best first."""
     said = descriptions.select(on, "desc_id", describe(F.col("description")).alias("said"))
     cx, cy = G.relative_centre(G.box(), width, height) if width is not None else (F.lit(0.5), F.lit(0.5))
-    element = F.struct("text", "label", "hint", "role", "visual_type")
-    scored = said.join(elements, on).select("desc_id", on, "elem_id", lexical_score(F.col("said"), element, cx, cy).alias("score")).where("score > 0")
+    fields = ("label", "text", "hint")
+    named = elements.withColumns({f"{c}_tokens": X.tokens(F.col(c)) for c in fields}).withColumn("tokens", F.concat(*[f"{c}_tokens" for c in fields]))
+    element = F.struct("role", "visual_type", "tokens", *[f"{c}_tokens" for c in fields])
+    scored = said.join(named, on).select("desc_id", on, "elem_id", lexical_score(F.col("said"), element, cx, cy).alias("score")).where("score > 0")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("desc_id", on).orderBy(F.desc("score"), "elem_id")))
 
 
