@@ -13,7 +13,8 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> Column:
     d = 1 + F.try_divide(F.lit(z * z), n)
     mid = (p + F.try_divide(F.lit(z * z / 2), n)) / d
     half = F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z * z / 4), n * n)) * z / d
-    return F.struct(F.greatest(F.lit(0.0), mid - half).alias("low"), F.least(F.lit(1.0), mid + half).alias("high"))
+    some = lambda c: F.when(n > 0, c)
+    return F.struct(some(F.greatest(F.lit(0.0), mid - half)).alias("low"), some(F.least(F.lit(1.0), mid + half)).alias("high"))
 
 
 def mcnemar(b: Column, c: Column) -> Column:

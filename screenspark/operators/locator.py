@@ -73,7 +73,7 @@ def describe(description: Column) -> Column:
     toks = X.tokens(description)
     words = lambda ws: F.array(*[F.lit(w) for w in ws])
     among = lambda t, ws: F.coalesce(F.array_contains(words(ws), t), F.lit(False))
-    safe = F.transform(toks, lambda t, i: F.struct(t.alias("t"), F.when(i > 0, F.try_element_at(toks, F.greatest(i, F.lit(1)))).alias("prev"), F.try_element_at(toks, i + 2).alias("next")))
+    around = F.transform(toks, lambda t, i: F.struct(t.alias("t"), F.when(i > 0, F.try_element_at(toks, F.greatest(i, F.lit(1)))).alias("prev"), F.try_element_at(toks, i + 2).alias("next")))
 
     def step(acc: Column, w: Column) -> Column:
         place = among(w["t"], POSITION_WORDS) & (acc["kind"] != "name") & (
@@ -83,7 +83,7 @@ def describe(description: Column) -> Column:
         return F.struct(kind.alias("kind"), F.array_append(acc["kinds"], kind).alias("kinds"))
 
     start = F.struct(F.lit("").alias("kind"), F.array().cast("array<string>").alias("kinds"))
-    kinds = F.aggregate(safe, start, step, lambda acc: acc["kinds"])
+    kinds = F.aggregate(around, start, step, lambda acc: acc["kinds"])
     marked = F.arrays_zip(toks.alias("t"), kinds.alias("k"))
     pick = lambda *ks: F.transform(F.filter(marked, lambda m: m["k"].isin(*ks)), lambda m: m["t"])
     return F.struct(pick("name", "stop", "qual").alias("name"), pick("name").alias("naming"), pick("role").alias("roles"), pick("pos").alias("places"))
@@ -114,7 +114,8 @@ def lexical_score(said: Column, element: Column, cx: Column, cy: Column) -> Colu
 
 def rank(descriptions: DataFrame, elements: DataFrame, on: str = "state_id", width: Column | None = None, height: Column | None = None) -> DataFrame:
     """(desc_id, on, elem_id, score, place) of elements that score above 0, best first."""
-    said = descriptions.select(on, "desc_id", describe(F.col("description")).alias("said"))
+    parsed = descriptions.select("description").distinct().withColumn("said", describe(F.col("description")))
+    said = descriptions.select(on, "desc_id", "description").join(parsed, "description").drop("description")
     cx, cy = G.relative_centre(G.box(), width, height) if width is not None else (F.lit(0.5), F.lit(0.5))
     fields = ("label", "text", "hint")
     named = elements.withColumns({f"{c}_tokens": X.tokens(F.col(c)) for c in fields}).withColumn("tokens", F.concat(*[f"{c}_tokens" for c in fields]))
