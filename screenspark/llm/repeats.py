@@ -26,17 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as K
 
 #: Different stretches of one anchor in a batch beyond which the anchor is common.
-COMMON = 8
+COMMON = 64
 #: Different stretches of one anchor beyond which its windows are spread over tasks.
 CROWDED = 2000
 #: Rows and bytes that a task gathers before it works on whole groups of them.
-CHUNK_ROWS, CHUNK_BYTES = 200_000, 4 << 20
+CHUNK_ROWS, CHUNK_BYTES = 200_000, 2 << 20
 
 SETTLED, ALONE, CROWD = 0, 1, 2
 _LAST = np.iinfo(np.int64).max
@@ -80,9 +82,39 @@ class Windows:
         return doc[head], low, end, grams[anchor], content
 
 
-def key_of(docs: DataFrame) -> Column:
-    """A document is told by its id and its text together."""
-    return F.xxhash64("doc_id", "text")
+#: A document is told by its id (a null id comes last) and a hash of its text.
+KEY = ["__id", "__tag"]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that are small enough to hold a few copies of."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Documents with the columns of KEY and their texts compressed, as they are shuffled."""
+    return compressed(docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__tag": F.hash("text")}))
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """The same rows with ``text`` compressed; ``plain`` brings it back."""
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in sliced(batches, 1000):
+            texts = batch.column("text").cast(pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array([None if t is None else packer.compress(t) for t in texts.to_pylist()], pa.binary()))
+
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in docs.schema]))
+
+
+def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of keyed documents with their texts as they were."""
+    unpacker = zstandard.ZstdDecompressor()
+    texts = [None if t is None else unpacker.decompress(t) for t in batch.column("text").to_pylist()]
+    return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
 
 
 def _order(*keys: np.ndarray) -> np.ndarray:
@@ -102,32 +134,36 @@ def _batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns.values()], list(columns))
 
 
-def ids(column: pa.Array) -> np.ndarray:
-    """Document ids as integers; null ids come last."""
-    return column.cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False)
+def _keys(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(k).to_numpy(zero_copy_only=False) for k in KEY]
+
 
+def _spread(name: np.ndarray, tag: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A route of its own for a row that needs no group."""
+    return K.mix(name.view(np.uint64) + (tag.astype(np.int64) * 1_000_003 + low).view(np.uint64))
 
-STRETCH = "route long, anchor long, content long, doc_id long, doc_key long, low int, size int, state int"
+
+STRETCH = "route long, content long, __id long, __tag int, low int, size int, state int"
 
 
 def stretches(docs: DataFrame, windows: Windows, keep_first: bool) -> DataFrame:
-    """Rows of STRETCH.  state: 0 unless the batch has settled the stretch (1), knows it as
-    one of a common anchor (2), or has more like it (3, the row that stands for them in the
-    anchor's group; 4 where the anchor is common, too)."""
+    """Rows of STRETCH, routed by anchor.  state: 0 unless the batch has settled the stretch
+    (1), knows it as one of a common anchor (2), or has more like it (3, the row that stands
+    for them in the anchor's group; 4 where the anchor is common, too)."""
 
     def run(batches):
         for batch in batches:
             parts: list[tuple[np.ndarray, ...]] = []
-            name, key = ids(batch.column("doc_id")), batch.column("doc_key").to_numpy(zero_copy_only=False)
+            name, tag = _keys(batch)
             for i, _, data, at in K.blocks(batch.column("text"), 1 << 20):
                 prefix, first = windows.items(data, at)
                 doc, low, end, anchor, content = windows.stretches(prefix, first)
-                parts.append((anchor, content, name[i + doc], key[i + doc], low - first[doc], end - low))
+                parts.append((anchor, content, name[i + doc], tag[i + doc], low - first[doc], end - low))
             if not parts or not sum(len(p[0]) for p in parts):
                 continue
-            anchor, content, name, key, low, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+            anchor, content, name, tag, low, size = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = _order(anchor, content, name, low)
-            anchor, content, name, key, low, size = (c[order] for c in (anchor, content, name, key, low, size))
+            anchor, content, name, tag, low, size = (c[order] for c in (anchor, content, name, tag, low, size))
             group, kind = _starts(anchor), _starts(anchor, content)
             # Of equal stretches one stands for all; the others are settled here.
             head = np.flatnonzero(kind)
@@ -148,13 +184,16 @@ def stretches(docs: DataFrame, windows: Windows, keep_first: bool) -> DataFrame:
             # A common one that stands for more goes whatever its windows say.
             twin = np.flatnonzero(common & kind & many[of]) if not keep_first else np.zeros(0, np.int64)
             if len(twin):
-                anchor, content, name, key, low, size, state = (np.concatenate([c, c[twin]]) for c in (anchor, content, name, key, low, size, state))
+                anchor, content, name, tag, low, size, state, order = (np.concatenate([c, c[twin]]) for c in (anchor, content, name, tag, low, size, state, order))
                 state[-len(twin) :] = 1
             spread = np.isin(state, (1, 2))
-            route = np.where(spread, K.mix(key.view(np.uint64) + low.astype(np.uint64)), anchor)
-            yield _batch({"route": route, "anchor": anchor, "content": content, "doc_id": name, "doc_key": key, "low": low.astype(np.int32), "size": size.astype(np.int32), "state": state})
+            route = np.where(spread, _spread(name, tag, low), anchor)
+            back = np.argsort(order, kind="stable")  # rows of a document together compress better
+            columns = {"route": route, "content": content, "__id": name, "__tag": tag, "low": low.astype(np.int32), "size": size.astype(np.int32), "state": state}
+            yield _batch({k: c[back] for k, c in columns.items()})
 
-    return docs.select("doc_id", key_of(docs).alias("doc_key"), "text").mapInArrow(run, STRETCH)
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__id"), F.hash("text").alias("__tag"), "text")
+    return keys.mapInArrow(run, STRETCH)
 
 
 def chunked(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -197,11 +236,11 @@ def _columns(part: pa.Table, *names: str) -> list[np.ndarray]:
 
 
 def settle(rows: DataFrame, keep_first: bool) -> DataFrame:
-    """(doc_key, mark): of each document the stretches to remove (SETTLED), and those whose
-    windows must be compared, by anchor (ALONE) or one by one (CROWD)."""
+    """Of each document the stretches to remove (SETTLED), and those whose windows must be
+    compared, by anchor (ALONE) or one by one (CROWD)."""
 
     def one(part: pa.Table) -> pa.RecordBatch:
-        anchor, content, name, low, state = _columns(part, "route", "content", "doc_id", "low", "state")
+        anchor, content, name, low, state = _columns(part, "route", "content", "__id", "low", "state")
         order = _order(anchor, content, name, low)
         anchor, content, name, low, state = (c[order] for c in (anchor, content, name, low, state))
         at, group, kind = np.flatnonzero(_starts(anchor, content)), _starts(anchor), _starts(anchor, content)
@@ -220,28 +259,26 @@ def settle(rows: DataFrame, keep_first: bool) -> DataFrame:
         preset = np.isin(state, (1, 2))
         done = np.where(preset, state == 1, done)
         open_ = np.where(preset, state == 2, open_)
-        size, key, first = (c[order] for c in _columns(part, "size", "doc_key", "anchor"))
+        size, tag = (c[order] for c in _columns(part, "size", "__tag"))
         out = []
         for chosen, mark in ((done, np.zeros(len(done), np.int32)), (open_, np.where(crowd | preset, CROWD, ALONE).astype(np.int32))):
             rows = np.flatnonzero(chosen)
-            out.append((key[rows], first[rows], low[rows], size[rows], mark[rows]))
-        key, first, low, size, mark = (np.concatenate(c) for c in zip(*out, strict=True))
-        return _batch({"doc_key": key, "anchor": first, "low": low, "size": size, "mark": mark})
+            out.append((name[rows], tag[rows], anchor[rows], low[rows], size[rows], mark[rows]))
+        name, tag, anchor, low, size, mark = (np.concatenate(c) for c in zip(*out, strict=True))
+        return _batch({"__id": name, "__tag": tag, "anchor": anchor, "low": low, "size": size, "mark": mark})
 
-    marks = by_group(rows, "route", one, "doc_key long, anchor long, low int, size int, mark int")
-    return marks
+    return by_group(rows, "route", one, "__id long, __tag int, anchor long, low int, size int, mark int")
 
 
 def removed(docs: DataFrame, spans: DataFrame, f: Callable[[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]], pa.RecordBatch], schema: str) -> DataFrame:
     """Runs f over batches of documents with the (first window, end of windows) of each that
     go; every document is kept."""
-    gathered = spans.groupBy("doc_key").agg(F.collect_set(F.struct("low", "size")).alias("spans"))
-    joined = docs.withColumn("doc_key", key_of(docs)).join(gathered, "doc_key", "left").drop("doc_key")
+    gathered = spans.groupBy(*KEY).agg(F.collect_set(F.struct("low", "size")).alias("__spans"))
+    joined = keyed(docs).join(gathered, KEY, "left")
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield f(batch.drop_columns(["spans"]), list(_lists(batch.column("spans"))))
+        for batch in sliced(batches, 1000):
+            yield f(plain(batch.drop_columns([*KEY, "__spans"])), list(_lists(batch.column("__spans"))))
 
     return joined.mapInArrow(run, schema)
 
@@ -256,7 +293,7 @@ def _lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield low[own][order], (low[own] + size[own])[order]
 
 
-OPEN = "route long, place long, doc_id long, doc_key long, low int, size int, content binary"
+OPEN = "route long, __id long, __tag int, low int, size int, content binary"
 
 
 def opened(docs: DataFrame, marks: DataFrame, windows: Windows, alone_as_text: bool, keep_first: bool) -> DataFrame:
@@ -264,21 +301,20 @@ def opened(docs: DataFrame, marks: DataFrame, windows: Windows, alone_as_text: b
     routed by anchor; or, for crowded anchors (all, unless alone_as_text), a row for each
     window, routed by its hash.  A batch sends equal windows once, with size 2 if it has more
     of them and the first is not kept."""
-    asked = marks.where(F.col("mark") != SETTLED).groupBy("doc_key").agg(F.collect_set(F.struct("anchor", "low", "size", "mark")).alias("open"))
-    joined = docs.select("doc_id", key_of(docs).alias("doc_key"), "text").join(asked, "doc_key")
+    asked = marks.where(F.col("mark") != SETTLED).groupBy(*KEY).agg(F.collect_set(F.struct("anchor", "low", "size", "mark")).alias("open"))
+    joined = keyed(docs.select("doc_id", "text")).join(asked, KEY)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            name, key = ids(batch.column("doc_id")), batch.column("doc_key").to_numpy(zero_copy_only=False)
+        for batch in sliced(batches, 1000):
+            name, tag = _keys(batch)
+            text_of = plain(batch).column("text")
             values, offsets = batch.column("open").values, batch.column("open").offsets.to_numpy()
             anchor, low, size, mark = (values.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "low", "size", "mark"))
             of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             anchor, low, size, mark = (c[offsets[0] : offsets[-1]] for c in (anchor, low, size, mark))
             whole: list[dict] = []
             seen: list[tuple[np.ndarray, ...]] = []
-            for i, j, data, at in K.blocks(batch.column("text"), 1 << 20):
+            for i, j, data, at in K.blocks(text_of, 1 << 20):
                 prefix, first = windows.items(data, at)
                 own = np.flatnonzero((of >= i) & (of < j))
                 doc, begin = of[own], first[of[own] - i] + low[own]
@@ -287,19 +323,19 @@ def opened(docs: DataFrame, marks: DataFrame, windows: Windows, alone_as_text: b
                 if text.any():
                     pick = own[text]
                     cut = [raw[b : b + n] for b, n in zip(begin[text].tolist(), (size[pick] + windows.width - 1).tolist(), strict=True)]
-                    whole.append({"route": anchor[pick], "place": low[pick].astype(np.int64), "doc_id": name[doc[text]], "doc_key": key[doc[text]], "low": low[pick].astype(np.int32), "size": size[pick].astype(np.int32), "content": pa.array(cut, pa.binary())})
+                    whole.append({"route": anchor[pick], "__id": name[doc[text]], "__tag": tag[doc[text]], "low": low[pick].astype(np.int32), "size": size[pick].astype(np.int32), "content": pa.array(cut, pa.binary())})
                 rest = own[~text]
                 n = size[rest].astype(np.int64)
                 step = np.arange(int(n.sum())) - np.repeat(n.cumsum() - n, n)
                 start = np.repeat(begin[~text], n) + step
-                seen.append((prefix.span(start, start + windows.width), name[np.repeat(doc[~text], n)], key[np.repeat(doc[~text], n)], np.repeat(low[rest], n) + step))
+                seen.append((prefix.span(start, start + windows.width), name[np.repeat(doc[~text], n)], tag[np.repeat(doc[~text], n)], np.repeat(low[rest], n) + step))
             for part in whole:
                 yield _batch(part)
             if not seen or not sum(len(s[0]) for s in seen):
                 continue
-            route, names, keys, lows = (np.concatenate(c) for c in zip(*seen, strict=True))
+            route, names, tags, lows = (np.concatenate(c) for c in zip(*seen, strict=True))
             order = _order(route, names, lows)
-            route, names, keys, lows = (c[order] for c in (route, names, keys, lows))
+            route, names, tags, lows = (c[order] for c in (route, names, tags, lows))
             head = _starts(route)
             at_, of_ = np.flatnonzero(head), head.cumsum() - 1
             if keep_first:
@@ -309,8 +345,8 @@ def opened(docs: DataFrame, marks: DataFrame, windows: Windows, alone_as_text: b
                 many = np.bincount(of_)[of_] > 1
                 settled, weight = many & ~head, np.where(many, 2, 1).astype(np.int32)
             # A settled window needs no group; a size of 0 says that it goes.
-            route = np.where(settled, K.mix(keys.view(np.uint64) + lows.astype(np.uint64)), route)
+            route = np.where(settled, _spread(names, tags, lows), route)
             weight = np.where(settled, 0, weight).astype(np.int32)
-            yield _batch({"route": route, "place": lows.astype(np.int64), "doc_id": names, "doc_key": keys, "low": lows.astype(np.int32), "size": weight, "content": pa.nulls(len(route), pa.binary())})
+            yield _batch({"route": route, "__id": names, "__tag": tags, "low": lows.astype(np.int32), "size": weight, "content": pa.nulls(len(route), pa.binary())})
 
     return joined.mapInArrow(run, OPEN)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import repeats as R
 from . import textkernel as K
 
-BYTES = R.Windows(width=100, block=32, words=False)
+BYTES = R.Windows(width=100, block=24, words=False)
 WORDS = R.Windows(width=35, block=18, words=True)
 
 
@@ -63,10 +63,10 @@ def earlier_matches(rank: np.ndarray, *place: np.ndarray) -> np.ndarray:
 
 
 def _lone_windows(part: pa.Table, keep_first: bool) -> list[tuple[np.ndarray, ...]]:
-    """(doc_key, window, count) of windows to remove, from rows of single windows."""
-    route, name, key, low, size = R._columns(part, "route", "doc_id", "doc_key", "low", "size")
+    """(id, tag, window, 1) of windows to remove, from rows of single windows."""
+    route, name, tag, low, size = R._columns(part, "route", *R.KEY, "low", "size")
     order = R._order(route, name, low)
-    route, name, key, low, size = (c[order] for c in (route, name, key, low, size))
+    route, name, tag, low, size = (c[order] for c in (route, name, tag, low, size))
     head = R._starts(route)
     at, of = np.flatnonzero(head), head.cumsum() - 1
     if keep_first:
@@ -74,35 +74,35 @@ def _lone_windows(part: pa.Table, keep_first: bool) -> list[tuple[np.ndarray, ..
     else:
         goes = np.add.reduceat(size.astype(np.int64), at)[of] > 1 if len(at) else np.zeros(0, bool)
     goes |= size == 0
-    return [(key[goes], low[goes], np.ones(int(goes.sum()), np.int32))]
+    return [(name[goes], tag[goes], low[goes], np.ones(int(goes.sum()), np.int32))]
 
 
 def _in_suffix_order(part: pa.Table, width: int) -> list[tuple[np.ndarray, ...]]:
     """The same from rows with content: suffixes of the contents in order, by anchor."""
     content = part.column("content").combine_chunks()
-    anchor, name, key, low, size = R._columns(part, "route", "doc_id", "doc_key", "low", "size")
+    name, tag, low, size = R._columns(part, *R.KEY, "low", "size")
     text, offsets = K.utf8(content)
     n = size.astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     step = np.arange(int(n.sum())) - np.repeat(n.cumsum() - n, n)
     rank = suffix_ranks(text, offsets[:-1][row] + step, width)
     goes = earlier_matches(rank, name[row], low[row] + step)
-    return [(key[row][goes], (low[row] + step)[goes].astype(np.int32), np.ones(int(goes.sum()), np.int32))]
+    return [(name[row][goes], tag[row][goes], (low[row] + step)[goes].astype(np.int32), np.ones(int(goes.sum()), np.int32))]
 
 
-def _runs(key: np.ndarray, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+def _runs(name: np.ndarray, tag: np.ndarray, low: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """Consecutive windows of a document as one row."""
-    order = np.lexsort((low, key))
-    key, low, size = key[order], low[order], size[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (low[1:] > low[:-1] + size[:-1])
+    order = np.lexsort((low, tag, name))
+    name, tag, low, size = name[order], tag[order], low[order], size[order]
+    new = R._starts(name, tag)
+    new[1:] |= low[1:] > low[:-1] + size[:-1]
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(key)) - 1
-    return key[at], low[at], (low[last] + size[last] - low[at]).astype(np.int32) if len(at) else size
+    last = np.append(at[1:], len(name)) - 1
+    return [name[at], tag[at], low[at], low[last] + size[last] - low[at] if len(at) else size]
 
 
 def repeated_windows(docs: DataFrame, windows: R.Windows, keep_first: bool) -> DataFrame:
-    """(doc_key, low, size): runs of windows that go."""
+    """(low, size) of the runs of windows that go, by document."""
     marks = R.settle(R.stretches(docs, windows, keep_first), keep_first)
     rows = R.opened(docs, marks, windows, keep_first, keep_first)
 
@@ -111,11 +111,11 @@ def repeated_windows(docs: DataFrame, windows: R.Windows, keep_first: bool) -> D
         found = _lone_windows(part.filter(pa.compute.invert(text)), keep_first)
         if keep_first and pa.compute.any(text).as_py():
             found += _in_suffix_order(part.filter(text), windows.width)
-        key, low, size = _runs(*(np.concatenate(c) for c in zip(*found, strict=True)))
-        return R._batch({"doc_key": key, "low": low.astype(np.int32), "size": size.astype(np.int32)})
+        name, tag, low, size = _runs(*(np.concatenate(c) for c in zip(*found, strict=True)))
+        return R._batch({"__id": name, "__tag": tag, "low": low.astype(np.int32), "size": size.astype(np.int32)})
 
-    compared = R.by_group(rows, "route", one, "doc_key long, low int, size int")
-    return marks.where(F.col("mark") == R.SETTLED).select("doc_key", "low", "size").unionByName(compared)
+    compared = R.by_group(rows, "route", one, "__id long, __tag int, low int, size int")
+    return marks.where(F.col("mark") == R.SETTLED).select(*R.KEY, "low", "size").unionByName(compared)
 
 
 def _word_masks(column: pa.Array, spans: list, width: int):
