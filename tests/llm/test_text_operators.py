@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -207,6 +208,35 @@ def test_long_reply_chain_and_repeated_rows(spark):
     assert len(got) == 40 and (got.depth == got.turn).all() and (got.root_turn == 0).all()
 
 
+def test_reply_order_matches_its_sql(spark):
+    import duckdb
+
+    from screenspark.llm.oracles import OP9
+
+    rng = random.Random(6)
+    line = lambda: rng.choice(["Alpha  beta", "gamma delta", "Epsilon", "zeta eta", "", "theta > iota"])
+    rows = []
+    for c in range(30):
+        said: list[str] = []
+        for t in range(rng.randint(1, 8)):
+            lines = [line() for _ in range(rng.randint(1, 4))]
+            for _ in range(rng.randint(0, 2) if said else 0):
+                old = rng.choice(said).split("\n")
+                cut = old[rng.randrange(len(old)) :][: rng.randint(1, 3)]
+                lines[rng.randrange(len(lines) + 1) : 0] = [rng.choice(["> ", ">", " >  "]) + x.upper() for x in cut]
+            said.append("\n".join(lines))
+            rows.append((c, t, rng.choice(["user", "assistant"]), rng.choice([said[-1], said[-1].replace("\n", "\r\n")])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = Q.reply_order(df).toPandas()
+    con = duckdb.connect()
+    conversations = df.toPandas()
+    con.register("conversations", conversations)
+    want = con.sql(OP9).df()
+    plain = lambda v: v if isinstance(v, str) else None if pd.isna(v) else int(v)
+    show = lambda d: sorted(repr([plain(v) for v in r]) for r in d[list(got.columns)].itertuples(index=False))
+    assert show(got) == show(want) and got.parent_turn.notna().sum() > 20
+
+
 # --- decontamination --------------------------------------------------------------------
 
 
