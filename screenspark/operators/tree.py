@@ -74,3 +74,35 @@ def flatten_json(hierarchy: str = "hierarchy", max_depth: int = 12) -> F.Column:
         return own if depth == 0 else F.concat(own, F.flatten(F.transform(children(node), lambda c: walk(c, depth - 1))))
 
     return walk(F.col(hierarchy), max_depth)
+
+
+def from_relations(relations: DataFrame, on: str = "state_id") -> DataFrame:
+    """Edges of a table of relations (on, kind, from_id, to_id); of several containers the
+    first counts."""
+    held = relations.where("kind = 'contains'").groupBy(on, F.col("to_id").alias("elem_id"))
+    return held.agg(F.min("from_id").alias("parent_id"))
+
+
+def apply_edits(nodes: DataFrame, changes: DataFrame, on: str = "state_id") -> DataFrame:
+    """Nodes (on, elem_id, parent_id, role) after edits (on, elem_id, op, value, ord): roles and
+    parents are set, the last edit of a kind counts; deleted nodes go, and their children
+    move up to the next node that stays."""
+    last = changes.groupBy(on, "elem_id").agg(
+        *[F.max_by("value", F.when(F.col("op") == op, F.col("ord"))).alias(f"_{op}") for op in ("set_role", "set_parent")],
+        *[F.bool_or(F.col("op") == op).alias(f"has_{op}") for op in ("set_role", "set_parent", "delete")],
+    )
+    done = nodes.join(last, [on, "elem_id"], "left")
+    pick = lambda op, old: F.when(F.coalesce(f"has_{op}", F.lit(False)), F.col(f"_{op}")).otherwise(F.col(old).cast("string"))
+    moved = done.select(on, "elem_id", pick("set_parent", "parent_id").cast("int").alias("parent_id"), pick("set_role", "role").alias("role"), F.coalesce("has_delete", F.lit(False)).alias("gone"))
+    above = ancestors(moved, on).join(moved.select(on, F.col("elem_id").alias("ancestor_id"), "gone"), [on, "ancestor_id"]).where("not gone")
+    nearest = above.groupBy(on, "elem_id").agg(F.min_by("ancestor_id", "distance").alias("parent_id"))
+    return moved.where("not gone").select(on, "elem_id", "role").join(nearest, [on, "elem_id"], "left")
+
+
+def edit_scores(predicted: DataFrame, expected: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """Precision and recall of sets of edits, each counted once."""
+    p, e = predicted.select(*by, *key).distinct(), expected.select(*by, *key).distinct()
+    n = lambda df, name: df.groupBy(*by).agg(F.count("*").alias(name))
+    both = n(p, "n_pred").join(n(e, "n_true"), by, "full_outer").join(n(p.intersect(e), "tp"), by, "left").na.fill(0)
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    return both.select(*by, "tp", "n_pred", "n_true", ratio("tp", "n_pred").alias("precision"), ratio("tp", "n_true").alias("recall"))
