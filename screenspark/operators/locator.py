@@ -133,6 +133,15 @@ def confident(ranked: DataFrame, on: str = "state_id", floor: float = 1.5, margi
     return best.where((F.col("score") >= floor) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= margin))).drop("second")
 
 
+#: Rows of a locator table up to which it is sent to all tasks; beyond that Spark decides.
+FEW = 10_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The rows, marked for broadcast where there are few."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def matches(locators: DataFrame, elements: DataFrame, on: str = "state_id") -> DataFrame:
     """(loc_id, on, alt, elem_id): the elements that all parts of an alternative accept.
     Texts and hints match exactly, or else, if no element of the screen does, in part."""
@@ -141,6 +150,8 @@ def matches(locators: DataFrame, elements: DataFrame, on: str = "state_id") -> D
         .select("loc_id", "alt", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part", "p"))
         .select("loc_id", "alt", "n_parts", "part", "p.strategy", "p.value")
     )
+    has_desc = not parts.where("strategy = 'desc'").isEmpty()
+    parts = few(parts)
     value = F.lower("value")
     field = F.when(F.col("strategy") == "text", F.col("text")).when(F.col("strategy") == "hint", F.col("hint")).when(F.col("strategy") == "role", F.col("role")).otherwise(F.col("elem_id").cast("string"))
     field = F.lower(F.coalesce(field, F.lit("")))
@@ -165,10 +176,12 @@ def matches(locators: DataFrame, elements: DataFrame, on: str = "state_id") -> D
     )
     spatial = reference.join(elements, on).where(test).select("loc_id", "alt", "n_parts", "part", on, "elem_id")
 
+    every = direct.unionByName(spatial)
     wanted = parts.where("strategy = 'desc'")
-    asked = wanted.join(elements.select(on).distinct()).select(on, F.struct("loc_id", "alt", "n_parts", "part").alias("desc_id"), F.col("value").alias("description"))
+    asked = wanted.crossJoin(elements.select(on).distinct()).select(on, F.struct("loc_id", "alt", "n_parts", "part").alias("desc_id"), F.col("value").alias("description"))
     described = confident(rank(asked, elements, on), on).select("desc_id.*", on, "elem_id")
-    every = direct.unionByName(spatial).unionByName(described.select(direct.columns))
+    if has_desc:
+        every = every.unionByName(described.select(direct.columns))
     return every.groupBy("loc_id", on, "alt", "elem_id", "n_parts").agg(F.count_distinct("part").alias("met")).where("met = n_parts").drop("met", "n_parts")
 
 
