@@ -5,13 +5,16 @@ A document's set holds its distinct 5-word shingles (A-Z lowered); two documents
 
 The global shingle order runs from rare to frequent; a sketch of fixed size, summed over
 all documents, says how frequent.  By the prefix bound, sets that link share shingles among
-the first fifth of each (and a few more, which must then be shared, too), so only those are
-shuffled.  Of the nodes that meet at a shingle each is first paired with the least one
-alone.  Pairs are verified by vertical partitions: the global order is cut into fragments,
-the overlap of a pair is counted in each on its own, and the counts are summed.  Links make
-components; then all pairs that still meet across components, with as many shared prefix
-shingles as the bound asks, are verified the same way.  So copies of one text never become
-all their pairs, and no link between different components is lost.
+the first fifth of each, so only those (and a few more, which sharpens the bounds) are
+shuffled.  A prefix shingle that no other prefix has can't be shared with a set whose prefix
+reaches as far, which bounds the overlap of a pair by what is known of its two sets alone.
+Of the nodes that meet at a shingle each is first paired with one only, the one with the
+fewest such shingles, which tends to be the original of its copies.  Pairs are verified by
+vertical partitions: the shingles are cut into fragments, the overlap of a pair is counted
+in each fragment on its own, and the counts are summed per pair.  Links make components;
+then the pairs that still meet across components, and may share enough by the place at which
+they meet, are verified the same way.  So copies of one text never become all their pairs,
+and no link between different components is lost.
 
 Nulls: a null text has no words, hence an empty set, which links with nothing; a null
 doc_id never names a component that has another id.  Repeated rows have equal sets and link.
@@ -26,7 +29,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,7 +40,12 @@ from .common import checkpoint, union
 SHINGLE = 5
 #: Counters of the frequency sketch (2 ** SKETCH_BITS), and parts that it is summed in.
 SKETCH_BITS, SKETCH_PARTS = 22, 256
-FRAGMENT_BITS = 2
+FRAGMENT_BITS = 1
+
+
+def key_of() -> Column:
+    """A document is told by its id and its text together."""
+    return F.xxhash64("doc_id", "text")
 
 
 def _sets(data: np.ndarray, at: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +108,7 @@ def survey(docs: DataFrame) -> DataFrame:
             none = pa.nulls(SKETCH_PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "doc_key", "node", "n", "part", "counts"])
 
-    return docs.select("doc_id", R.key_of(docs).alias("doc_key"), "text").mapInArrow(run, "doc_id long, doc_key long, node long, n long, part int, counts binary")
+    return docs.select("doc_id", key_of().alias("doc_key"), "text").mapInArrow(run, "doc_id long, doc_key long, node long, n long, part int, counts binary")
 
 
 def ranks(surveyed: DataFrame) -> np.ndarray:
@@ -122,12 +130,13 @@ def ranks(surveyed: DataFrame) -> np.ndarray:
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
-    """Shared shingles that the prefixes of two linked sets must have, at least."""
+    """Shingles of a prefix beyond the shortest that the bound allows, and one."""
     return 1 + n // 25
 
 
-def prefixes(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(token, node, n): the first shingles of each node in the global order."""
+def _heads(docs: DataFrame, rank: np.ndarray, tokens: bool) -> DataFrame:
+    """Of each node its prefix in the global order: a row for each shingle (token, node, place), or
+    one row (node, n, prefix, last) with the place of its end in the order."""
 
     def run(batches):
         for batch in batches:
@@ -140,29 +149,37 @@ def prefixes(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                     fresh[d] = x != 0 and x not in met
                     met.add(x)
                 length = np.minimum(n, n - -(-4 * n // 5) + least_shared(n))
-                keep = fresh[doc] & (np.arange(len(gram)) - first[doc] < length[doc])
-                if keep.any():
-                    yield R._batch({"token": gram[keep], "node": node[doc[keep]], "n": n[doc[keep]].astype(np.int32)})
+                if not fresh.any():
+                    continue
+                if tokens:
+                    keep = fresh[doc] & (np.arange(len(gram)) - first[doc] < length[doc])
+                    yield R._batch({"token": gram[keep], "node": node[doc[keep]], "place": (np.arange(len(gram)) - first[doc])[keep].astype(np.int32)})
+                else:
+                    end = gram[(first[:-1] + length - 1)[fresh]]
+                    place = (rank[_cell(end)].astype(np.int64) << 56) | (end >> np.uint64(8)).astype(np.int64)
+                    yield R._batch({"node": node[fresh], "n": n[fresh].astype(np.int32), "prefix": length[fresh].astype(np.int32), "last": place})
 
-    return docs.select("text").mapInArrow(run, "token long, node long, n int")
+    return docs.select("text").mapInArrow(run, "token long, node long, place int" if tokens else "node long, n int, prefix int, last long")
 
 
-def _near(a: str, b: str):
-    return (5 * F.least(a, b) >= 4 * F.greatest(a, b))
+def possible(a: str, b: str) -> Column:
+    """Whether structs a and b (n, most, last) of two nodes leave room for a link: ``most`` is
+    how many of its shingles a set can share with one whose prefix ends no earlier."""
+    n, most, last = ((F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in ("n", "most", "last"))
+    shared = F.when(last[0] < last[1], most[0]).when(last[0] > last[1], most[1]).otherwise(F.least(*most))
+    return (5 * F.least(*n) >= 4 * F.greatest(*n)) & (9 * shared >= 4 * (n[0] + n[1]))
 
 
-def fragments(docs: DataFrame, wanted: DataFrame, rank: np.ndarray) -> DataFrame:
+def fragments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, fragment, grams) of the wanted (node, doc_key): each set cut by the top bits of
     its shingles."""
-    found = docs.select(R.key_of(docs).alias("doc_key"), "text").join(wanted, "doc_key")
+    found = R.compressed(docs.select(key_of().alias("doc_key"), "text")).join(wanted, "doc_key")
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in R.sliced(batches, 1000):
             names = batch.column("node").to_pylist()
             rows: list[tuple[int, int, bytes]] = []
-            for i, _, data, at in K.blocks(batch.column("text")):
+            for i, _, data, at in K.blocks(R.plain(batch).column("text")):
                 _, gram, first = ordered_sets(data, at, None)
                 for d in range(len(at) - 1):
                     own = gram[first[d] : first[d + 1]]
@@ -174,11 +191,11 @@ def fragments(docs: DataFrame, wanted: DataFrame, rank: np.ndarray) -> DataFrame
     return found.mapInArrow(run, "node long, fragment int, grams binary").dropDuplicates(["node", "fragment"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, where: DataFrame, rank: np.ndarray) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, where: DataFrame) -> DataFrame:
     """The (a, b) of pairs (a, b, na, nb) that link; where: (node, doc_key)."""
     pairs = checkpoint(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(where, "node")
-    parts = fragments(docs, wanted, rank)
+    parts = fragments(docs, wanted)
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
 
@@ -218,40 +235,45 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def across(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, na, nb): nodes of different components that meet at enough shingles."""
+    """(a, b, na, nb): nodes of different components that may share enough shingles.
+
+    What two sets share up to the end of the shorter prefix they share among the shingles
+    that other prefixes have, too (``left``: how many of those a node has from a shingle on);
+    beyond it lie only ``spare`` shingles of that set."""
     named = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     group = Window.partitionBy("token")
     mixed = named.withColumn("low", F.min("label").over(group)).withColumn("high", F.max("label").over(group)).where("low <> high")
 
     def one(part: pa.Table) -> pa.RecordBatch:
-        token, node, label, n = R._columns(part, "token", "node", "label", "n")
-        order = np.lexsort((node, n, token))
-        token, node, label, n = token[order], node[order], label[order], n[order]
-        new = R._starts(token, n, node)
-        token, node, label, n = token[new], node[new], label[new], n[new]
+        columns = R._columns(part, "token", "n", "node", "label", "most", "last", "spare", "left")
+        order = np.lexsort(columns[2::-1])
+        columns = [c[order].astype(np.int64) for c in columns]
+        new = R._starts(*columns[:3])
+        token, n, node, label, most, last, spare, left = (c[new] for c in columns)
         at = np.flatnonzero(R._starts(token))
-        end = np.append(at[1:], len(token))
         # Each node meets the larger sets of its group, up to those too large for a link.
         stop = np.empty(len(token), np.int64)
-        for i, j in zip(at.tolist(), end.tolist(), strict=True):
+        for i, j in zip(at.tolist(), np.append(at[1:], len(token)).tolist(), strict=True):
             stop[i:j] = i + np.searchsorted(n[i:j], n[i:j] * 5 // 4, "right")
         found = []
         many = stop - np.arange(len(token)) - 1
-        for s in range(0, len(token), 2000):
-            m = many[s : s + 2000]
+        for s in range(0, len(token), 500):
+            m = many[s : s + 500]
             x = np.repeat(np.arange(s, s + len(m)), m)
             y = x + 1 + np.arange(len(x)) - np.repeat(m.cumsum() - m, m)
-            differ = label[x] != label[y]
-            found.append((x[differ], y[differ]))
+            first = lambda c: np.where(last[x] < last[y], c[x], np.where(last[x] > last[y], c[y], np.minimum(c[x], c[y])))  # noqa: B023, E731
+            room = (label[x] != label[y]) & (9 * first(most) >= 4 * (n[x] + n[y]))
+            # At the first shingle that a pair shares, enough must be left for the others.
+            room &= 9 * (np.minimum(left[x], left[y]) + first(spare)) >= 4 * (n[x] + n[y])
+            found.append((x[room], y[room]))
         x, y = (np.concatenate(c) for c in zip(*found, strict=True))
         rows = np.stack([node[x], node[y], n[x], n[y]])
         rows[:, rows[0] > rows[1]] = rows[[1, 0, 3, 2]][:, rows[0] > rows[1]]
-        pair, count = np.unique(rows, axis=1, return_counts=True)
-        return R._batch({"a": pair[0], "b": pair[1], "na": pair[2].astype(np.int32), "nb": pair[3].astype(np.int32), "met": count.astype(np.int64)})
+        pair = np.unique(rows, axis=1)
+        return R._batch({"a": pair[0], "b": pair[1], "na": pair[2].astype(np.int32), "nb": pair[3].astype(np.int32)})
 
-    met = R.by_group(mixed.select("token", "node", "label", "n"), "token", one, "a long, b long, na int, nb int, met long")
-    total = met.groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
-    return total.where(F.col("met") >= 1 + F.floor(F.least("na", "nb") / 25)).select("a", "b", "na", "nb")
+    columns = ["token", "node", "label", "n", "most", "last", "spare", "left"]
+    return R.by_group(mixed.select(columns), "token", one, "a long, b long, na int, nb int").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -263,13 +285,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     where = sized.where("node <> 0").groupBy("node").agg(F.min("doc_key").alias("doc_key"))
 
     group = Window.partitionBy("token")
-    tokens = prefixes(docs, rank)
-    least, most = F.min(F.struct("node", "n")).over(group), F.max("node").over(group)
-    live = checkpoint(tokens.select("token", "node", "n", least.alias("hub"), most.alias("last")).where("hub.node <> last"))
-    stars = live.where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-    first = checkpoint(verified(docs, stars.where(_near("na", "nb")).distinct(), where, rank))
-    rest = across(live.select("token", "node", "n"), components(first))
-    links = union([first, verified(docs, rest, where, rank)])
+    tokens = _heads(docs, rank, tokens=True)
+    met = tokens.withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group)}).where("low <> high")
+    live = checkpoint(met.select("token", "node", "place").distinct())
+    alive = live.groupBy("node").agg(F.count("*").alias("alive"))
+    most = (F.col("n") - F.col("prefix") + F.col("alive")).cast("int").alias("most")
+    nodes = checkpoint(_heads(docs, rank, tokens=False).distinct().join(alive, "node").select("node", "n", most, "last", (F.col("n") - F.col("prefix")).alias("spare")))
+    left = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("place"))).alias("left")
+    live = live.select("token", "node", left).join(nodes, "node")
+
+    own = F.struct(F.try_divide("most", "n").alias("share"), "node", "n", "most", "last")
+    stars = live.select(own.alias("x"), F.max(own).over(group).alias("hub")).where("x.node <> hub.node").where(possible("x", "hub"))
+    stars = stars.select(F.col("hub.node").alias("a"), F.col("x.node").alias("b"), F.col("hub.n").alias("na"), F.col("x.n").alias("nb")).distinct()
+    first = checkpoint(verified(docs, stars, where))
+    rest = across(live, components(first))
+    links = union([first, verified(docs, rest, where)])
     labels = components(links)
 
     named = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -284,7 +314,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of repeated rows one stays; documents without a word all stay."""
     found = near_duplicates(docs)
     gone = found.where("doc_id <> component_id").select("doc_key").distinct()
-    kept = docs.withColumn("doc_key", R.key_of(docs)).join(gone, "doc_key", "left_anti")
+    kept = docs.withColumn("doc_key", key_of()).join(gone, "doc_key", "left_anti")
     again = F.row_number().over(Window.partitionBy("doc_key").orderBy("doc_id")) > 1
     word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return kept.withColumn("again", again & word).where(~F.col("again")).select(docs.columns)
