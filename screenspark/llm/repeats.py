@@ -1,9 +1,10 @@
 """Exact repeats of fixed-width windows over all documents, without comparing pairs.
 
 Both substring operators look for windows (of bytes, or of words) that occur more than
-once.  Every window picks an anchor, the block of ``block`` items with the least hash in it,
-so equal windows pick equal anchors at equal places; the windows of one anchor occurrence
-are consecutive and make a *stretch*.  The work then narrows in three steps.
+once.  Every window picks an anchor, the block of ``block`` items with the least hash in it
+(over words, of those that ``anchors`` found elsewhere), so equal windows pick equal anchors
+at equal places; the windows of one anchor occurrence are consecutive and make a *stretch*.
+The work then narrows in three steps.
 
 1. ``stretches``: one scan emits a row for each stretch with the hash of its anchor and of
    its whole content.  An anchor that occurs once has no repeated window.  Stretches with
@@ -59,9 +60,17 @@ class Windows:
         w = K.Words(data, at)
         return K.item_prefix(w.hashes(data)), w.first
 
-    def stretches(self, prefix: K.Prefix, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    def rolling(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the rolling windows of ``block`` items in the documents that hold a window
+        of ``width``, from the start of the block of documents and from that of their own."""
+        size = np.where(np.diff(first) >= self.width, np.diff(first) - self.block + 1, 0)
+        own = np.arange(int(size.sum())) - np.repeat(size.cumsum() - size, size)
+        return own + np.repeat(first[:-1], size), own
+
+    def stretches(self, prefix: K.Prefix, first: np.ndarray, hit: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
         """(document, first window, end of windows, anchor hash, content hash) of all
-        stretches; places count from the start of the block."""
+        stretches; places count from the start of the block.  Where ``hit`` tells which blocks
+        may be anchors, windows without any have no stretch."""
         n = len(prefix.sum) - 1
         if n < self.width:
             empty = np.zeros(0, np.int64)
@@ -69,11 +78,18 @@ class Windows:
         grams = prefix.rolling(self.block)
         mask = np.uint64((1 << max(1, n.bit_length())) - 1)
         packed = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
-        pick = (K.minimum(packed, self.width - self.block + 1) & mask).astype(np.int64)
+        none = np.uint64(2**64 - 1)
+        if hit is not None:
+            packed[~hit(grams)] = none
+        least = K.minimum(packed, self.width - self.block + 1)
+        pick = (least & mask).astype(np.int64)
         size = np.diff(first) - self.width + 1
         doc = np.repeat(np.arange(len(size)), np.maximum(size, 0))
         base = np.maximum(size, 0)
         start = np.arange(len(doc)) - np.repeat(base.cumsum() - base, base) + first[doc]
+        if hit is not None:
+            held = least[start] != none
+            doc, start = doc[held], start[held]
         pick = pick[start]
         head = np.flatnonzero(np.concatenate([[True], (pick[1:] != pick[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
         low, end = start[head], start[np.append(head[1:], len(doc)) - 1] + 1 if len(doc) else head
@@ -144,53 +160,62 @@ def _spread(name: np.ndarray, tag: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 STRETCH = "route long, content long, __id long, __tag int, low int, size int, state int"
+STRETCH_ARROW = pa.schema([(n, pa.int64() if t == "long" else pa.int32()) for n, t in (c.split() for c in STRETCH.split(", "))])
+
+
+def stretch_rows(batch: pa.RecordBatch, windows: Windows, keep_first: bool, hit: Callable[[np.ndarray], np.ndarray] | None = None) -> pa.RecordBatch | None:
+    """Rows of STRETCH of a batch of keyed documents, routed by anchor.  state: 0 unless the
+    batch has settled the stretch (1), knows it as one of a common anchor (2), or has more like
+    it (3, the row that stands for them in the anchor's group; 4 where the anchor is common,
+    too)."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    name, tag = _keys(batch)
+    for i, _, data, at in K.blocks(batch.column("text"), 1 << 20):
+        prefix, first = windows.items(data, at)
+        doc, low, end, anchor, content = windows.stretches(prefix, first, hit)
+        parts.append((anchor, content, name[i + doc], tag[i + doc], low - first[doc], end - low))
+    if not parts or not sum(len(p[0]) for p in parts):
+        return None
+    anchor, content, name, tag, low, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = _order(anchor, content, name, low)
+    anchor, content, name, tag, low, size = (c[order] for c in (anchor, content, name, tag, low, size))
+    group, kind = _starts(anchor), _starts(anchor, content)
+    # Of equal stretches one stands for all; the others are settled here.
+    head = np.flatnonzero(kind)
+    of = kind.cumsum() - 1
+    many = np.bincount(of) > 1
+    state = np.zeros(len(anchor), np.int32)
+    if keep_first:
+        later = (name > name[head][of]) | ((name == name[head][of]) & (low > low[head][of]))
+        state[later] = 1
+    else:
+        state[~kind & many[of]] = 1
+        state[head[many]] = 3
+    # An anchor with many kinds of stretches is common: only its first one stays.
+    kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(group))
+    common = (kinds > COMMON)[group.cumsum() - 1]
+    state[common & (state != 1)] = 2
+    state[group & common] = 4
+    # A common one that stands for more goes whatever its windows say.
+    twin = np.flatnonzero(common & kind & many[of]) if not keep_first else np.zeros(0, np.int64)
+    if len(twin):
+        anchor, content, name, tag, low, size, state, order = (np.concatenate([c, c[twin]]) for c in (anchor, content, name, tag, low, size, state, order))
+        state[-len(twin) :] = 1
+    spread = np.isin(state, (1, 2))
+    route = np.where(spread, _spread(name, tag, low), anchor)
+    back = np.argsort(order, kind="stable")  # rows of a document together compress better
+    columns = {"route": route, "content": content, "__id": name, "__tag": tag, "low": low.astype(np.int32), "size": size.astype(np.int32), "state": state}
+    return _batch({k: c[back] for k, c in columns.items()})
 
 
 def stretches(docs: DataFrame, windows: Windows, keep_first: bool) -> DataFrame:
-    """Rows of STRETCH, routed by anchor.  state: 0 unless the batch has settled the stretch
-    (1), knows it as one of a common anchor (2), or has more like it (3, the row that stands
-    for them in the anchor's group; 4 where the anchor is common, too)."""
+    """``stretch_rows`` of all documents."""
 
     def run(batches):
         for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
-            name, tag = _keys(batch)
-            for i, _, data, at in K.blocks(batch.column("text"), 1 << 20):
-                prefix, first = windows.items(data, at)
-                doc, low, end, anchor, content = windows.stretches(prefix, first)
-                parts.append((anchor, content, name[i + doc], tag[i + doc], low - first[doc], end - low))
-            if not parts or not sum(len(p[0]) for p in parts):
-                continue
-            anchor, content, name, tag, low, size = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = _order(anchor, content, name, low)
-            anchor, content, name, tag, low, size = (c[order] for c in (anchor, content, name, tag, low, size))
-            group, kind = _starts(anchor), _starts(anchor, content)
-            # Of equal stretches one stands for all; the others are settled here.
-            head = np.flatnonzero(kind)
-            of = kind.cumsum() - 1
-            many = np.bincount(of) > 1
-            state = np.zeros(len(anchor), np.int32)
-            if keep_first:
-                later = (name > name[head][of]) | ((name == name[head][of]) & (low > low[head][of]))
-                state[later] = 1
-            else:
-                state[~kind & many[of]] = 1
-                state[head[many]] = 3
-            # An anchor with many kinds of stretches is common: only its first one stays.
-            kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(group))
-            common = (kinds > COMMON)[group.cumsum() - 1]
-            state[common & (state != 1)] = 2
-            state[group & common] = 4
-            # A common one that stands for more goes whatever its windows say.
-            twin = np.flatnonzero(common & kind & many[of]) if not keep_first else np.zeros(0, np.int64)
-            if len(twin):
-                anchor, content, name, tag, low, size, state, order = (np.concatenate([c, c[twin]]) for c in (anchor, content, name, tag, low, size, state, order))
-                state[-len(twin) :] = 1
-            spread = np.isin(state, (1, 2))
-            route = np.where(spread, _spread(name, tag, low), anchor)
-            back = np.argsort(order, kind="stable")  # rows of a document together compress better
-            columns = {"route": route, "content": content, "__id": name, "__tag": tag, "low": low.astype(np.int32), "size": size.astype(np.int32), "state": state}
-            yield _batch({k: c[back] for k, c in columns.items()})
+            rows = stretch_rows(batch, windows, keep_first)
+            if rows is not None:
+                yield rows
 
     keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__id"), F.hash("text").alias("__tag"), "text")
     return keys.mapInArrow(run, STRETCH)

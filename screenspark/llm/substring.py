@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import anchors
 from . import repeats as R
 from . import textkernel as K
 
@@ -103,7 +104,8 @@ def _runs(name: np.ndarray, tag: np.ndarray, low: np.ndarray, size: np.ndarray)
 
 def repeated_windows(docs: DataFrame, windows: R.Windows, keep_first: bool) -> DataFrame:
     """(low, size) of the runs of windows that go, by document."""
-    marks = R.settle(R.stretches(docs, windows, keep_first), keep_first)
+    rows = R.stretches(docs, windows, True) if keep_first else anchors.stretches(docs, windows)
+    marks = R.settle(rows, keep_first)
     rows = R.opened(docs, marks, windows, keep_first, keep_first)
 
     def one(part: pa.Table) -> pa.RecordBatch:

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from screenspark.llm import anchors as A
 from screenspark.llm import repeats as R
 from screenspark.llm import substring as S
 
@@ -79,12 +80,13 @@ def brute_bytes(rows, width):
 
 @pytest.fixture(scope="module", params=["plain", "common"])
 def crowding(request):
-    """The second time every anchor with two kinds of stretches counts as common."""
-    old = R.COMMON, R.CROWDED, R.CHUNK_ROWS
+    """The second time every anchor with two kinds of stretches counts as common, and the
+    documents are dealt into many buckets."""
+    old = R.COMMON, R.CROWDED, R.CHUNK_ROWS, A.BUCKET_BYTES
     if request.param == "common":
-        R.COMMON, R.CROWDED, R.CHUNK_ROWS = 1, 1, 50
+        R.COMMON, R.CROWDED, R.CHUNK_ROWS, A.BUCKET_BYTES = 1, 1, 50, 5000
     yield
-    R.COMMON, R.CROWDED, R.CHUNK_ROWS = old
+    R.COMMON, R.CROWDED, R.CHUNK_ROWS, A.BUCKET_BYTES = old
 
 
 @pytest.mark.parametrize("seed", [5, 6])
@@ -103,6 +105,29 @@ def test_bytes_match_brute_force(spark, crowding, seed):
     assert got == brute_bytes(rows, 100)
 
 
+def test_hits_are_grid_blocks_found_elsewhere(spark):
+    rows = [(i, t) for i, t in corpus(7, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs, _ = A.dealt(df)
+    found = A.hits(A.probes(docs, S.WORDS, 5)).collect()
+    got = {int(h) for r in found for h in A._unpacked(r.hits)}
+    grid, every = set(), Counter()
+    for _, t in rows:
+        w = WORD.findall(t or "")
+        for s in range(len(w) - 17 if len(w) >= 35 else 0):
+            every[tuple(w[s : s + 18])] += 1
+            grid |= {tuple(w[s : s + 18])} if s % 18 == 0 else set()
+    assert len(got) == sum(every[g] > 1 for g in grid) > 20
+
+
+def test_packed_numbers_come_back():
+    for n in (0, 1, 1000):
+        values = np.sort(np.random.default_rng(n).integers(0, 2**44, n, dtype=np.uint64))
+        assert (A._unpacked(A._packed(values)) == values).all()
+        marks = values % np.uint64(3) == 0
+        assert (A._unflagged(A._flags(marks), n) == marks).all()
+
+
 def test_empty_table_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.repeated_words(empty).collect() == [] and S.repeated_bytes(empty).collect() == []
