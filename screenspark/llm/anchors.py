@@ -121,12 +121,13 @@ def stretches(docs: DataFrame, windows: R.Windows) -> DataFrame:
     its hit of least hash, and equal windows hold equal hits."""
     docs, n = dealt(docs)
     found = hits(probes(docs, windows, n))
+    most = R.COMMON
 
     def one(part: pa.Table, answers: pa.Table) -> pa.Table:
         rows = None
         if part.num_rows and answers.num_rows:
             live = np.sort(np.concatenate([_unpacked(raw) for raw in answers.column("hits").to_pylist()]))
-            rows = R.stretch_rows(_texts(part), windows, False, lambda grams: _among(grams >> np.uint64(64 - BITS), live))
+            rows = R.stretch_rows(_texts(part), windows, False, most, lambda grams: _among(grams >> np.uint64(64 - BITS), live))
         return pa.Table.from_batches([rows] if rows is not None else [], R.STRETCH_ARROW)
 
     return docs.groupBy("__bucket").cogroup(found.groupBy("__bucket")).applyInArrow(one, R.STRETCH)

@@ -163,7 +163,7 @@ STRETCH = "route long, content long, __id long, __tag int, low int, size int, st
 STRETCH_ARROW = pa.schema([(n, pa.int64() if t == "long" else pa.int32()) for n, t in (c.split() for c in STRETCH.split(", "))])
 
 
-def stretch_rows(batch: pa.RecordBatch, windows: Windows, keep_first: bool, hit: Callable[[np.ndarray], np.ndarray] | None = None) -> pa.RecordBatch | None:
+def stretch_rows(batch: pa.RecordBatch, windows: Windows, keep_first: bool, most: int, hit: Callable[[np.ndarray], np.ndarray] | None = None) -> pa.RecordBatch | None:
     """Rows of STRETCH of a batch of keyed documents, routed by anchor.  state: 0 unless the
     batch has settled the stretch (1), knows it as one of a common anchor (2), or has more like
     it (3, the row that stands for them in the anchor's group; 4 where the anchor is common,
@@ -191,9 +191,9 @@ def stretch_rows(batch: pa.RecordBatch, windows: Windows, keep_first: bool, hit:
     else:
         state[~kind & many[of]] = 1
         state[head[many]] = 3
-    # An anchor with many kinds of stretches is common: only its first one stays.
+    # An anchor with more kinds of stretches than ``most`` is common: only its first one stays.
     kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(group))
-    common = (kinds > COMMON)[group.cumsum() - 1]
+    common = (kinds > most)[group.cumsum() - 1]
     state[common & (state != 1)] = 2
     state[group & common] = 4
     # A common one that stands for more goes whatever its windows say.
@@ -210,10 +210,11 @@ def stretch_rows(batch: pa.RecordBatch, windows: Windows, keep_first: bool, hit:
 
 def stretches(docs: DataFrame, windows: Windows, keep_first: bool) -> DataFrame:
     """``stretch_rows`` of all documents."""
+    most = COMMON
 
     def run(batches):
         for batch in batches:
-            rows = stretch_rows(batch, windows, keep_first)
+            rows = stretch_rows(batch, windows, keep_first, most)
             if rows is not None:
                 yield rows
 
@@ -221,7 +222,7 @@ def stretches(docs: DataFrame, windows: Windows, keep_first: bool) -> DataFrame:
     return keys.mapInArrow(run, STRETCH)
 
 
-def chunked(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+def chunked(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
     """Tables of whole groups of consecutive rows with equal key."""
     held: list[pa.RecordBatch] = []
     rows = size = 0
@@ -230,7 +231,7 @@ def chunked(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             continue
         held.append(batch)
         rows, size = rows + batch.num_rows, size + batch.nbytes
-        if rows < CHUNK_ROWS and size < CHUNK_BYTES:
+        if rows < most and size < CHUNK_BYTES:
             continue
         last = batch.column(key)[-1]
         mark = pa.Table.from_batches(held)
@@ -246,9 +247,10 @@ def chunked(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 def by_group(df: DataFrame, key: str, f: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Runs f over tables of whole groups, with the groups dealt over tasks by key."""
+    most = CHUNK_ROWS
 
     def run(batches):
-        for part in chunked(batches, key):
+        for part in chunked(batches, key, most):
             out = f(part)
             if out is not None and out.num_rows:
                 yield out
