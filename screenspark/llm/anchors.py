@@ -10,17 +10,20 @@ with the windows that hold one; ``repeats`` extends those to maximal exact repea
 Probes are many, so they travel packed.  Documents are dealt into buckets of about
 BUCKET_BYTES of text.  Of each bucket the distinct hashes, in order, are cut into as many
 ranges, and a row holds the differences of one range.  A range is probed in one piece and
-answers each bucket with its hits, which meet the bucket's documents again.  However often a
-block occurs, a bucket sends it once.  Hashes have BITS bits here; a false hit costs a
+answers each bucket with its hits, which meet the bucket's documents again; so do the windows
+that go in the end, and the documents are shuffled once for all of it.  However often a block
+occurs, a bucket sends it once.  Hashes have BITS bits here; a false hit costs a
 comparison and changes no result, since windows are compared by 64 bits later.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats as R
@@ -51,11 +54,15 @@ def _unflagged(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8), count=n).astype(bool)
 
 
+def _bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64(*R.KEY), F.lit(n))
+
+
 def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
     """Keyed documents with the number of their bucket, and the number of buckets."""
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total // BUCKET_BYTES
-    return R.keyed(docs.select("doc_id", "text")).withColumn("__bucket", F.pmod(F.xxhash64(*R.KEY), F.lit(n))), n
+    return R.keyed(docs).withColumn("__bucket", _bucket(n)), n
 
 
 def _texts(part: pa.Table) -> pa.RecordBatch:
@@ -116,10 +123,9 @@ def hits(probes: DataFrame) -> DataFrame:
     return R.by_group(probes, "__range", one, "__bucket long, hits binary")
 
 
-def stretches(docs: DataFrame, windows: R.Windows) -> DataFrame:
-    """Rows of ``repeats.STRETCH`` of the windows that hold a hit; the anchor of a window is
-    its hit of least hash, and equal windows hold equal hits."""
-    docs, n = dealt(docs)
+def stretches(docs: DataFrame, n: int, windows: R.Windows) -> DataFrame:
+    """Rows of ``repeats.STRETCH`` of the windows of dealt documents that hold a hit; the anchor
+    of a window is its hit of least hash, and equal windows hold equal hits."""
     found = hits(probes(docs, windows, n))
     most = R.COMMON
 
@@ -135,3 +141,21 @@ def stretches(docs: DataFrame, windows: R.Windows) -> DataFrame:
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def removed(docs: DataFrame, n: int, spans: DataFrame, f: Callable[[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]], pa.RecordBatch], schema) -> DataFrame:
+    """``repeats.removed`` for dealt documents, bucket by bucket."""
+
+    def one(part: pa.Table, found: pa.Table) -> pa.Table:
+        name, tag, low, size = R._columns(found, *R.KEY, "low", "size")
+        order = R._order(name, tag, low)
+        name, tag, low, size = (c[order].astype(np.int64) for c in (name, tag, low, size))
+        at = np.append(np.flatnonzero(R._starts(name, tag)), len(name)).tolist()
+        own = {(name[a], tag[a]): (low[a:b], low[a:b] + size[a:b]) for a, b in zip(at, at[1:], strict=False)}
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        batch = _texts(part)
+        spans_of = [own.get(key, none) for key in zip(*(k.tolist() for k in R._keys(batch)), strict=True)]
+        return pa.Table.from_batches([f(batch.drop_columns([*R.KEY, "__bucket"]), spans_of)])
+
+    goes = spans.select(*R.KEY, "low", "size", _bucket(n).alias("__bucket"))
+    return docs.groupBy("__bucket").cogroup(goes.groupBy("__bucket")).applyInArrow(one, schema)

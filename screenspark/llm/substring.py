@@ -102,9 +102,8 @@ def _runs(name: np.ndarray, tag: np.ndarray, low: np.ndarray, size: np.ndarray)
     return [name[at], tag[at], low[at], low[last] + size[last] - low[at] if len(at) else size]
 
 
-def repeated_windows(docs: DataFrame, windows: R.Windows, keep_first: bool) -> DataFrame:
-    """(low, size) of the runs of windows that go, by document."""
-    rows = R.stretches(docs, windows, True) if keep_first else anchors.stretches(docs, windows)
+def repeated_windows(docs: DataFrame, rows: DataFrame, windows: R.Windows, keep_first: bool) -> DataFrame:
+    """(low, size) of the runs of windows that go, by document; rows: their stretches."""
     marks = R.settle(rows, keep_first)
     rows = R.opened(docs, marks, windows, keep_first, keep_first)
 
@@ -139,6 +138,13 @@ def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, gone: np.ndarr
     return b" ".join([raw[s - base : e - base] for s, e in zip(start[keep].tolist(), end[keep].tolist(), strict=True)])
 
 
+def _changed(docs: DataFrame, windows: R.Windows, f, schema) -> DataFrame:
+    """Runs f over all documents with the windows of each that also start elsewhere."""
+    buckets, n = anchors.dealt(docs)
+    spans = repeated_windows(docs.select("doc_id", "text"), anchors.stretches(buckets, n, windows), windows, keep_first=False)
+    return anchors.removed(buckets, n, spans, f, schema)
+
+
 def repeated_words(docs: DataFrame, windows: R.Windows = WORDS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every document."""
 
@@ -151,8 +157,7 @@ def repeated_words(docs: DataFrame, windows: R.Windows = WORDS) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spans = repeated_windows(docs.select("doc_id", "text"), windows, keep_first=False)
-    return R.removed(docs.select("doc_id", "text"), spans, one, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _changed(docs.select("doc_id", "text"), windows, one, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeated_words(docs: DataFrame, windows: R.Windows = WORDS) -> DataFrame:
@@ -177,8 +182,7 @@ def without_repeated_words(docs: DataFrame, windows: R.Windows = WORDS) -> DataF
             columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
         return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    spans = repeated_windows(docs.select("doc_id", "text"), windows, keep_first=False)
-    return R.removed(docs, spans, one, docs.schema)
+    return _changed(docs, windows, one, docs.schema)
 
 
 def repeated_bytes(docs: DataFrame, windows: R.Windows = BYTES) -> DataFrame:
@@ -196,5 +200,6 @@ def repeated_bytes(docs: DataFrame, windows: R.Windows = BYTES) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spans = repeated_windows(docs.select("doc_id", "text"), windows, keep_first=True)
+    own = docs.select("doc_id", "text")
+    spans = repeated_windows(own, R.stretches(own, windows, True), windows, keep_first=True)
     return R.removed(docs.select("doc_id", "text"), spans, one, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
