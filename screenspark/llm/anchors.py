@@ -32,7 +32,7 @@ from . import textkernel as K
 #: Bits of a hash that probes carry.
 BITS = 44
 #: Bytes of text in a bucket, about; buckets and ranges grow in number with the input.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -81,7 +81,9 @@ def probes(docs: DataFrame, windows: R.Windows, ranges: int) -> DataFrame:
             if len(start):
                 grid = own % windows.block == 0
                 seen.append((prefix.rolling(windows.block)[start] >> np.uint64(64 - BITS)) << np.uint64(1) | grid.astype(np.uint64))
-        found = np.sort(np.concatenate(seen))
+        found = np.concatenate(seen)
+        seen.clear()
+        found.sort()
         head = np.flatnonzero(R._starts(found >> np.uint64(1)))
         grid = np.maximum.reduceat(found & np.uint64(1), head) > 0 if len(head) else np.zeros(0, bool)
         many = np.diff(np.append(head, len(found))) > 1
