@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 
@@ -65,15 +69,28 @@ def edits(draft: DataFrame, target: DataFrame, on: str = "state_id", fields: tup
     return both.select(on, "elem_id", F.explode(F.array_compact(F.array(*ops))).alias("e")).select(on, "elem_id", "e.*")
 
 
-def flatten_json(hierarchy: str = "hierarchy", max_depth: int = 12) -> F.Column:
-    """Pre-order array of the nodes of a nested JSON tree, as JSON strings, up to a depth."""
-    children = lambda n: F.coalesce(F.from_json(F.get_json_object(n, "$.children"), "array<string>"), F.array().cast("array<string>"))
-
-    def walk(node, depth):
-        own = F.array(node)
-        return own if depth == 0 else F.concat(own, F.flatten(F.transform(children(node), lambda c: walk(c, depth - 1))))
-
-    return walk(F.col(hierarchy), max_depth)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def flatten_json(screen: pd.Series) -> pd.Series:
+    """Pre-order array of the nodes of a screen's nested ``hierarchy`` (also under ``dom``), as
+    JSON strings without their children, at any depth; empty for text that is no JSON."""
+
+    def walk(text):
+        try:
+            body = json.loads(text) if text is not None else None
+        except ValueError:
+            return []
+        if isinstance(body, dict) and body.get("dom") is not None:
+            body = body["dom"]
+        node = body.get("hierarchy") if isinstance(body, dict) else None
+        out, todo = [], [] if node is None else [node]
+        while todo:
+            node = todo.pop()
+            children = node.pop("children", None) if isinstance(node, dict) else None
+            out.append(json.dumps(node))
+            todo += reversed(children) if isinstance(children, list) else []
+        return out
+
+    return screen.map(walk)
 
 
 def from_relations(relations: DataFrame, on: str = "state_id") -> DataFrame:

@@ -38,8 +38,9 @@ def read_screens(spark: SparkSession, path: str) -> DataFrame:
     ``hierarchy`` in pre-order, either of them also under ``dom``."""
     raw = spark.read.text(path, wholetext=True).select(stem().alias("state_id"), F.col("value"))
     body = F.coalesce(F.get_json_object("value", "$.dom"), F.col("value"))
-    parts = raw.select("state_id", F.get_json_object(body, "$.elements").alias("flat"), F.get_json_object(body, "$.hierarchy").alias("hierarchy"))
-    nodes = F.transform(tree.flatten_json("hierarchy"), lambda n: F.from_json(n, _NODE))
+    flat = F.get_json_object(body, "$.elements")
+    parts = raw.select("state_id", flat.alias("flat"), tree.flatten_json(F.when(flat.isNull(), F.col("value"))).alias("nodes"))
+    nodes = F.transform("nodes", lambda n: F.from_json(n, _NODE))
     nested = F.filter(nodes, lambda n: F.coalesce(F.upper(n["id"]), F.lit("")) != "ROOT")
     elements = F.when(F.col("flat").isNotNull(), F.from_json("flat", f"array<struct<{_fields()}>>")).otherwise(nested)
     rows = parts.select("state_id", F.posexplode(elements).alias("elem_id", "e"))

@@ -28,6 +28,16 @@ def test_screens_flat_and_nested(spark, tmp_path):
     assert got == {(s, k): v for s in "ab" for k, v in want.items()}
 
 
+@pytest.mark.parametrize("depth", [13, 700])
+def test_deeply_nested_screens_are_read_whole(spark, tmp_path, depth):
+    node = None
+    for k in range(depth, 0, -1):
+        node = {"id": f"E{k}", "bounds": [0, 0, k, k], "children": [*([node] if node else []), {"id": f"S{k}", "bounds": [0, 0, 1, 1]}]}
+    put(tmp_path / "a.json", {"dom": {"hierarchy": node}})
+    got = [r.elem_key for r in A.read_screens(spark, str(tmp_path)).orderBy("elem_id").collect()]
+    assert got == [f"E{k}" for k in range(1, depth + 1)] + [f"S{k}" for k in range(depth, 0, -1)]
+
+
 def test_pairs_skip_screens_without_labels(spark, tmp_path):
     put(tmp_path / "p/a.json", {"elements": NODES})
     put(tmp_path / "p/b.json", {"elements": NODES})
