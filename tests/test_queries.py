@@ -1,5 +1,6 @@
 """Every registered query against its SQL, on the smallest tables."""
 
+import difflib
 import importlib.util
 import os
 
@@ -51,3 +52,18 @@ def test_entry_module_without_the_corpus_operators(spark):
     module.HAS_LLM = False
     assert set(module.queries()) == set(catalog.QUERIES) and set(module.oracle_sql()) == set(catalog.ORACLE_SQL)
     assert module.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["text_similarity", "edit_script_counts"])
+def test_text_pairs_are_whole_texts_of_all_languages(spark, tmp_path, name):
+    texts = {1: ("en", "The cat sat on the mat. " * 9 + "zq"), 2: ("de", "Größe, Maß und Übung; " * 5), 3: (None, "short"), 4: ("fr", "x")}
+    spark.createDataFrame([(i, *t) for i, t in texts.items()], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: tuple(r)[1:] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, (_, t) in texts.items():
+        if name == "text_similarity":
+            score = difflib.SequenceMatcher(None, t[1:].lower(), t.lower()).ratio()
+            want |= {i: (round(score, 6),)} if score >= 0.6 else {}
+        else:
+            want[i] = (0, 1, 0)
+    assert got == want and len(want) >= 3
