@@ -13,7 +13,8 @@ fewest such shingles, which tends to be the original of its copies.  Pairs are v
 vertical partitions: the shingles are cut into fragments, the overlap of a pair is counted
 in each fragment on its own, and the counts are summed per pair.  Links make components;
 then the pairs that still meet across components, and may share enough by the place at which
-they meet, are verified the same way.  So copies of one text never become all their pairs,
+they meet, are verified the same way; where a group has many of those, further nodes of it
+are paired with all others first.  Groups are joined in tiles of a bounded size.  So copies of one text never become all their pairs,
 and no link between different components is lost.
 
 Nulls: a null text has no words, hence an empty set, which links with nothing; a null
@@ -41,6 +42,8 @@ SHINGLE = 5
 #: Counters of the frequency sketch (2 ** SKETCH_BITS), and parts that it is summed in.
 SKETCH_BITS, SKETCH_PARTS = 22, 256
 FRAGMENT_BITS = 1
+#: Rows of a group on each side of a tile; pairs of a group from which further hubs are tried.
+TILE_ROWS, HUB_PAIRS = 1000, 4_000_000
 
 
 def key_of() -> Column:
@@ -234,46 +237,63 @@ def components(edges: DataFrame) -> DataFrame:
             return at
 
 
-def across(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, na, nb): nodes of different components that may share enough shingles.
+def mixed(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of live in groups with several labels, with ``label``, ``main`` (the label with most
+    rows in the group), how many ``rows`` the group has, and ``others`` beside the main label."""
+    named = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = named.groupBy("token", "label").agg(F.count("*").alias("m"))
+    groups = sizes.groupBy("token").agg(F.sum("m").alias("rows"), F.max("m").alias("m"), F.max_by("label", "m").alias("main")).where("rows > m")
+    return named.join(groups.select("token", "rows", "main", (F.col("rows") - F.col("m")).alias("others")), "token")
+
+
+def joined_by_hubs(docs: DataFrame, live: DataFrame, links: DataFrame, where: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, mixed rows): in groups with many pairs of different labels, one node beside the
+    main label is verified with all others, and labels are made anew, as long as that halves
+    the pairs that are left in such groups."""
+    before = None
+    while True:
+        rows = checkpoint(mixed(live, components(links)))
+        crowded = rows.where(F.col("rows") * F.col("others") > HUB_PAIRS)
+        pairs = crowded.agg(F.sum("others")).first()[0] or 0
+        if not pairs or (before is not None and 2 * pairs > before):
+            return links, rows
+        before = pairs
+        own = F.struct(F.xxhash64("node", F.lit(pairs)).alias("draw"), "node", "n", "most", "last", "label")
+        hubs = crowded.where("label <> main").groupBy("token").agg(F.max(own).alias("hub"))
+        stars = crowded.join(hubs, "token").where("label <> hub.label").withColumn("x", F.struct("n", "most", "last")).where(possible("x", "hub"))
+        links = checkpoint(union([links, verified(docs, _ordered(stars, "node", "n", "hub.node", "hub.n").distinct(), where)]))
+
+
+def _ordered(rows: DataFrame, x: str, nx: str, y: str, ny: str) -> DataFrame:
+    """(a, b, na, nb) with the lesser node first."""
+    swap = F.col(x) > F.col(y)
+    pick = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c))
+    return rows.select(pick(x, y).alias("a"), pick(y, x).alias("b"), pick(nx, ny).cast("int").alias("na"), pick(ny, nx).cast("int").alias("nb"))
+
+
+def across(rows: DataFrame) -> DataFrame:
+    """(a, b, na, nb): nodes of different components that may share enough shingles, of mixed
+    rows.
+
+    Of each such pair one has another label than the group's main one: those rows are joined
+    with all rows of the group, in tiles of a bounded size, so that neither a group nor the
+    pairs within a label meet in a task.
 
     What two sets share up to the end of the shorter prefix they share among the shingles
     that other prefixes have, too (``left``: how many of those a node has from a shingle on);
     beyond it lie only ``spare`` shingles of that set."""
-    named = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    group = Window.partitionBy("token")
-    mixed = named.withColumn("low", F.min("label").over(group)).withColumn("high", F.max("label").over(group)).where("low <> high")
-
-    def one(part: pa.Table) -> pa.RecordBatch:
-        columns = R._columns(part, "token", "n", "node", "label", "most", "last", "spare", "left")
-        order = np.lexsort(columns[2::-1])
-        columns = [c[order].astype(np.int64) for c in columns]
-        new = R._starts(*columns[:3])
-        token, n, node, label, most, last, spare, left = (c[new] for c in columns)
-        at = np.flatnonzero(R._starts(token))
-        # Each node meets the larger sets of its group, up to those too large for a link.
-        stop = np.empty(len(token), np.int64)
-        for i, j in zip(at.tolist(), np.append(at[1:], len(token)).tolist(), strict=True):
-            stop[i:j] = i + np.searchsorted(n[i:j], n[i:j] * 5 // 4, "right")
-        found = []
-        many = stop - np.arange(len(token)) - 1
-        for s in range(0, len(token), 500):
-            m = many[s : s + 500]
-            x = np.repeat(np.arange(s, s + len(m)), m)
-            y = x + 1 + np.arange(len(x)) - np.repeat(m.cumsum() - m, m)
-            first = lambda c: np.where(last[x] < last[y], c[x], np.where(last[x] > last[y], c[y], np.minimum(c[x], c[y])))  # noqa: B023, E731
-            room = (label[x] != label[y]) & (9 * first(most) >= 4 * (n[x] + n[y]))
-            # At the first shingle that a pair shares, enough must be left for the others.
-            room &= 9 * (np.minimum(left[x], left[y]) + first(spare)) >= 4 * (n[x] + n[y])
-            found.append((x[room], y[room]))
-        x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-        rows = np.stack([node[x], node[y], n[x], n[y]])
-        rows[:, rows[0] > rows[1]] = rows[[1, 0, 3, 2]][:, rows[0] > rows[1]]
-        pair = np.unique(rows, axis=1)
-        return R._batch({"a": pair[0], "b": pair[1], "na": pair[2].astype(np.int32), "nb": pair[3].astype(np.int32)})
-
-    columns = ["token", "node", "label", "n", "most", "last", "spare", "left"]
-    return R.by_group(mixed.select(columns), "token", one, "a long, b long, na int, nb int").distinct()
+    tiles = lambda c: F.ceil(F.col(c) / TILE_ROWS).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), tiles(c) - 1))
+    one = lambda c: F.pmod(F.xxhash64("node"), tiles(c)).cast("int")
+    own = F.struct("node", "label", "n", "most", "last", "spare", "left")
+    x = rows.select("token", "main", one("rows").alias("i"), every("others").alias("j"), own.alias("x"))
+    y = rows.where("label <> main").select("token", every("rows").alias("i"), one("others").alias("j"), own.alias("y"))
+    once = (F.col("x.label") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
+    # At the first shingle that a pair shares, enough must be left for the others.
+    spare = F.when(F.col("x.last") < F.col("y.last"), F.col("x.spare")).when(F.col("x.last") > F.col("y.last"), F.col("y.spare")).otherwise(F.least("x.spare", "y.spare"))
+    room = 9 * (F.least("x.left", "y.left") + spare) >= 4 * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, ["token", "i", "j"]).where((F.col("x.label") != F.col("y.label")) & once & possible("x", "y") & room)
+    return _ordered(met, "x.node", "x.n", "y.node", "y.n").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -292,14 +312,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     most = (F.col("n") - F.col("prefix") + F.col("alive")).cast("int").alias("most")
     nodes = checkpoint(_heads(docs, rank, tokens=False).distinct().join(alive, "node").select("node", "n", most, "last", (F.col("n") - F.col("prefix")).alias("spare")))
     left = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("place"))).alias("left")
-    live = live.select("token", "node", left).join(nodes, "node")
+    live = checkpoint(live.select("token", "node", left).join(nodes, "node"))
 
     own = F.struct(F.try_divide("most", "n").alias("share"), "node", "n", "most", "last")
-    stars = live.select(own.alias("x"), F.max(own).over(group).alias("hub")).where("x.node <> hub.node").where(possible("x", "hub"))
+    hubs = live.groupBy("token").agg(F.max(own).alias("hub"))
+    stars = live.join(hubs, "token").select(own.alias("x"), "hub").where("x.node <> hub.node").where(possible("x", "hub"))
     stars = stars.select(F.col("hub.node").alias("a"), F.col("x.node").alias("b"), F.col("hub.n").alias("na"), F.col("x.n").alias("nb")).distinct()
     first = checkpoint(verified(docs, stars, where))
-    rest = across(live, components(first))
-    links = union([first, verified(docs, rest, where)])
+    first, rows = joined_by_hubs(docs, live, first, where)
+    links = union([first, verified(docs, across(rows), where)])
     labels = components(links)
 
     named = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

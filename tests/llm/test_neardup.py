@@ -86,3 +86,43 @@ def test_empty_and_null(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (4, None), (None, "")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 2, 3), (3, 2, 3), (4, 0, 4), (None, 0, None)], key=str)
+
+
+def test_a_large_group_is_joined_in_tiles(spark, monkeypatch):
+    def whole_group(*_):
+        raise AssertionError("a whole group in one task")
+
+    monkeypatch.setattr(N.R, "by_group", whole_group)
+    rng = random.Random(3)
+    base = [f"t{k}" for k in range(120)]
+    rows = []
+    for i in range(120):  # near copies that all differ
+        w = base[:]
+        w[rng.randrange(30, 120)] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(40):  # strays that share a passage with them, some with each other
+        rows.append((200 + i, " ".join(base[:30] + [f"s{i // 2}_{k}" for k in range(90)] + [f"e{i}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for tile, pairs in ((1000, 4_000_000), (7, 50)):
+        monkeypatch.setattr(N, "TILE_ROWS", tile, raising=False)
+        monkeypatch.setattr(N, "HUB_PAIRS", pairs, raising=False)
+        assert sorted(tuple(r) for r in N.near_duplicates(df).drop("doc_key").collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("tile", [1, 5, 1000])
+def test_pairs_across_components_match_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(N, "TILE_ROWS", tile, raising=False)
+    rng = random.Random(tile)
+    node = {k: (rng.choice([90, 100, 130]), rng.randint(40, 100), rng.randint(0, 3), 60) for k in range(60)}
+    label = {k: rng.choice([0, 0, 0, k]) for k in node}
+    rows = [(t, k, rng.randint(1, 40), *node[k]) for t in range(3) for k in node if rng.random() < 0.7]
+    live = spark.createDataFrame(rows, "token long, node long, left int, n int, most int, last long, spare int")
+    labels = spark.createDataFrame(list(label.items()), "node long, label long")
+    want = set()
+    for t, a, left_a, na, most_a, last_a, spare_a in rows:
+        for u, b, left_b, nb, most_b, last_b, spare_b in rows:
+            pick = lambda x, y: x if last_a < last_b else y if last_a > last_b else min(x, y)  # noqa: B023, E731
+            if t == u and a < b and label[a] != label[b] and 5 * min(na, nb) >= 4 * max(na, nb) and 9 * pick(most_a, most_b) >= 4 * (na + nb) and 9 * (min(left_a, left_b) + pick(spare_a, spare_b)) >= 4 * (na + nb):
+                want.add((a, b, na, nb))
+    got = [tuple(r) for r in N.across(N.mixed(live, labels)).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
