@@ -8,12 +8,13 @@ index that is found at some other place, too.  ``hits`` finds them, and ``stretc
 with the windows that hold one; ``repeats`` extends those to maximal exact repeats.
 
 Probes are many, so they travel packed.  Documents are dealt into buckets of about
-BUCKET_BYTES of text.  Of each bucket the distinct hashes, in order, are cut into as many
-ranges, and a row holds the differences of one range.  A range is probed in one piece and
-answers each bucket with its hits, which meet the bucket's documents again; so do the windows
-that go in the end, and the documents are shuffled once for all of it.  However often a block
-occurs, a bucket sends it once.  Hashes have BITS bits here; a false hit costs a
-comparison and changes no result, since windows are compared by 64 bits later.
+BUCKET_BYTES of text.  Of each bucket the distinct hashes, in order, are cut into ranges, and
+a row holds the differences of one range.  A range is probed in one piece, of about
+RANGE_BUCKETS buckets' worth of hashes, and answers each bucket with its hits, which meet the
+bucket's documents again; so do the windows that go in the end, and the documents are shuffled
+once for all of it.  However often a block occurs, a bucket sends it once.  Hashes have SPARE
+bits more here than the text has bytes, so the share of false hits is the same at every size;
+one costs a comparison and changes no result, since windows are compared by 64 bits later.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from . import repeats as R
 from . import textkernel as K
 
-#: Bits of a hash that probes carry.
-BITS = 44
+#: Bits of a hash that probes carry, beyond those that number the bytes of the input.
+SPARE = 15
 #: Bytes of text in a bucket, about; buckets and ranges grow in number with the input.
 BUCKET_BYTES = 4 << 20
+#: Hashes of how many buckets a task probes at a time.
+RANGE_BUCKETS = 4
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -58,18 +61,18 @@ def _bucket(n: int) -> Column:
     return F.pmod(F.xxhash64(*R.KEY), F.lit(n))
 
 
-def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Keyed documents with the number of their bucket, and the number of buckets."""
+def dealt(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """Keyed documents with the number of their bucket; the number of buckets; bits of a hash."""
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total // BUCKET_BYTES
-    return R.keyed(docs).withColumn("__bucket", _bucket(n)), n
+    return R.keyed(docs).withColumn("__bucket", _bucket(n)), n, min(63, SPARE + max(20, total.bit_length()))
 
 
 def _texts(part: pa.Table) -> pa.RecordBatch:
     return R.plain(part.combine_chunks().to_batches()[0])
 
 
-def probes(docs: DataFrame, windows: R.Windows, ranges: int) -> DataFrame:
+def probes(docs: DataFrame, windows: R.Windows, ranges: int, bits: int) -> DataFrame:
     """(__range, __bucket, grams, grid, many): distinct rolling windows of a bucket in one range
     of hashes, whether each is a block of the grid, and whether it occurs more than once."""
 
@@ -80,7 +83,7 @@ def probes(docs: DataFrame, windows: R.Windows, ranges: int) -> DataFrame:
             start, own = windows.rolling(first)
             if len(start):
                 grid = own % windows.block == 0
-                seen.append((prefix.rolling(windows.block)[start] >> np.uint64(64 - BITS)) << np.uint64(1) | grid.astype(np.uint64))
+                seen.append((prefix.rolling(windows.block)[start] >> np.uint64(64 - bits)) << np.uint64(1) | grid.astype(np.uint64))
         found = np.concatenate(seen)
         seen.clear()
         found.sort()
@@ -89,7 +92,7 @@ def probes(docs: DataFrame, windows: R.Windows, ranges: int) -> DataFrame:
         many = np.diff(np.append(head, len(found))) > 1
         grams = found[head] >> np.uint64(1)
         # The ranges cut the space of hashes evenly.
-        to = (grams >> np.uint64(BITS - 32)) * np.uint64(ranges) >> np.uint64(32)
+        to = (grams >> np.uint64(bits - 32)) * np.uint64(ranges) >> np.uint64(32)
         cut = np.append(np.flatnonzero(R._starts(to)), len(grams))
         spans = [slice(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         return pa.table({
@@ -125,17 +128,17 @@ def hits(probes: DataFrame) -> DataFrame:
     return R.by_group(probes, "__range", one, "__bucket long, hits binary")
 
 
-def stretches(docs: DataFrame, n: int, windows: R.Windows) -> DataFrame:
+def stretches(docs: DataFrame, n: int, bits: int, windows: R.Windows) -> DataFrame:
     """Rows of ``repeats.STRETCH`` of the windows of dealt documents that hold a hit; the anchor
     of a window is its hit of least hash, and equal windows hold equal hits."""
-    found = hits(probes(docs, windows, n))
+    found = hits(probes(docs, windows, -(-n // RANGE_BUCKETS), bits))
     most = R.COMMON
 
     def one(part: pa.Table, answers: pa.Table) -> pa.Table:
         rows = None
         if part.num_rows and answers.num_rows:
             live = np.sort(np.concatenate([_unpacked(raw) for raw in answers.column("hits").to_pylist()]))
-            rows = R.stretch_rows(_texts(part), windows, False, most, lambda grams: _among(grams >> np.uint64(64 - BITS), live))
+            rows = R.stretch_rows(_texts(part), windows, False, most, lambda grams: _among(grams >> np.uint64(64 - bits), live))
         return pa.Table.from_batches([rows] if rows is not None else [], R.STRETCH_ARROW)
 
     return docs.groupBy("__bucket").cogroup(found.groupBy("__bucket")).applyInArrow(one, R.STRETCH)

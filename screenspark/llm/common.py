@@ -9,12 +9,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def integer_ids(docs: DataFrame) -> None:
+    """Refuses a table whose doc_id is no integer column; the operators order and hash it as one."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"doc_id must be an integer column, not {kind.simpleString()}")
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null ids have fold -1."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

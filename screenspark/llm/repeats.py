@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,10 +98,16 @@ class Windows:
         return doc[head], low, end, grams[anchor], content
 
 
-#: A document is told by its id (a null id comes last) and a hash of its text.
+#: A document is told by its id and 64 bits of its text; ``__id`` gives the order of documents.
 KEY = ["__id", "__tag"]
 
 
+def keys() -> dict[str, Column]:
+    """The columns of KEY.  A null id comes last, and is told from the largest id by the hash."""
+    null = F.col("doc_id").isNull()
+    return {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__tag": F.xxhash64(null, "text")}
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches that are small enough to hold a few copies of."""
     for batch in batches:
@@ -111,7 +117,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Documents with the columns of KEY and their texts compressed, as they are shuffled."""
-    return compressed(docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__tag": F.hash("text")}))
+    return compressed(docs.withColumns(keys()))
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -156,10 +162,11 @@ def _keys(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 def _spread(name: np.ndarray, tag: np.ndarray, low: np.ndarray) -> np.ndarray:
     """A route of its own for a row that needs no group."""
-    return K.mix(name.view(np.uint64) + (tag.astype(np.int64) * 1_000_003 + low).view(np.uint64))
+    return K.mix(name.view(np.uint64) + K.mix(tag.view(np.uint64)) + low.astype(np.uint64))
 
 
-STRETCH = "route long, content long, __id long, __tag int, low int, size int, state int"
+#: ``at`` holds the first window, the number of windows and the state of a stretch.
+STRETCH = "route long, content long, __id long, __tag long, at long"
 STRETCH_ARROW = pa.schema([(n, pa.int64() if t == "long" else pa.int32()) for n, t in (c.split() for c in STRETCH.split(", "))])
 
 
@@ -204,7 +211,7 @@ def stretch_rows(batch: pa.RecordBatch, windows: Windows, keep_first: bool, most
     spread = np.isin(state, (1, 2))
     route = np.where(spread, _spread(name, tag, low), anchor)
     back = np.argsort(order, kind="stable")  # rows of a document together compress better
-    columns = {"route": route, "content": content, "__id": name, "__tag": tag, "low": low.astype(np.int32), "size": size.astype(np.int32), "state": state}
+    columns = {"route": route, "content": content, "__id": name, "__tag": tag, "at": low.astype(np.int64) << 16 | size.astype(np.int64) << 3 | state}
     return _batch({k: c[back] for k, c in columns.items()})
 
 
@@ -218,8 +225,7 @@ def stretches(docs: DataFrame, windows: Windows, keep_first: bool) -> DataFrame:
             if rows is not None:
                 yield rows
 
-    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__id"), F.hash("text").alias("__tag"), "text")
-    return keys.mapInArrow(run, STRETCH)
+    return docs.select(*[c.alias(k) for k, c in keys().items()], "text").mapInArrow(run, STRETCH)
 
 
 def chunked(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
@@ -267,9 +273,10 @@ def settle(rows: DataFrame, keep_first: bool) -> DataFrame:
     compared, by anchor (ALONE) or one by one (CROWD)."""
 
     def one(part: pa.Table) -> pa.RecordBatch:
-        anchor, content, name, low, state = _columns(part, "route", "content", "__id", "low", "state")
-        order = _order(anchor, content, name, low)
-        anchor, content, name, low, state = (c[order] for c in (anchor, content, name, low, state))
+        anchor, content, name, tag, at = _columns(part, "route", "content", *KEY, "at")
+        order = _order(anchor, content, name, at)
+        anchor, content, name, tag, at = (c[order] for c in (anchor, content, name, tag, at))
+        low, size, state = (at >> 16).astype(np.int32), (at >> 3 & 0x1FFF).astype(np.int32), at & 7
         at, group, kind = np.flatnonzero(_starts(anchor, content)), _starts(anchor), _starts(anchor, content)
         of, owner = kind.cumsum() - 1, group.cumsum() - 1
         kinds = np.add.reduceat(kind.astype(np.int64), np.flatnonzero(group))
@@ -286,7 +293,6 @@ def settle(rows: DataFrame, keep_first: bool) -> DataFrame:
         preset = np.isin(state, (1, 2))
         done = np.where(preset, state == 1, done)
         open_ = np.where(preset, state == 2, open_)
-        size, tag = (c[order] for c in _columns(part, "size", "__tag"))
         out = []
         for chosen, mark in ((done, np.zeros(len(done), np.int32)), (open_, np.where(crowd | preset, CROWD, ALONE).astype(np.int32))):
             rows = np.flatnonzero(chosen)
@@ -294,7 +300,7 @@ def settle(rows: DataFrame, keep_first: bool) -> DataFrame:
         name, tag, anchor, low, size, mark = (np.concatenate(c) for c in zip(*out, strict=True))
         return _batch({"__id": name, "__tag": tag, "anchor": anchor, "low": low, "size": size, "mark": mark})
 
-    return by_group(rows, "route", one, "__id long, __tag int, anchor long, low int, size int, mark int")
+    return by_group(rows, "route", one, "__id long, __tag long, anchor long, low int, size int, mark int")
 
 
 def removed(docs: DataFrame, spans: DataFrame, f: Callable[[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]], pa.RecordBatch], schema: str) -> DataFrame:
@@ -320,7 +326,7 @@ def _lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield low[own][order], (low[own] + size[own])[order]
 
 
-OPEN = "route long, __id long, __tag int, low int, size int, content binary"
+OPEN = "route long, __id long, __tag long, low int, size int, content binary"
 
 
 def opened(docs: DataFrame, marks: DataFrame, windows: Windows, alone_as_text: bool, keep_first: bool) -> DataFrame:

@@ -4,10 +4,12 @@ Operator 3 removes every byte covered by a 100-byte string that also starts earl
 document id and then by place.  Operator 5 removes every word covered by a window of 35
 words that also starts anywhere else.  Both keep all documents and judge the input only.
 
-Nulls: a null text is empty; a null doc_id comes after all others.  Rows with equal doc_id
-and text are documents of their own (operator 5 removes what they share; for operator 3
-none of them is earlier).  Texts shorter than a window lose nothing; other columns of the
-table are ignored; an empty table gives no rows.
+Nulls: a null text is empty; a null doc_id comes after all others, the largest one apart, with
+which it ties.  Rows with equal doc_id (or none) and different texts are documents of their
+own, told apart by 64 bits of their texts; operator 3 orders their places by start alone.  So
+are rows with equal doc_id and text (operator 5 removes what they share; for operator 3 none
+of them is earlier).  Texts shorter than a window lose nothing; other columns of the table are
+ignored, or kept whatever their names; an empty table gives no rows.  doc_id is an integer.
 """
 
 from __future__ import annotations
@@ -22,44 +24,90 @@ from pyspark.sql import functions as F
 from . import anchors
 from . import repeats as R
 from . import textkernel as K
+from .common import integer_ids
 
 BYTES = R.Windows(width=100, block=24, words=False)
 WORDS = R.Windows(width=35, block=18, words=True)
 
 
-def suffix_ranks(text: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
-    """Rank of the suffix at each start among all of them, by its first ``width`` bytes; equal
-    beginnings have equal ranks.  Prefix doubling: ranks of 8 bytes, then of 16, 32, ...
-    Each start has ``width`` bytes behind it."""
+def _ranks(text: np.ndarray, width: int) -> dict[int, np.ndarray]:
+    """{n: rank of the n bytes from each place}, for n = 8, 16, 32, ... up to ``width``, by
+    prefix doubling; equal bytes have equal ranks, and bytes behind the end count as zeros."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     word = padded[:-1] << np.uint64(8) | padded[1:]
     word = word[:-2] << np.uint64(16) | word[2:]
     word = word[:-4] << np.uint64(32) | word[4:]
-    _, rank = np.unique(word[: len(text)], return_inverse=True)
+    ranks = {8: np.unique(word[: len(text)], return_inverse=True)[1]}
     have = 8
-    while 2 * have < width:
-        second = np.zeros(len(rank), np.int64)
-        second[: len(rank) - have] = rank[have:] + 1
-        _, rank = np.unique(rank * (len(text) + 2) + second, return_inverse=True)
+    while 2 * have <= width:
+        rank, second = ranks[have], np.zeros(len(text), np.int64)
+        second[: max(0, len(rank) - have)] = rank[have:] + 1
         have *= 2
-    pair = rank[start].astype(np.int64) * (len(text) + 2) + rank[start + width - have]
-    return np.unique(pair, return_inverse=True)[1]
-
-
-def earlier_matches(rank: np.ndarray, *place: np.ndarray) -> np.ndarray:
-    """Which suffixes have a longest previous factor of at least the ranked width.
-
-    Suffixes of equal rank are neighbours in suffix order with that much in common, and the
-    common length falls at the ends of their run; so a previous or next smaller place within
-    the run exists for all but those at its smallest place."""
-    order = np.lexsort((*place[::-1], rank))
-    new = R._starts(rank[order])
-    least = order[np.flatnonzero(new)][new.cumsum() - 1]
-    out = np.zeros(len(rank), bool)
-    later = np.zeros(len(rank), bool)
-    for p in place[::-1]:
-        later = (p[order] > p[least]) | ((p[order] == p[least]) & later)
-    out[order] = later
+        ranks[have] = np.unique(rank * (len(text) + 2) + second, return_inverse=True)[1]
+    return ranks
+
+
+def smaller_before(place: np.ndarray) -> np.ndarray:
+    """Of each element the last one before it that is smaller; -1 where there is none.  Goes up
+    and down a tree of minima, all elements at once."""
+    n = len(place)
+    tree = [place]
+    while len(tree[-1]) > 1:
+        row = tree[-1] if len(tree[-1]) % 2 == 0 else np.append(tree[-1], np.iinfo(np.int64).max)
+        tree.append(np.minimum(row[::2], row[1::2]))
+    end, out = np.arange(n), np.full(n, -1, np.int64)
+    todo = np.arange(n)
+    found: list[np.ndarray] = []  # by level: elements whose answer lies in block out[element]
+    for k, row in enumerate(tree):
+        block = (end[todo] >> k) - 1
+        own = (end[todo] >> k & 1) == 1
+        hit = own.copy()
+        hit[own] = row[block[own]] < place[todo[own]]
+        out[todo[hit]] = block[hit]
+        found.append(todo[hit])
+        end[todo[own & ~hit]] -= 1 << k
+        todo = todo[~hit]
+        todo = todo[end[todo] > 0]
+    down = np.zeros(0, np.int64)
+    for k in range(len(tree) - 1, 0, -1):
+        down = np.concatenate([down, found[k]])
+        right = 2 * out[down] + 1
+        row = tree[k - 1]
+        ok = (right < len(row)) & (row[np.minimum(right, len(row) - 1)] < place[down])
+        out[down] = np.where(ok, right, right - 1)
+    return out
+
+
+def longest_previous_factors(text: np.ndarray, start: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """How many bytes, ``width`` at most, the suffix at each start has in common with one of a
+    smaller place.  Each start has ``width`` (8 or more) bytes behind it.
+
+    In suffix order the longest common prefix shrinks with the distance, so the best earlier
+    match of a suffix is the nearest one of a smaller place before it or after it."""
+    n = len(start)
+    ranks = _ranks(text, width)
+    most = max(ranks)
+    # Beginnings of ``width`` bytes: the first ``most`` of them, then the last ``most``.
+    order = np.lexsort((place, ranks[most][start + width - most], ranks[most][start]))
+    at, own = start[order], place[order]
+    best = np.zeros(n, np.int64)
+    before, after = smaller_before(own), n - 1 - smaller_before(own[::-1])[::-1]
+    for other in (before, after):
+        live = np.flatnonzero((other >= 0) & (other < n))
+        a, b, size = at[live], at[other[live]], np.zeros(len(live), np.int64)
+        for k in sorted(ranks, reverse=True):
+            fits = np.flatnonzero(size + k <= width)
+            equal = fits[ranks[k][a[fits] + size[fits]] == ranks[k][b[fits] + size[fits]]]
+            size[equal] += k
+        for _ in range(7):
+            more = np.flatnonzero(size < width)
+            equal = more[text[a[more] + size[more]] == text[b[more] + size[more]]]
+            size[equal] += 1
+            if not len(equal):
+                break
+        best[live] = np.maximum(best[live], size)
+    out = np.zeros(n, np.int64)
+    out[order] = best
     return out
 
 
@@ -79,16 +127,20 @@ def _lone_windows(part: pa.Table, keep_first: bool) -> list[tuple[np.ndarray, ..
 
 
 def _in_suffix_order(part: pa.Table, width: int) -> list[tuple[np.ndarray, ...]]:
-    """The same from rows with content: suffixes of the contents in order, by anchor."""
+    """The same from rows with content: those whose longest previous factor fills the window.
+    Windows of different anchors differ, so the anchors of a chunk share one suffix order."""
     content = part.column("content").combine_chunks()
     name, tag, low, size = R._columns(part, *R.KEY, "low", "size")
     text, offsets = K.utf8(content)
     n = size.astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     step = np.arange(int(n.sum())) - np.repeat(n.cumsum() - n, n)
-    rank = suffix_ranks(text, offsets[:-1][row] + step, width)
-    goes = earlier_matches(rank, name[row], low[row] + step)
-    return [(name[row][goes], tag[row][goes], (low[row] + step)[goes].astype(np.int32), np.ones(int(goes.sum()), np.int32))]
+    names, lows = name[row], low[row] + step
+    order = np.lexsort((lows, names))
+    place = np.empty(len(row), np.int64)
+    place[order] = R._starts(names[order], lows[order]).cumsum()
+    goes = longest_previous_factors(text, offsets[:-1][row] + step, place, width) >= width
+    return [(names[goes], tag[row][goes], lows[goes].astype(np.int32), np.ones(int(goes.sum()), np.int32))]
 
 
 def _runs(name: np.ndarray, tag: np.ndarray, low: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
@@ -115,7 +167,7 @@ def repeated_windows(docs: DataFrame, rows: DataFrame, windows: R.Windows, keep_
         name, tag, low, size = _runs(*(np.concatenate(c) for c in zip(*found, strict=True)))
         return R._batch({"__id": name, "__tag": tag, "low": low.astype(np.int32), "size": size.astype(np.int32)})
 
-    compared = R.by_group(rows, "route", one, "__id long, __tag int, low int, size int")
+    compared = R.by_group(rows, "route", one, "__id long, __tag long, low int, size int")
     return marks.where(F.col("mark") == R.SETTLED).select(*R.KEY, "low", "size").unionByName(compared)
 
 
@@ -140,8 +192,9 @@ def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, gone: np.ndarr
 
 def _changed(docs: DataFrame, windows: R.Windows, f, schema) -> DataFrame:
     """Runs f over all documents with the windows of each that also start elsewhere."""
-    buckets, n = anchors.dealt(docs)
-    spans = repeated_windows(docs.select("doc_id", "text"), anchors.stretches(buckets, n, windows), windows, keep_first=False)
+    integer_ids(docs)
+    buckets, n, bits = anchors.dealt(docs)
+    spans = repeated_windows(docs.select("doc_id", "text"), anchors.stretches(buckets, n, bits, windows), windows, keep_first=False)
     return anchors.removed(buckets, n, spans, f, schema)
 
 
@@ -164,7 +217,9 @@ def without_repeated_words(docs: DataFrame, windows: R.Windows = WORDS) -> DataF
     """The documents with the kept stretches of their texts: white space between kept words
     stays, and ``n_chars``, where there is one, follows.  A document that loses nothing
     keeps its text as it is."""
-    names = docs.columns
+    given = docs.columns
+    names = [n if n in ("doc_id", "text", "n_chars") else f"c{i}" for i, n in enumerate(given)]
+    docs = docs.toDF(*names)
 
     def one(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
         texts, old = [], batch.column("text")
@@ -182,7 +237,7 @@ def without_repeated_words(docs: DataFrame, windows: R.Windows = WORDS) -> DataF
             columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
         return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    return _changed(docs, windows, one, docs.schema)
+    return _changed(docs, windows, one, docs.schema).toDF(*given)
 
 
 def repeated_bytes(docs: DataFrame, windows: R.Windows = BYTES) -> DataFrame:
@@ -199,6 +254,7 @@ def repeated_bytes(docs: DataFrame, windows: R.Windows = BYTES) -> DataFrame:
         n, gone, runs, sha = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
+    integer_ids(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.select("doc_id", "text")
     spans = repeated_windows(own, R.stretches(own, windows, True), windows, keep_first=True)

@@ -108,8 +108,8 @@ def test_bytes_match_brute_force(spark, crowding, seed):
 def test_hits_are_grid_blocks_found_elsewhere(spark):
     rows = [(i, t) for i, t in corpus(7, 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    docs, _ = A.dealt(df)
-    found = A.hits(A.probes(docs, S.WORDS, 5)).collect()
+    docs, _, bits = A.dealt(df)
+    found = A.hits(A.probes(docs, S.WORDS, 5, bits)).collect()
     got = {int(h) for r in found for h in A._unpacked(r.hits)}
     grid, every = set(), Counter()
     for _, t in rows:
@@ -144,10 +144,56 @@ def test_texts_without_repeats_stay(spark):
     assert got == {1: ("a  b", 4), 2: ("c\nd", 3), 3: ("just  this", 10), 4: (None, None)}
 
 
-def test_earlier_matches_follow_suffix_order():
-    text = np.frombuffer(b"abcabcabcx" * 3, np.uint8)
-    start = np.arange(len(text) - 12 + 1)
-    rank = S.suffix_ranks(text, start, 12)
-    got = S.earlier_matches(rank, np.zeros(len(start), np.int64), start)
-    raw = text.tobytes()
-    assert got.tolist() == [raw.find(raw[s : s + 12]) < s for s in start]
+def shared(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_previous_factors_match_brute_force(seed):
+    rng = random.Random(seed)
+    width = rng.choice([8, 12, 33, 100])
+    raw = bytes(rng.choice(b"ab" if seed % 2 else b"abcdefgh") for _ in range(150)) * 2 + b"x" * 120
+    text, start = np.frombuffer(raw, np.uint8), np.arange(len(raw) - width + 1)
+    place = np.array([rng.randrange(60) for _ in start]) if seed > 2 else start
+    got = S.longest_previous_factors(text, start, place, width)
+    part = [raw[s : s + width] for s in start]
+    assert got.tolist() == [max((shared(part[i], part[j]) for j in range(len(part)) if place[j] < place[i]), default=0) for i in range(len(part))]
+
+
+def test_smaller_before_matches_brute_force():
+    for n in (0, 1, 2, 7, 64, 100):
+        place = np.random.default_rng(n).integers(0, 1 + n // 3, n)
+        want = [max((j for j in range(i) if place[j] < place[i]), default=-1) for i in range(n)]
+        assert S.smaller_before(place).tolist() == want
+
+
+def test_null_ids_are_told_apart(spark, crowding):
+    """Texts with equal 32-bit hashes and no id, and the largest id beside none."""
+    made = spark.range(400_000).selectExpr("concat_ws(' ', transform(sequence(1, 40 + int(id % 30)), k -> hex(xxhash64(id, k)))) as text").selectExpr("text", "hash(text) as h")
+    pair = made.groupBy("h").agg({"text": "min", "h": "count"}).where("`count(h)` > 1").limit(1).select("h")
+    texts = sorted(r.text for r in made.join(pair, "h").collect())
+    assert len(texts) == 2
+    repeat = " ".join(f"w{k}" for k in range(50))
+    rows = [(None, texts[0]), (None, texts[1]), (None, repeat + " x " + repeat), (2**63 - 1, texts[0] + " y"), (7, repeat)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r)[1:] for r in S.repeated_words(df).collect())) == sorted(r[1:] for r in brute_words([(0, t) for _, t in rows], 35))
+    # A null id comes last, and ties with the largest one.
+    last = [(2**63 - 1 if i is None else i, t) for i, t in rows]
+    got = S.repeated_bytes(df).collect()
+    assert sorted((2**63 - 1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in got) == brute_bytes(last, 100)
+    kept = {r.text for r in S.without_repeated_words(df).collect()}
+    assert texts[1] in kept and "x" in kept
+
+
+def test_columns_of_any_name_are_kept(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(1, "a " + long, 5, 6, 7, 8), (2, long, 1, 2, 3, 4)], "doc_id long, text string, __id int, __bucket int, __tag int, c0 int")
+    got = S.without_repeated_words(df)
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [(1, "a", 5, 6, 7, 8), (2, "", 1, 2, 3, 4)]
+
+
+def test_ids_of_other_types_are_refused(spark):
+    df = spark.createDataFrame([("a", "b")], "doc_id string, text string")
+    for f in (S.repeated_words, S.repeated_bytes, S.without_repeated_words):
+        with pytest.raises(TypeError, match="integer"):
+            f(df)
