@@ -26,10 +26,12 @@ from . import textkernel as K
 from .common import map_batches
 
 MARK = "▁"
-#: A cost and the number of tokens share one integer: cost * ONE + tokens.
-ONE = 1 << 20
+#: A cost and the number of tokens share one integer: cost * ONE + tokens.  A text has fewer
+#: than ONE bytes, hence tokens; the cost of LONG characters leaves 64 bits unfilled.
+ONE = 1 << 32
 SCALE = 100_000
-#: Words longer than this are segmented one by one.
+#: Words longer than this share no prefix that pays; their forward pass runs on its own, in
+#: integers without a bound.
 LONG = 48
 #: Distinct words that a worker remembers before it starts afresh.
 MEMORY_WORDS = 900_000

@@ -170,6 +170,17 @@ def test_token_counts_match_plain_segmentation(spark):
     assert T.token_counts(docs_of(spark, []), path).collect() == []
 
 
+def test_a_word_of_a_million_tokens(spark):
+    import public_tokenizers as P
+
+    path = P.path("piece_bpe_32k.model")
+    emoji = "\U0001fae8"
+    assert emoji not in T.vocabulary(path)
+    df = docs_of(spark, [(1, emoji * 1000), (2, emoji * 270_000)])
+    got = {r.doc_id: r.n_tokens for r in T.token_counts(df, path).collect()}
+    assert got[2] - got[1] == 4 * 269_000
+
+
 def test_segment_prefers_few_tokens_of_equal_cost():
     vocab = {"a": T.cost(0), "b": T.cost(1), "ab": T.cost(0)}
     assert T.segment("ab", vocab, 2) == 1 and T.segment("ba", vocab, 2) == 2 and T.segment("é", vocab, 2) == 2
@@ -256,7 +267,7 @@ def clean_bytes(text):
     return D.normal(raw, np.array([0, len(raw)]))[0].tobytes()
 
 
-def test_leaks_match_brute_force(spark):
+def test_leaks_match_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
     text = lambda k: " ".join(word() for _ in range(k))
@@ -276,15 +287,32 @@ def test_leaks_match_brute_force(spark):
     for i, t in rows:
         for j, p in items:
             q = clean_bytes(p).strip()
-            if len(q) >= D.Q:
-                e = brute_edits(q, clean_bytes(t))
-                if e <= D.budget(len(q)):
-                    want.add((i, j, e))
+            e = brute_edits(q, clean_bytes(t))
+            if q and e <= D.budget(len(q)):
+                want.add((i, j, e))
     df = docs_of(spark, rows)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for size in (D.BLOCK_BYTES, 400):  # in one block, and in several
-        got = [tuple(r) for r in D.leaks(df, bench, block_bytes=size).collect()]
-        assert set(got) == want and len(want) > 15
+    got = [tuple(r) for r in D.leaks(df, bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 15
+    for bits, least in ((32, 16), (1, 8)):  # the second sieve is nearly full
+        monkeypatch.setattr(D, "BITS_A_BYTE", bits)
+        monkeypatch.setattr(D, "SIEVE_BITS", 28 if bits > 1 else 16)
+        assert {tuple(r) for r in D.leaks(df, bench).collect()} == want
     kept = sorted(r.doc_id for r in D.decontaminate(df, bench).collect())
     assert kept == sorted(i for i, _ in rows if i not in {w[0] for w in want})
     assert D.leaks(df, bench.where("false")).collect() == [] and D.leaks(df.where("false"), bench).collect() == []
+    assert D.decontaminate(df, bench.where("false")).count() == len(rows) and D.decontaminate(df.where("false"), bench).collect() == []
+
+
+def test_short_repetitive_and_shared_passages(spark):
+    dashes, line = "-" * 600, "Choose the right answer of these: "
+    items = [(1, "Paris"), (2, dashes), (3, "-" * 300 + "x" + "-" * 299), (4, "é!"), (None, "no id but text here"), (5, "   "), (5, "Paris")]
+    items += [(100 + k, line + " ".join(f"q{k}w{j}" for j in range(20))) for k in range(40)]
+    rows = [(1, "I saw paris"), (2, "-" * 1_000_000), (3, "-" * 599), (4, "x" + "-" * 650), (None, "É! no ID  but text\nhere"), (6, line * 20), (7, "p a r i s"), (8, None), (9, "é!\n"), (10, line + " ".join(f"q7w{j}" for j in range(20)))]
+    rows += [(11, "ab" * 150_000), (1, "I saw paris")]
+    df = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in rows], "doc_id long, text string, tag string, __bad string, rid int").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1, 0), (1, 5, 0), (2, 2, 0), (2, 3, 1), (3, 2, 1), (3, 3, 1), (4, 2, 0), (4, 3, 1), (None, None, 0), (9, 4, 0), (10, 107, 0)}
+    assert {tuple(r) for r in D.leaks(df, bench).collect()} == want
+    kept = D.decontaminate(df, bench)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [6, 7, 8, 11]
