@@ -6,21 +6,26 @@ A document's set holds its distinct 5-word shingles (A-Z lowered); two documents
 The global shingle order runs from rare to frequent; a sketch of fixed size, summed over
 all documents, says how frequent.  By the prefix bound, sets that link share shingles among
 the first fifth of each, so only those (and a few more, which sharpens the bounds) are
-shuffled.  A prefix shingle that no other prefix has can't be shared with a set whose prefix
-reaches as far, which bounds the overlap of a pair by what is known of its two sets alone.
-Of the nodes that meet at a shingle each is first paired with one only, the one with the
-fewest such shingles, which tends to be the original of its copies.  Pairs are verified by
-vertical partitions: the shingles are cut into fragments, the overlap of a pair is counted
-in each fragment on its own, and the counts are summed per pair.  Links make components;
-then the pairs that still meet across components, and may share enough by the place at which
-they meet, are verified the same way; where a group has many of those, further nodes of it
-are paired with all others first.  Groups are joined in tiles of a bounded size.  So copies of one text never become all their pairs,
-and no link between different components is lost.
+shuffled to find candidates.  A prefix shingle that no other prefix has can't be shared with a
+set whose prefix reaches as far, which bounds the overlap of a pair by what is known of its two
+sets alone.  Of the nodes that meet at a shingle each is first paired with one only, the one
+with the fewest such shingles, which tends to be the original of its copies.
+
+Pairs are counted by vertical partitions: pivots, which the sketch gives, cut the global order
+into FRAGMENTS of equal weight; every set is cut there, each fragment counts the partial
+overlap of a pair on its own, and the counts are summed per pair.  Links make components; then
+the pairs that still meet across components, and may share enough by the place at which they
+meet, are counted the same way; where a group has many of those, further nodes of it are paired
+with all others first.  Groups are joined in tiles of a bounded size.  So copies of one text
+never become all their pairs, and no link between different components is lost.
+
+Rows of a shingle that the sketch knows as much more frequent than the mean are spread over
+SALTS tasks by node, and so are the pairs of a node that meet at one.
 
 Nulls: a null text has no words, hence an empty set, which links with nothing; a null
 doc_id never names a component that has another id.  Repeated rows have equal sets and link.
-Texts of 1 to 4 words have one shingle, the whole sequence.  Other columns are ignored; an
-empty table gives no rows.
+Texts of 1 to 4 words have one shingle, the whole sequence.  Other columns are ignored, or kept
+whatever their names; an empty table gives no rows.  doc_id is an integer.
 """
 
 from __future__ import annotations
@@ -36,12 +41,15 @@ from pyspark.sql.window import Window
 
 from . import repeats as R
 from . import textkernel as K
-from .common import checkpoint, union
+from .common import checkpoint, integer_ids, union
 
 SHINGLE = 5
 #: Counters of the frequency sketch (2 ** SKETCH_BITS), and parts that it is summed in.
 SKETCH_BITS, SKETCH_PARTS = 22, 256
-FRAGMENT_BITS = 1
+#: Pieces that the global order is cut into; tasks that a frequent shingle is spread over.
+FRAGMENTS, SALTS = 8, 256
+#: A shingle is frequent if its counter is this many times the mean, and this much, at least.
+FREQUENT = 4, 500
 #: Rows of a group on each side of a tile; pairs of a group from which further hubs are tried.
 TILE_ROWS, HUB_PAIRS = 1000, 4_000_000
 
@@ -132,14 +140,39 @@ def ranks(surveyed: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def frequent(rank: np.ndarray) -> int:
+    """The least frequency class of frequent shingles."""
+    cells = np.bincount(rank, minlength=256)
+    mean = float((cells * (2.0 ** (np.arange(256) / 2) - 1)).sum()) / len(rank)
+    return int(2 * np.log2(FREQUENT[0] * mean + FREQUENT[1]))
+
+
+def in_order(gram: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places of shingles in the global order: frequency class, then hash."""
+    return rank[_cell(gram)].astype(np.uint64) << np.uint64(56) | gram >> np.uint64(8)
+
+
+def pivots(rank: np.ndarray, parts: int) -> np.ndarray:
+    """Places that cut the global order into parts of about equal weight."""
+    cells = np.bincount(rank, minlength=256)
+    weight = cells * (2.0 ** (np.arange(256) / 2) - 1 + 1e-9)
+    upto = np.concatenate([[0.0], weight.cumsum()])
+    at = upto[-1] * np.arange(1, parts) / parts
+    cls = np.minimum(np.searchsorted(upto, at, "right") - 1, 255)
+    share = np.divide(at - upto[cls], weight[cls], out=np.zeros(parts - 1), where=weight[cls] > 0)
+    return cls.astype(np.uint64) << np.uint64(56) | (np.minimum(share, 0.999999) * 2.0**56).astype(np.uint64)
+
+
 def least_shared(n: np.ndarray) -> np.ndarray:
     """Shingles of a prefix beyond the shortest that the bound allows, and one."""
     return 1 + n // 25
 
 
 def _heads(docs: DataFrame, rank: np.ndarray, tokens: bool) -> DataFrame:
-    """Of each node its prefix in the global order: a row for each shingle (token, node, place), or
-    one row (node, n, prefix, last) with the place of its end in the order."""
+    """Of each node its prefix in the global order: a row for each shingle (token, salt, node,
+    place), or one row (node, n, prefix, last) with the place of its end in the order.  salt is
+    0, or for a frequent shingle one of SALTS by node."""
+    often = frequent(rank)
 
     def run(batches):
         for batch in batches:
@@ -156,13 +189,30 @@ def _heads(docs: DataFrame, rank: np.ndarray, tokens: bool) -> DataFrame:
                     continue
                 if tokens:
                     keep = fresh[doc] & (np.arange(len(gram)) - first[doc] < length[doc])
-                    yield R._batch({"token": gram[keep], "node": node[doc[keep]], "place": (np.arange(len(gram)) - first[doc])[keep].astype(np.int32)})
+                    own, place = node[doc[keep]], (np.arange(len(gram)) - first[doc])[keep]
+                    salt = np.where(rank[_cell(gram[keep])] >= often, own % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
+                    yield R._batch({"token": gram[keep], "salt": salt.astype(np.int32), "node": own, "place": place.astype(np.int32)})
                 else:
-                    end = gram[(first[:-1] + length - 1)[fresh]]
-                    place = (rank[_cell(end)].astype(np.int64) << 56) | (end >> np.uint64(8)).astype(np.int64)
-                    yield R._batch({"node": node[fresh], "n": n[fresh].astype(np.int32), "prefix": length[fresh].astype(np.int32), "last": place})
+                    last = in_order(gram[(first[:-1] + length - 1)[fresh]], rank)
+                    yield R._batch({"node": node[fresh], "n": n[fresh].astype(np.int32), "prefix": length[fresh].astype(np.int32), "last": last})
+
+    return docs.select("text").mapInArrow(run, "token long, salt int, node long, place int" if tokens else "node long, n int, prefix int, last long")
+
+
+def spread(groups: DataFrame) -> DataFrame:
+    """A row of each group (with its ``salts``) for every salt that its rows have."""
+    return groups.withColumn("salt", F.explode("salts")).drop("salts")
 
-    return docs.select("text").mapInArrow(run, "token long, node long, place int" if tokens else "node long, n int, prefix int, last long")
+
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """The rows (token, salt, node, place) whose token several nodes have."""
+    own = Window.partitionBy("token", "salt")
+    rows = tokens.withColumns({"low": F.min("node").over(own), "high": F.max("node").over(own)})
+    rows = checkpoint(rows.where("low <> high or salt > 0").distinct())
+    often = rows.where("salt > 0")
+    groups = often.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.collect_set("salt").alias("salts")).where("least <> most")
+    often = often.join(spread(groups.select("token", "salts")), ["token", "salt"])
+    return rows.where("salt = 0").unionByName(often).select("token", "salt", "node", "place")
 
 
 def possible(a: str, b: str) -> Column:
@@ -173,34 +223,42 @@ def possible(a: str, b: str) -> Column:
     return (5 * F.least(*n) >= 4 * F.greatest(*n)) & (9 * shared >= 4 * (n[0] + n[1]))
 
 
-def fragments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, fragment, grams) of the wanted (node, doc_key): each set cut by the top bits of
-    its shingles."""
+def fragments(docs: DataFrame, wanted: DataFrame, rank: np.ndarray) -> DataFrame:
+    """(node, fragment, grams, left, right) of the wanted (node, doc_key, left, right): each set
+    cut at the pivots of the global order, without its empty fragments."""
     found = R.compressed(docs.select(key_of().alias("doc_key"), "text")).join(wanted, "doc_key")
+    cuts = pivots(rank, FRAGMENTS)
 
     def run(batches):
         for batch in R.sliced(batches, 1000):
-            names = batch.column("node").to_pylist()
-            rows: list[tuple[int, int, bytes]] = []
+            row, fragment, grams = [], [], []
             for i, _, data, at in K.blocks(R.plain(batch).column("text")):
-                _, gram, first = ordered_sets(data, at, None)
+                _, gram, first = ordered_sets(data, at, rank)
                 for d in range(len(at) - 1):
                     own = gram[first[d] : first[d + 1]]
-                    cut = np.searchsorted(own, np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64) << np.uint64(64 - FRAGMENT_BITS))
-                    rows += [(names[i + d], f, part.tobytes()) for f, part in enumerate(np.split(own, cut))]
-            node, fragment, grams = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(fragment, pa.int32()), pa.array(grams, pa.binary())], ["node", "fragment", "grams"])
-
-    return found.mapInArrow(run, "node long, fragment int, grams binary").dropDuplicates(["node", "fragment"])
-
-
-def verified(docs: DataFrame, pairs: DataFrame, where: DataFrame) -> DataFrame:
-    """The (a, b) of pairs (a, b, na, nb) that link; where: (node, doc_key)."""
-    pairs = checkpoint(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(where, "node")
-    parts = fragments(docs, wanted)
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
+                    edge = np.concatenate([[0], np.searchsorted(in_order(own, rank), cuts), [len(own)]]).tolist()
+                    for f in range(FRAGMENTS):
+                        if edge[f] < edge[f + 1]:
+                            row.append(i + d)
+                            fragment.append(f)
+                            grams.append(own[edge[f] : edge[f + 1]].tobytes())
+            take = pa.array(row, pa.int64())
+            of = {c: batch.column(c).take(take) for c in ("node", "left", "right")}
+            yield pa.RecordBatch.from_arrays([of["node"], pa.array(fragment, pa.int32()), pa.array(grams, pa.binary()), of["left"], of["right"]], ["node", "fragment", "grams", "left", "right"])
+
+    return found.mapInArrow(run, "node long, fragment int, grams binary, left array<int>, right array<int>").dropDuplicates(["node", "fragment"])
+
+
+def verified(docs: DataFrame, pairs: DataFrame, where: DataFrame, rank: np.ndarray) -> DataFrame:
+    """The (a, b) of pairs (a, b, na, nb, often) that link; where: (node, doc_key).  The pairs of
+    a node that meet at a frequent shingle are spread by the other node."""
+    salt = lambda other: F.when(F.col("often"), 1 + F.pmod(other, F.lit(SALTS))).otherwise(0).cast("int")
+    pairs = checkpoint(pairs.groupBy("a", "b", "na", "nb").agg(F.max("often").alias("often")).withColumns({"sa": salt("b"), "sb": salt("a")}).drop("often"))
+    side = lambda c, s, name: pairs.groupBy(F.col(c).alias("node")).agg(F.collect_set(s).alias(name))
+    wanted = side("a", "sa", "left").join(side("b", "sb", "right"), "node", "full_outer").join(where, "node")
+    parts = fragments(docs, wanted, rank)
+    left = parts.select(F.col("node").alias("a"), F.explode("left").alias("sa"), "fragment", F.col("grams").alias("grams_a"))
+    right = parts.select(F.col("node").alias("b"), F.explode("right").alias("sb"), "fragment", F.col("grams").alias("grams_b"))
 
     def overlap(batches):
         for batch in batches:
@@ -213,7 +271,7 @@ def verified(docs: DataFrame, pairs: DataFrame, where: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(shared, pa.int64())], ["a", "b", "na", "nb", "shared"])
 
     partial = (
-        pairs.join(right, "b").join(left, ["a", "fragment"])
+        pairs.join(right, ["b", "sb"]).join(left, ["a", "sa", "fragment"])
         .select("a", "b", "na", "nb", "grams_a", "grams_b")
         .mapInArrow(overlap, "a long, b long, na int, nb int, shared long")
     )
@@ -241,12 +299,14 @@ def mixed(live: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of live in groups with several labels, with ``label``, ``main`` (the label with most
     rows in the group), how many ``rows`` the group has, and ``others`` beside the main label."""
     named = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = named.groupBy("token", "label").agg(F.count("*").alias("m"))
-    groups = sizes.groupBy("token").agg(F.sum("m").alias("rows"), F.max("m").alias("m"), F.max_by("label", "m").alias("main")).where("rows > m")
-    return named.join(groups.select("token", "rows", "main", (F.col("rows") - F.col("m")).alias("others")), "token")
+    sizes = named.groupBy("token", "label").agg(F.count("*").alias("m"), F.collect_set("salt").alias("salts"))
+    groups = sizes.groupBy("token").agg(
+        F.sum("m").alias("rows"), F.max("m").alias("m"), F.max_by("label", "m").alias("main"), F.array_distinct(F.flatten(F.collect_set("salts"))).alias("salts")
+    ).where("rows > m")
+    return named.join(spread(groups.select("token", "salts", "rows", "main", (F.col("rows") - F.col("m")).alias("others"))), ["token", "salt"])
 
 
-def joined_by_hubs(docs: DataFrame, live: DataFrame, links: DataFrame, where: DataFrame) -> tuple[DataFrame, DataFrame]:
+def joined_by_hubs(docs: DataFrame, live: DataFrame, links: DataFrame, where: DataFrame, rank: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """(links, mixed rows): in groups with many pairs of different labels, one node beside the
     main label is verified with all others, and labels are made anew, as long as that halves
     the pairs that are left in such groups."""
@@ -259,21 +319,22 @@ def joined_by_hubs(docs: DataFrame, live: DataFrame, links: DataFrame, where: Da
             return links, rows
         before = pairs
         own = F.struct(F.xxhash64("node", F.lit(pairs)).alias("draw"), "node", "n", "most", "last", "label")
-        hubs = crowded.where("label <> main").groupBy("token").agg(F.max(own).alias("hub"))
-        stars = crowded.join(hubs, "token").where("label <> hub.label").withColumn("x", F.struct("n", "most", "last")).where(possible("x", "hub"))
-        links = checkpoint(union([links, verified(docs, _ordered(stars, "node", "n", "hub.node", "hub.n").distinct(), where)]))
+        picked = F.max(F.when(F.col("label") != F.col("main"), own))
+        hubs = spread(crowded.groupBy("token").agg(picked.alias("hub"), F.collect_set("salt").alias("salts")))
+        stars = crowded.join(hubs, ["token", "salt"]).where("label <> hub.label").withColumn("x", F.struct("n", "most", "last")).where(possible("x", "hub"))
+        links = checkpoint(union([links, verified(docs, _ordered(stars, "node", "n", "hub.node", "hub.n"), where, rank)]))
 
 
 def _ordered(rows: DataFrame, x: str, nx: str, y: str, ny: str) -> DataFrame:
-    """(a, b, na, nb) with the lesser node first."""
+    """(a, b, na, nb, often) with the lesser node first."""
     swap = F.col(x) > F.col(y)
     pick = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c))
-    return rows.select(pick(x, y).alias("a"), pick(y, x).alias("b"), pick(nx, ny).cast("int").alias("na"), pick(ny, nx).cast("int").alias("nb"))
+    return rows.select(pick(x, y).alias("a"), pick(y, x).alias("b"), pick(nx, ny).cast("int").alias("na"), pick(ny, nx).cast("int").alias("nb"), (F.col("salt") > 0).alias("often"))
 
 
 def across(rows: DataFrame) -> DataFrame:
-    """(a, b, na, nb): nodes of different components that may share enough shingles, of mixed
-    rows.
+    """(a, b, na, nb, often): nodes of different components that may share enough shingles, of
+    mixed rows; a pair for each shingle that they meet at.
 
     Of each such pair one has another label than the group's main one: those rows are joined
     with all rows of the group, in tiles of a bounded size, so that neither a group nor the
@@ -286,56 +347,58 @@ def across(rows: DataFrame) -> DataFrame:
     every = lambda c: F.explode(F.sequence(F.lit(0), tiles(c) - 1))
     one = lambda c: F.pmod(F.xxhash64("node"), tiles(c)).cast("int")
     own = F.struct("node", "label", "n", "most", "last", "spare", "left")
-    x = rows.select("token", "main", one("rows").alias("i"), every("others").alias("j"), own.alias("x"))
+    x = rows.select("token", "salt", "main", one("rows").alias("i"), every("others").alias("j"), own.alias("x"))
     y = rows.where("label <> main").select("token", every("rows").alias("i"), one("others").alias("j"), own.alias("y"))
     once = (F.col("x.label") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
     # At the first shingle that a pair shares, enough must be left for the others.
     spare = F.when(F.col("x.last") < F.col("y.last"), F.col("x.spare")).when(F.col("x.last") > F.col("y.last"), F.col("y.spare")).otherwise(F.least("x.spare", "y.spare"))
     room = 9 * (F.least("x.left", "y.left") + spare) >= 4 * (F.col("x.n") + F.col("y.n"))
     met = x.join(y, ["token", "i", "j"]).where((F.col("x.label") != F.col("y.label")) & once & possible("x", "y") & room)
-    return _ordered(met, "x.node", "x.n", "y.node", "y.n").distinct()
+    return _ordered(met, "x.node", "x.n", "y.node", "y.n")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, doc_key) of every document."""
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_key, node, n, label) of every document; label tells its component."""
+    integer_ids(docs)
     docs = docs.select("doc_id", "text")
     surveyed = checkpoint(survey(docs))
     rank = ranks(surveyed)
     sized = surveyed.where("part is null").select("doc_id", "doc_key", "node", "n")
     where = sized.where("node <> 0").groupBy("node").agg(F.min("doc_key").alias("doc_key"))
 
-    group = Window.partitionBy("token")
-    tokens = _heads(docs, rank, tokens=True)
-    met = tokens.withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group)}).where("low <> high")
-    live = checkpoint(met.select("token", "node", "place").distinct())
+    live = shared_tokens(_heads(docs, rank, tokens=True))
     alive = live.groupBy("node").agg(F.count("*").alias("alive"))
     most = (F.col("n") - F.col("prefix") + F.col("alive")).cast("int").alias("most")
     nodes = checkpoint(_heads(docs, rank, tokens=False).distinct().join(alive, "node").select("node", "n", most, "last", (F.col("n") - F.col("prefix")).alias("spare")))
     left = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("place"))).alias("left")
-    live = checkpoint(live.select("token", "node", left).join(nodes, "node"))
+    live = checkpoint(live.select("token", "salt", "node", left).join(nodes, "node"))
 
     own = F.struct(F.try_divide("most", "n").alias("share"), "node", "n", "most", "last")
-    hubs = live.groupBy("token").agg(F.max(own).alias("hub"))
-    stars = live.join(hubs, "token").select(own.alias("x"), "hub").where("x.node <> hub.node").where(possible("x", "hub"))
-    stars = stars.select(F.col("hub.node").alias("a"), F.col("x.node").alias("b"), F.col("hub.n").alias("na"), F.col("x.n").alias("nb")).distinct()
-    first = checkpoint(verified(docs, stars, where))
-    first, rows = joined_by_hubs(docs, live, first, where)
-    links = union([first, verified(docs, across(rows), where)])
-    labels = components(links)
-
-    named = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    hubs = spread(live.groupBy("token").agg(F.max(own).alias("hub"), F.collect_set("salt").alias("salts")))
+    stars = live.join(hubs, ["token", "salt"]).select(own.alias("x"), "hub", (F.col("salt") > 0).alias("often")).where("x.node <> hub.node").where(possible("x", "hub"))
+    stars = stars.select(F.col("hub.node").alias("a"), F.col("x.node").alias("b"), F.col("hub.n").alias("na"), F.col("x.n").alias("nb"), "often")
+    first = checkpoint(verified(docs, stars, where, rank))
+    first, rows = joined_by_hubs(docs, live, first, where, rank)
+    links = union([first, verified(docs, across(rows), where, rank)])
+    return sized.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    named = _named(docs)
     names = named.where("node <> 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(names, "label", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "doc_key"
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that name their component: of near-duplicates the least doc_id stays.
-    Of repeated rows one stays; documents without a word all stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_key").distinct()
-    kept = docs.withColumn("doc_key", key_of()).join(gone, "doc_key", "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_key").orderBy("doc_id")) > 1
+    """One document of each component, with all its columns: that of the least doc_id (a null
+    one is the last), of several texts with that id the one of the least hash, of repeated rows
+    any.  Documents without a word all stay."""
     word = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return kept.withColumn("again", again & word).where(~F.col("again")).select(docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "doc_key"))
+    kept = _named(docs).where("node <> 0").groupBy("label").agg(first.alias("first")).select(F.col("first.doc_key").alias("doc_key"))
+    rows = docs.where(word).select(key_of().alias("doc_key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    single = rows.join(kept, "doc_key", "left_semi").groupBy("doc_key").agg(F.first("row").alias("row")).select("row.*")
+    return single.union(docs.where(~word))

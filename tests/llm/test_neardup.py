@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from screenspark.llm import neardup as N
@@ -63,7 +64,7 @@ def corpus(seed, n=150):
 def test_components_match_brute_force(spark, seed):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, n int, node string").repartition(3)
-    got = sorted(tuple(r) for r in N.near_duplicates(df).drop("doc_key").collect())
+    got = sorted(tuple(r) for r in N.near_duplicates(df).collect())
     assert got == brute(rows)
 
 
@@ -77,7 +78,7 @@ def test_chain_of_links_and_one_of_each(spark):
         rows.append((i + 1, " ".join(w)))
     rows.append((99, " ".join(f"z{k}" for k in range(100))))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(tuple(r) for r in N.near_duplicates(df).drop("doc_key").collect()) == brute(rows)
+    assert sorted(tuple(r) for r in N.near_duplicates(df).collect()) == brute(rows)
     assert sorted(r.doc_id for r in N.one_of_each(df).collect()) == sorted({c for _, _, c in brute(rows)})
 
 
@@ -106,7 +107,8 @@ def test_a_large_group_is_joined_in_tiles(spark, monkeypatch):
     for tile, pairs in ((1000, 4_000_000), (7, 50)):
         monkeypatch.setattr(N, "TILE_ROWS", tile, raising=False)
         monkeypatch.setattr(N, "HUB_PAIRS", pairs, raising=False)
-        assert sorted(tuple(r) for r in N.near_duplicates(df).drop("doc_key").collect()) == brute(rows)
+        monkeypatch.setattr(N, "FREQUENT", (4, 500) if tile == 1000 else (0, 20))
+        assert sorted(tuple(r) for r in N.near_duplicates(df).collect()) == brute(rows)
 
 
 @pytest.mark.parametrize("tile", [1, 5, 1000])
@@ -115,14 +117,45 @@ def test_pairs_across_components_match_brute_force(spark, monkeypatch, tile):
     rng = random.Random(tile)
     node = {k: (rng.choice([90, 100, 130]), rng.randint(40, 100), rng.randint(0, 3), 60) for k in range(60)}
     label = {k: rng.choice([0, 0, 0, k]) for k in node}
-    rows = [(t, k, rng.randint(1, 40), *node[k]) for t in range(3) for k in node if rng.random() < 0.7]
-    live = spark.createDataFrame(rows, "token long, node long, left int, n int, most int, last long, spare int")
+    rows = [(t, t % 2 * (1 + k % 5), k, rng.randint(1, 40), *node[k]) for t in range(3) for k in node if rng.random() < 0.7]
+    live = spark.createDataFrame(rows, "token long, salt int, node long, left int, n int, most int, last long, spare int")
     labels = spark.createDataFrame(list(label.items()), "node long, label long")
     want = set()
-    for t, a, left_a, na, most_a, last_a, spare_a in rows:
-        for u, b, left_b, nb, most_b, last_b, spare_b in rows:
+    for t, _, a, left_a, na, most_a, last_a, spare_a in rows:
+        for u, _, b, left_b, nb, most_b, last_b, spare_b in rows:
             pick = lambda x, y: x if last_a < last_b else y if last_a > last_b else min(x, y)  # noqa: B023, E731
             if t == u and a < b and label[a] != label[b] and 5 * min(na, nb) >= 4 * max(na, nb) and 9 * pick(most_a, most_b) >= 4 * (na + nb) and 9 * (min(left_a, left_b) + pick(spare_a, spare_b)) >= 4 * (na + nb):
                 want.add((a, b, na, nb))
-    got = [tuple(r) for r in N.across(N.mixed(live, labels)).collect()]
-    assert want and len(got) == len(set(got)) and set(got) == want
+    got = {tuple(r)[:4] for r in N.across(N.mixed(live, labels)).collect()}
+    assert want and got == want
+
+
+@pytest.mark.parametrize("often", [(4, 500), (0, 1)])
+def test_frequent_shingles_are_spread(spark, monkeypatch, often):
+    monkeypatch.setattr(N, "FREQUENT", often)
+    rows = corpus(5, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in N.near_duplicates(df).collect()) == brute(rows)
+
+
+def test_fragments_cut_the_global_order_evenly():
+    rng = np.random.default_rng(2)
+    gram = rng.integers(0, 2**64, 400_000, dtype=np.uint64)
+    gram = np.concatenate([gram, np.repeat(gram[:200], 1500)])
+    rank = np.floor(2 * np.log2(np.bincount(N._cell(gram), minlength=1 << N.SKETCH_BITS) + 1.0)).astype(np.uint8)
+    cuts = N.pivots(rank, N.FRAGMENTS)
+    sizes = np.bincount(np.searchsorted(cuts, N.in_order(gram, rank), "right"), minlength=N.FRAGMENTS)
+    assert len(cuts) == N.FRAGMENTS - 1 and sizes.max() < 2 * len(gram) / N.FRAGMENTS
+    assert (np.sort(cuts) == cuts).all() and len(N.pivots(np.zeros(8, np.uint8), 8)) == 7
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, text, 1, 2), (None, text, 1, 2), (None, text + " x", 1, 2), (5, text + " y", 3, 4), (5, text + " z", 5, 6), (5, text + " z", 5, 6), (6, "", 7, 8), (6, "", 7, 8), (None, None, 9, 9)]
+    rows += [(None, "only here " + " ".join(f"n{k}" for k in range(50)), 0, 0)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, doc_key int, again int").repartition(3)
+    got = N.one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.doc_key, r.again) for r in got.collect()), key=str)
+    assert [r for r in kept if r[1] in (3, 5)] in ([(5, 3, 4)], [(5, 5, 6)])
+    assert sorted((r for r in kept if r[1] not in (3, 5)), key=str) == sorted([(6, 7, 8), (6, 7, 8), (None, 9, 9), (None, 0, 0)], key=str)
