@@ -1,4 +1,10 @@
-"""A training corpus from ``documents``: quality, near-duplicates, repeats, leaks, packing."""
+"""A training corpus from ``documents``: quality, near-duplicates, repeats, leaks, packing.
+
+Every stage works on all rows that the one before kept, and all but the last keep their columns,
+whatever their names.  Nulls: a row without a text is scored as an empty one; one without a
+doc_id is kept or dropped by its text alone.  Repeated rows leave the second stage as one.  An
+empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -9,37 +15,23 @@ from screenspark.llm.common import checkpoint, fold, table
 from screenspark.llm.queries import tokenizer_file
 
 
-#: Rows of an Arrow batch.  Documents are long: this many take some 10 MB in each task's worker.
-BATCH_ROWS = 2500
-
-
-def bounded(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at a time, in the stages of this pipeline."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded(spark)
     return classifiers.good_only(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded(spark)
     return neardup.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded(spark)
     return substring.without_repeated_words(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded(spark)
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
