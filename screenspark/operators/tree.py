@@ -3,35 +3,60 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from .lineage import checkpoint
 
 
 def ancestors(edges: DataFrame, on: str = "state_id") -> DataFrame:
-    """(on, elem_id, ancestor_id, distance): every ancestor of every node, by doubling."""
+    """(on, elem_id, ancestor_id, distance): every ancestor of every node, by doubling: each
+    round joins the pairs that are furthest apart so far with all pairs, which takes as many
+    rounds as the depth has bits."""
     up = edges.where("parent_id is not null").select(on, "elem_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).cast("long").alias("distance"))
-    spark = edges.sparkSession
-    up.createOrReplaceTempView("_edges_up")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up AS (
-          SELECT {on}, elem_id, ancestor_id, distance FROM _edges_up
-          UNION ALL
-          SELECT u.{on}, u.elem_id, e.ancestor_id, u.distance + 1
-          FROM up u JOIN _edges_up e ON e.{on} = u.{on} AND e.elem_id = u.ancestor_id)
-        SELECT {on}, elem_id, ancestor_id, distance FROM up"""
-    )
+    parts, reach = [checkpoint(up)], 1
+    while True:
+        furthest = parts[-1].where(F.col("distance") == reach)
+        if furthest.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        known = reduce(DataFrame.unionByName, parts).select(on, F.col("elem_id").alias("ancestor_id"), F.col("ancestor_id").alias("above"), F.col("distance").alias("more"))
+        step = furthest.join(known, [on, "ancestor_id"]).select(on, "elem_id", F.col("above").alias("ancestor_id"), (F.lit(reach) + F.col("more")).alias("distance"))
+        parts.append(checkpoint(step))
+        if not parts[-1].where("elem_id = ancestor_id").isEmpty():
+            raise ValueError("a node is its own ancestor")
+        reach *= 2
+
+
+def _climb(at: DataFrame, on: str, carried: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """Follows the pointer ``up`` of every row (on, elem_id, up, carried columns) to its end, by
+    pointing each row where the row above points; ``carried`` joins a column with that of the
+    row above (NULL where that row is missing).  Rows that have arrived are left alone."""
+    names = list(carried)
+    at = checkpoint(at.select(on, "elem_id", "up", *names))
+    rounds = at.count().bit_length() + 1
+    done = []
+    while not (todo := at.where("up is not null")).isEmpty():
+        if rounds == 0:
+            raise ValueError("a node is its own ancestor")
+        rounds -= 1
+        done.append(at.where("up is null"))
+        above = reduce(DataFrame.unionByName, [*done, todo]).select(on, F.col("elem_id").alias("up"), F.col("up").alias("next"), *[F.col(c).alias(f"{c}_above") for c in names])
+        at = checkpoint(todo.join(above, [on, "up"], "left").select(on, "elem_id", F.col("next").alias("up"), *[f(F.col(c), F.col(f"{c}_above")).alias(c) for c, f in carried.items()]))
+    return reduce(DataFrame.unionByName, [*done, at])
 
 
 def depths(nodes: DataFrame, edges: DataFrame, on: str = "state_id") -> DataFrame:
-    """(on, elem_id, depth): roots have depth 0."""
-    far = ancestors(edges, on).groupBy(on, "elem_id").agg(F.max("distance").alias("depth"))
-    return nodes.select(on, "elem_id").join(far, [on, "elem_id"], "left").select(on, "elem_id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+    """(on, elem_id, depth): roots have depth 0; a node has one parent."""
+    at = edges.where("parent_id is not null").select(on, "elem_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("depth"))
+    far = _climb(at, on, {"depth": lambda own, above: own + F.coalesce(above, F.lit(0))})
+    return nodes.select(on, "elem_id").join(far.select(on, "elem_id", "depth"), [on, "elem_id"], "left").select(on, "elem_id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
 def leaves(nodes: DataFrame, edges: DataFrame, on: str = "state_id") -> DataFrame:
@@ -49,11 +74,9 @@ def roots(nodes: DataFrame, edges: DataFrame, on: str = "state_id") -> DataFrame
 def paths(nodes: DataFrame, edges: DataFrame, on: str = "state_id") -> DataFrame:
     """(on, elem_id, path): /type[@id='x'] of all ancestors and the node itself."""
     step = F.concat(F.lit("/"), F.col("visual_type"), F.lit("[@id='"), F.col("elem_id").cast("string"), F.lit("']"))
-    named = nodes.select(on, "elem_id", step.alias("step"))
-    above = ancestors(edges, on).join(named.withColumnRenamed("elem_id", "ancestor_id"), [on, "ancestor_id"])
-    chain = above.groupBy(on, "elem_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), "step"))).alias("c"))
-    prefix = F.coalesce(F.array_join(F.transform("c", lambda s: s["step"]), ""), F.lit(""))
-    return named.join(chain, [on, "elem_id"], "left").select(on, "elem_id", F.concat(prefix, F.col("step")).alias("path"))
+    above = edges.where("parent_id is not null").select(on, "elem_id", F.col("parent_id").alias("up"))
+    at = nodes.select(on, "elem_id", step.alias("path")).join(above, [on, "elem_id"], "left")
+    return _climb(at, on, {"path": lambda own, above: F.concat(F.coalesce(above, F.lit("")), own)}).select(on, "elem_id", "path")
 
 
 def edits(draft: DataFrame, target: DataFrame, on: str = "state_id", fields: tuple[str, ...] = ("parent_id",)) -> DataFrame:
@@ -111,11 +134,28 @@ def apply_edits(nodes: DataFrame, changes: DataFrame, on: str = "state_id") -> D
     done = nodes.join(last, [on, "elem_id"], "left")
     pick = lambda op, old: F.when(F.coalesce(f"has_{op}", F.lit(False)), F.col(f"_{op}")).otherwise(F.col(old).cast("string"))
     moved = done.select(on, "elem_id", pick("set_parent", "parent_id").cast("int").alias("parent_id"), pick("set_role", "role").alias("role"), F.coalesce("has_delete", F.lit(False)).alias("gone"))
-    above = ancestors(moved, on).join(moved.select(on, F.col("elem_id").alias("ancestor_id"), "gone"), [on, "ancestor_id"]).where("not gone")
-    nearest = above.groupBy(on, "elem_id").agg(F.min_by("ancestor_id", "distance").alias("parent_id"))
+    stays = moved.where("not gone").select(on, F.col("elem_id").alias("parent_id"), F.lit(True).alias("stays"))
+    at = moved.join(stays, [on, "parent_id"], "left")
+    # A pointer stops at a node that stays; otherwise it goes where that of the deleted node goes.
+    at = at.select(on, "elem_id", F.when(F.col("stays").isNull(), F.col("parent_id")).alias("up"), F.when(F.col("stays"), F.col("parent_id")).alias("nearest"))
+    nearest = _climb(at, on, {"nearest": lambda own, above: F.coalesce(own, above)}).select(on, "elem_id", F.col("nearest").alias("parent_id"))
     return moved.where("not gone").select(on, "elem_id", "role").join(nearest, [on, "elem_id"], "left")
 
 
+def child_order(nodes: DataFrame, edges: DataFrame, on: str = "state_id", order: list[Column] | None = None) -> DataFrame:
+    """(on, elem_id, depth, pre_order): depth-first places from 0, children of a node by
+    ``order`` (top, then left, then id).  A node's key is the array of the ranks of its
+    ancestors among their siblings and its own; keys sort in depth-first order."""
+    order = order or [F.col("y1"), F.col("x1"), F.col("elem_id")]
+    above = edges.where("parent_id is not null").select(on, "elem_id", "parent_id")
+    placed = nodes.join(above, [on, "elem_id"], "left")
+    rank = F.row_number().over(Window.partitionBy(on, "parent_id").orderBy(*order))
+    at = placed.select(on, "elem_id", F.col("parent_id").alias("up"), F.array(rank).alias("key"))
+    keyed = _climb(at, on, {"key": lambda own, above: F.concat(F.coalesce(above, F.array().cast("array<int>")), own)})
+    place = F.row_number().over(Window.partitionBy(on).orderBy("key", "elem_id")) - 1
+    return keyed.select(on, "elem_id", (F.size("key") - 1).cast("long").alias("depth"), place.cast("long").alias("pre_order"))
+
+
 def edit_scores(predicted: DataFrame, expected: DataFrame, key: list[str], by: list[str]) -> DataFrame:
     """Precision and recall of sets of edits, each counted once."""
     p, e = predicted.select(*by, *key).distinct(), expected.select(*by, *key).distinct()
