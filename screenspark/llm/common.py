@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.lineage import checkpoint
+
+__all__ = ["checkpoint", "fold", "integer_ids", "labelled_sample", "map_batches", "sampled_features", "table", "union"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,24 +33,6 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % parts, F.lit(-1)).cast("int")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; a local one only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(named)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; empty batches are skipped."""
 
