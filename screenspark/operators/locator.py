@@ -21,29 +21,49 @@ STRATEGIES = ["id", "text", "hint", "role", "within", "near", "right_of", "left_
 
 # Words for kinds of elements, and the types that each accepts.
 ROLE_WORDS = {
-    "button": "button pushbutton", "btn": "button", "key": "button", "icon": "icon", "glyph": "icon",
-    "field": "inputfield textfield edittext", "input": "inputfield textfield edittext", "textbox": "inputfield textfield",
-    "box": "inputfield textfield checkbox", "checkbox": "checkbox", "check": "checkbox", "toggle": "checkbox switch",
-    "switch": "checkbox switch", "text": "text statictext label", "label": "text statictext label",
-    "link": "link text statictext", "image": "image icon", "tab": "tab button", "menu": "menu button text statictext",
-    "item": "button text statictext label", "tree": "button text statictext label", "list": "button text statictext label",
-    "radio": "checkbox radiobutton",
-}
+    "button": ["button", "pushbutton"],
+    "btn": ["button"],
+    "key": ["button"],
+    "icon": ["icon"],
+    "glyph": ["icon"],
+    "field": ["input_field", "textfield", "edittext"],
+    "input": ["input_field", "textfield", "edittext"],
+    "textbox": ["input_field", "textfield"],
+    "box": ["input_field", "textfield", "checkbox"],
+    "checkbox": ["checkbox"],
+    "check": ["checkbox"],
+    "toggle": ["checkbox", "switch"],
+    "switch": ["checkbox", "switch"],
+    "text": ["text", "statictext", "label"],
+    "label": ["text", "statictext", "label"],
+    "link": ["link", "text", "statictext"],
+    "image": ["image", "icon"],
+    "tab": ["tab", "button"],
+    "menu": ["menu", "button", "text", "statictext"],
+    "item": ["button", "text", "statictext", "label"],
+    "tree": ["button", "text", "statictext", "label"],
+    "list": ["button", "text", "statictext", "label"],
+    "radio": ["checkbox", "radiobutton"],
+}
 
 # Words for places.
 POSITION_WORDS = ["top", "bottom", "left", "right", "center", "middle", "first"]
 
 # Words before and after a word for a place that make it one.
-POSITION_BEFORE = "at on in to the near toward towards from upper lower far".split()
-POSITION_AFTER = [*"side corner edge half area region pane panel column row part hand most section bar toolbar sidebar margin".split(), *ROLE_WORDS]
+POSITION_BEFORE = ["at", "on", "in", "to", "the", "near", "toward", "towards", "from", "upper", "lower", "far"]
+POSITION_AFTER = [
+    "side", "corner", "edge", "half", "area", "region", "pane", "panel", "column", "row", "part", "hand", "most", "section",
+    "bar", "toolbar", "sidebar", "margin", *ROLE_WORDS,
+]
 
 # Words that name nothing.
-STOP_WORDS = "the a an at of in on to for with that this which and or is it its one".split()
-QUALIFIERS = (
-    "small big large little tiny huge wide narrow tall short long main primary secondary bold plain round square dark light "
-    "bright blue red green yellow orange grey gray black white purple pink brown highlighted selected visible upper lower "
-    "inner outer same other second third last only"
-).split()
+STOP_WORDS = ["the", "a", "an", "at", "of", "in", "on", "to", "for", "with", "that", "this", "which", "and", "or", "is", "it", "its", "one"]
+QUALIFIERS = [
+    "small", "big", "large", "little", "tiny", "huge", "wide", "narrow", "tall", "short", "long", "main", "primary", "secondary",
+    "bold", "plain", "round", "square", "dark", "light", "bright", "blue", "red", "green", "yellow", "orange", "grey", "gray",
+    "black", "white", "purple", "pink", "brown", "highlighted", "selected", "visible", "upper", "lower", "inner", "outer",
+    "same", "other", "second", "third", "last", "only",
+]
 
 
 def alternatives(locator: Column) -> Column:
@@ -66,10 +86,12 @@ def render(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(p["strategy"], F.lit("="), X.quoted(p["value"]))), " ")
 
 
-def describe(description: Column) -> Column:
+def describe(description: Column, heard: Column | None = None) -> Column:
     """struct(name, naming, roles, places) of a description's tokens.  A word for a place
     counts as one next to another such word, after a preposition or before a part of the
-    screen, but never right after a naming word."""
+    screen, but never right after a naming word; before a part it doesn't, either, if it is one
+    of the words ``heard``, which captions on the screen have."""
+    heard = F.coalesce(heard, F.array().cast("array<string>")) if heard is not None else F.array().cast("array<string>")
     toks = X.tokens(description)
     words = lambda ws: F.array(*[F.lit(w) for w in ws])
     among = lambda t, ws: F.coalesce(F.array_contains(words(ws), t), F.lit(False))
@@ -77,7 +99,7 @@ def describe(description: Column) -> Column:
 
     def step(acc: Column, w: Column) -> Column:
         place = among(w["t"], POSITION_WORDS) & (acc["kind"] != "name") & (
-            (w["prev"].isNull() & w["next"].isNull()) | (acc["kind"] == "pos") | among(w["next"], POSITION_WORDS) | among(w["prev"], POSITION_BEFORE) | among(w["next"], POSITION_AFTER)
+            (w["prev"].isNull() & w["next"].isNull()) | (acc["kind"] == "pos") | among(w["next"], POSITION_WORDS) | among(w["prev"], POSITION_BEFORE) | (among(w["next"], POSITION_AFTER) & ~F.array_contains(heard, w["t"]))
         )
         kind = F.when(among(w["t"], list(ROLE_WORDS)), "role").when(place, "pos").when(among(w["t"], STOP_WORDS), "stop").when(among(w["t"], QUALIFIERS), "qual").otherwise("name")
         return F.struct(kind.alias("kind"), F.array_append(acc["kinds"], kind).alias("kinds"))
@@ -101,9 +123,10 @@ def lexical_score(said: Column, element: Column, cx: Column, cy: Column) -> Colu
     share = F.coalesce(F.try_divide(hits + 0.7 * partly, F.size(said["name"])), F.lit(0.0))
     exact = (F.size(said["naming"]) > 0) & (F.size(have) > 0) & ((fields[0] == said["name"]) | (fields[1] == said["name"]) | (fields[2] == said["name"]))
     name = 2.0 * share + F.when(exact, 0.5).otherwise(0.0)
-    table = F.create_map(*[F.lit(x) for k, v in ROLE_WORDS.items() for x in (k, f" {v} ")])
-    kinds = [F.regexp_replace(F.lower(F.coalesce(element[c], F.lit(""))), "_", "") for c in ("role", "visual_type")]
-    fits = F.exists(said["roles"], lambda r: F.contains(table[r], F.concat(F.lit(" "), kinds[0], F.lit(" "))) | F.contains(table[r], F.concat(F.lit(" "), kinds[1], F.lit(" "))))
+    types = [x for word, accepted in ROLE_WORDS.items() for x in (F.lit(word), F.array(*[F.lit(t.replace("_", "")) for t in accepted]))]
+    table = F.create_map(*types)
+    kinds = F.array(*[F.replace(F.lower(F.coalesce(element[c], F.lit(""))), F.lit("_"), F.lit("")) for c in ("role", "visual_type")])
+    fits = F.exists(said["roles"], lambda r: F.arrays_overlap(table[r], kinds))
     middle = (cx > 0.25) & (cx < 0.75) & (cy > 0.25) & (cy < 0.75)
     there = lambda p: F.when(p == "top", cy < 0.34).when(p == "bottom", cy > 0.66).when(p == "left", cx < 0.34).when(p == "right", cx > 0.66).when(p == "first", F.lit(True)).otherwise(middle)
     placed = (F.size(said["places"]) > 0) & F.forall(said["places"], there)
@@ -112,86 +135,156 @@ def lexical_score(said: Column, element: Column, cx: Column, cy: Column) -> Colu
     return name + F.when(blind, F.least(0.5 * kind, F.lit(1.0))).otherwise(kind)
 
 
-def rank(descriptions: DataFrame, elements: DataFrame, on: str = "state_id", width: Column | None = None, height: Column | None = None) -> DataFrame:
-    """(desc_id, on, elem_id, score, place) of elements that score above 0, best first."""
-    parsed = descriptions.select("description").distinct().withColumn("said", describe(F.col("description")))
-    said = descriptions.select(on, "desc_id", "description").join(parsed, "description").drop("description")
+def rank(descriptions: DataFrame, elements: DataFrame, on: str = "state_id", width: Column | None = None, height: Column | None = None, by: list[str] | None = None) -> DataFrame:
+    """(desc_id, on, elem_id, score, place) of elements that score above 0, best first.  With
+    ``by`` the columns that a description and the elements in question share."""
+    by = by or [on]
     cx, cy = G.relative_centre(G.box(), width, height) if width is not None else (F.lit(0.5), F.lit(0.5))
     fields = ("label", "text", "hint")
     named = elements.withColumns({f"{c}_tokens": X.tokens(F.col(c)) for c in fields}).withColumn("tokens", F.concat(*[f"{c}_tokens" for c in fields]))
+    places = F.array(*[F.lit(w) for w in POSITION_WORDS])
+    spoken = named.select(*by, F.explode(F.array_intersect("tokens", places)).alias("word"))
+    heard = spoken.groupBy(*by).agg(F.sort_array(F.collect_set("word")).alias("heard"))
+    asked = descriptions.select(*by, "desc_id", "description").join(heard, by, "left")
+    parsed = asked.select("description", "heard").distinct().withColumn("said", describe(F.col("description"), F.col("heard")))
+    parsed = parsed.select(F.col("description").alias("_description"), F.col("heard").alias("_heard"), "said")
+    same = (F.col("description") == F.col("_description")) & F.col("heard").eqNullSafe(F.col("_heard"))
+    said = asked.join(parsed, same).select(*by, "desc_id", "said")
     element = F.struct("role", "visual_type", "tokens", *[f"{c}_tokens" for c in fields])
-    scored = said.join(named, on).select("desc_id", on, "elem_id", lexical_score(F.col("said"), element, cx, cy).alias("score")).where("score > 0")
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("desc_id", on).orderBy(F.desc("score"), "elem_id")))
+    scored = said.join(named, by).select("desc_id", *by, "elem_id", lexical_score(F.col("said"), element, cx, cy).alias("score")).where("score > 0")
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("desc_id", *by).orderBy(F.desc("score"), "elem_id")))
 
 
-def confident(ranked: DataFrame, on: str = "state_id", floor: float = 1.5, margin: float = 0.5) -> DataFrame:
+def confident(ranked: DataFrame, on: str = "state_id", floor: float = 1.5, margin: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """(desc_id, on, elem_id, score): the best element, if it clears the floor and leads the
     second by the margin."""
-    best = ranked.where("place <= 2").groupBy("desc_id", on).agg(
+    by = by or [on]
+    best = ranked.where("place <= 2").groupBy("desc_id", *by).agg(
         F.max_by("elem_id", -F.col("place")).alias("elem_id"), F.max("score").alias("score"), F.when(F.count("*") > 1, F.min("score")).alias("second")
     )
-    return best.where((F.col("score") >= floor) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= margin))).drop("second")
+    # Scores are sums of fractions: a lead of exactly the margin may come out a little less.
+    return best.where((F.col("score") >= floor) & (F.col("second").isNull() | (F.col("score") - F.col("second") >= margin - 1e-9))).drop("second")
 
 
-#: Rows of a locator table up to which it is sent to all tasks; beyond that Spark decides.
-FEW = 10_000
+PLAIN = ["id", "text", "hint", "role"]
 
 
-def few(df: DataFrame) -> DataFrame:
-    """The rows, marked for broadcast where there are few."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+def _chains(locators: DataFrame, on: str) -> DataFrame:
+    """(loc_id, alt, parts), and the screen where the locators name one."""
+    own = [on] if on in locators.columns else []
+    return locators.select("loc_id", *own, F.posexplode(alternatives(F.col("locator"))).alias("alt", "parts"))
 
 
-def matches(locators: DataFrame, elements: DataFrame, on: str = "state_id") -> DataFrame:
+def _field_keys(elements: DataFrame, on: str) -> DataFrame:
+    """(on, elem_id, strategy, key): what the plain strategies compare, in lower case."""
+    key = lambda s: F.struct(F.lit(s).alias("strategy"), F.lower(F.col("elem_id" if s == "id" else s).cast("string")).alias("key"))
+    rows = elements.select(on, "elem_id", F.explode(F.array(*[key(s) for s in PLAIN])).alias("k")).select(on, "elem_id", "k.*")
+    return rows.where("key <> ''")
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """All stretches of that many characters."""
+    n = F.length(text) - size + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def accepted_keys(values: DataFrame, keys: DataFrame) -> DataFrame:
+    """(strategy, value, key, exact): the distinct keys that each distinct value accepts: its
+    equal, and for texts and hints those that it is a part of.  Keys that may hold a value are
+    found by a stretch of three characters (fewer in shorter values) that both have."""
+    same = values.select("strategy", "value", F.col("value").alias("key"), F.lit(1).alias("exact"))
+    value, key = F.col("value"), F.col("key")
+    piece = F.coalesce(*[F.when(F.length(value) >= n, F.array_max(_pieces(value, n))) for n in (3, 2, 1)])
+    asked = values.where(F.col("strategy").isin("text", "hint")).select("strategy", "value", piece.alias("piece"))
+    every = F.array_distinct(F.concat(*[_pieces(key, n) for n in (1, 2, 3)]))
+    held = keys.where(F.col("strategy").isin("text", "hint")).select("strategy", "key").distinct().select("strategy", "key", F.explode(every).alias("piece"))
+    part = asked.join(held, ["strategy", "piece"]).where(F.contains(key, value) & (key != value))
+    return same.unionByName(part.select("strategy", "value", "key", F.lit(0).alias("exact")))
+
+
+def matches(locators: DataFrame, elements: DataFrame, on: str = "state_id", width: Column | None = None, height: Column | None = None) -> DataFrame:
     """(loc_id, on, alt, elem_id): the elements that all parts of an alternative accept.
-    Texts and hints match exactly, or else, if no element of the screen does, in part."""
+    Texts and hints match exactly, or else, if no element of the screen does, in part.
+
+    Locators that name a screen in a column ``on`` are resolved there, others on every screen."""
+    own = [on] if on in locators.columns else []
     parts = (
-        locators.select("loc_id", F.posexplode(alternatives(F.col("locator"))).alias("alt", "parts"))
-        .select("loc_id", "alt", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part", "p"))
-        .select("loc_id", "alt", "n_parts", "part", "p.strategy", "p.value")
+        _chains(locators, on)
+        .select("loc_id", *own, "alt", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part", "p"))
+        .select("loc_id", *own, "alt", "n_parts", "part", "p.strategy", F.lower("p.value").alias("value"), F.col("p.value").alias("said"))
     )
-    has_desc = not parts.where("strategy = 'desc'").isEmpty()
-    parts = few(parts)
-    value = F.lower("value")
-    field = F.when(F.col("strategy") == "text", F.col("text")).when(F.col("strategy") == "hint", F.col("hint")).when(F.col("strategy") == "role", F.col("role")).otherwise(F.col("elem_id").cast("string"))
-    field = F.lower(F.coalesce(field, F.lit("")))
-    plain = parts.where(F.col("strategy").isin("id", "text", "hint", "role"))
-    partial = F.col("strategy").isin("text", "hint") & F.contains(field, value)
-    found = plain.join(elements, (field == value) | partial).withColumn("exact", (field == value).cast("int"))
+    ids = ["loc_id", "alt", "n_parts", "part"]
+    keys = _field_keys(elements, on)
+    plain = parts.where(F.col("strategy").isin(PLAIN))
+    accepts = plain.join(accepted_keys(plain.select("strategy", "value").distinct(), keys), ["strategy", "value"]).select(*ids, *own, "strategy", "key", "exact")
+    found = accepts.join(keys, [*own, "strategy", "key"])
     top = F.max("exact").over(Window.partitionBy("loc_id", "alt", "part", on))
-    direct = found.withColumn("_top", top).where("exact = _top").select("loc_id", "alt", "n_parts", "part", on, "elem_id")
+    direct = found.withColumn("_top", top).where("exact = _top").select(*ids, on, "elem_id")
 
-    placed = parts.where(~F.col("strategy").isin("id", "text", "hint", "role", "desc"))
-    reference = placed.join(elements.select(on, F.col("elem_id").alias("ref_id"), F.col("text").alias("ref_text"), *[F.col(c).alias(f"r{c}") for c in ("x1", "y1", "x2", "y2")]), (F.col("ref_id").cast("string") == value) | (F.lower("ref_text") == value))
-    first = Window.partitionBy("loc_id", "alt", "part", on).orderBy((F.col("ref_id").cast("string") == value).cast("int").desc(), "ref_id")
-    reference = reference.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    placed = parts.where(~F.col("strategy").isin(*PLAIN, "desc")).select(*ids, *own, F.col("strategy").alias("relation"), F.col("value").alias("key"))
+    named = placed.join(keys.where(F.col("strategy").isin("id", "text")), [*own, "key"])
+    first = F.min(F.struct((F.col("strategy") != "id").alias("o"), F.col("elem_id").alias("ref_id"))).alias("f")
+    boxes = elements.select(on, F.col("elem_id").alias("ref_id"), *[F.col(c).alias(f"r{c}") for c in ("x1", "y1", "x2", "y2")])
+    reference = named.groupBy(*ids, "relation", on).agg(first).select(*ids, "relation", on, "f.ref_id").join(boxes, [on, "ref_id"])
     a, r = G.box(), G.Box(*(F.col(f"r{c}") for c in ("x1", "y1", "x2", "y2")))
     other = F.col("elem_id") != F.col("ref_id")
     test = (
-        F.when(F.col("strategy").isin("within", "near"), G.has_centre_of(r, a))
-        .when(F.col("strategy") == "right_of", other & (G.centre_x(a) > r.x2))
-        .when(F.col("strategy") == "left_of", other & (G.centre_x(a) < r.x1))
-        .when(F.col("strategy") == "below", other & (G.centre_y(a) > r.y2))
+        F.when(F.col("relation").isin("within", "near"), G.has_centre_of(r, a))
+        .when(F.col("relation") == "right_of", other & (G.centre_x(a) > r.x2))
+        .when(F.col("relation") == "left_of", other & (G.centre_x(a) < r.x1))
+        .when(F.col("relation") == "below", other & (G.centre_y(a) > r.y2))
         .otherwise(other & (G.centre_y(a) < r.y1))
     )
-    spatial = reference.join(elements, on).where(test).select("loc_id", "alt", "n_parts", "part", on, "elem_id")
-
-    every = direct.unionByName(spatial)
-    wanted = parts.where("strategy = 'desc'")
-    asked = wanted.crossJoin(elements.select(on).distinct()).select(on, F.struct("loc_id", "alt", "n_parts", "part").alias("desc_id"), F.col("value").alias("description"))
-    described = confident(rank(asked, elements, on), on).select("desc_id.*", on, "elem_id")
-    if has_desc:
-        every = every.unionByName(described.select(direct.columns))
-    return every.groupBy("loc_id", on, "alt", "elem_id", "n_parts").agg(F.count_distinct("part").alias("met")).where("met = n_parts").drop("met", "n_parts")
+    spatial = reference.join(elements, on).where(test).select(*ids, on, "elem_id")
 
-
-def resolve(locators: DataFrame, elements: DataFrame, on: str = "state_id") -> DataFrame:
-    """(loc_id, on, elem_id, alt): the element of the first alternative that has exactly one."""
-    counted = matches(locators, elements, on).groupBy("loc_id", on, "alt").agg(F.count("*").alias("n"), F.min("elem_id").alias("elem_id"))
-    return counted.where("n = 1").groupBy("loc_id", on).agg(F.min_by("elem_id", "alt").alias("elem_id"), F.min("alt").alias("alt"))
+    wanted = parts.where("strategy = 'desc'").select(*own, F.struct(*ids).alias("desc_id"), F.col("said").alias("description"))
+    asked = wanted if own else wanted.crossJoin(elements.select(on).distinct())
+    described = confident(rank(asked, elements, on, width, height), on).select("desc_id.*", on, "elem_id")
+    every = direct.unionByName(spatial).unionByName(described)
+    return every.groupBy("loc_id", on, "alt", "elem_id", "n_parts").agg(F.count_distinct("part").alias("met")).where("met = n_parts").drop("met", "n_parts")
 
 
-def resolve_all(locators: DataFrame, elements: DataFrame, on: str = "state_id") -> DataFrame:
+def outcomes(locators: DataFrame, elements: DataFrame, on: str = "state_id", width: Column | None = None, height: Column | None = None) -> DataFrame:
+    """(loc_id, on, alt, n, elem_id, judge): how many elements each alternative that finds any
+    has, and which one it stands for: the only one, or the one that a description of the same
+    chain (alternative ``judge``) picks among several; NULL where that is open."""
+    found = matches(locators, elements, on, width, height)
+    counted = found.groupBy("loc_id", on, "alt").agg(F.count("*").alias("n"), F.min("elem_id").alias("least"))
+    chains = _chains(locators, on)
+    own = [on] if on in locators.columns else []
+    lone = (F.size("parts") == 1) & (F.col("parts")[0]["strategy"] == "desc")
+    judges = chains.where(lone).select("loc_id", *own, F.col("alt").alias("desc_id"), F.col("parts")[0]["value"].alias("description"))
+    by = [on, "loc_id", "alt"]
+    crowds = counted.where("n > 1").select(*by)
+    asked = crowds.join(judges, ["loc_id", *own])
+    pool = found.join(asked.select(*by).distinct(), by).join(elements, [on, "elem_id"])
+    picked = confident(rank(asked, pool, on, width, height, by), on, by=by).groupBy(*by).agg(F.min("desc_id").alias("judge"), F.min_by("elem_id", "desc_id").alias("picked"))
+    return counted.join(picked, by, "left").select("loc_id", on, "alt", "n", F.when(F.col("n") == 1, F.col("least")).otherwise(F.col("picked")).alias("elem_id"), "judge")
+
+
+def resolve(locators: DataFrame, elements: DataFrame, on: str = "state_id", width: Column | None = None, height: Column | None = None) -> DataFrame:
+    """(loc_id, on, elem_id, alt): the element of the first alternative that has exactly one, or
+    several of which a description of the chain picks one."""
+    decided = outcomes(locators, elements, on, width, height).where("elem_id is not null")
+    return decided.groupBy("loc_id", on).agg(F.min_by("elem_id", "alt").alias("elem_id"), F.min("alt").alias("alt"))
+
+
+def explain(locators: DataFrame, elements: DataFrame, on: str = "state_id", width: Column | None = None, height: Column | None = None) -> DataFrame:
+    """(loc_id, on, alt, rendered, outcome, elem_id): every alternative up to the one that
+    resolves, and what became of it: ok, decided by description, not found, or how many match."""
+    chains = _chains(locators, on)
+    tried = chains if on in locators.columns else chains.crossJoin(elements.select(on).distinct())
+    known = tried.join(outcomes(locators, elements, on, width, height), ["loc_id", on, "alt"], "left")
+    won = F.min(F.when(F.col("elem_id").isNotNull(), F.col("alt"))).over(Window.partitionBy("loc_id", on))
+    outcome = (
+        F.when(F.col("n").isNull(), "not found").when(F.col("n") == 1, "ok")
+        .when(F.col("elem_id").isNotNull(), "decided by description").otherwise(F.format_string("%d elements match", F.col("n")))
+    )
+    rows = known.withColumns({"won": won, "outcome": outcome, "rendered": render(F.col("parts"))})
+    return rows.where("won is null or alt <= won").select("loc_id", on, "alt", "rendered", "outcome", "elem_id")
+
+
+def resolve_all(locators: DataFrame, elements: DataFrame, on: str = "state_id", width: Column | None = None, height: Column | None = None) -> DataFrame:
     """All elements of the first alternative that has any."""
-    found = matches(locators, elements, on)
+    found = matches(locators, elements, on, width, height)
     return found.withColumn("_first", F.min("alt").over(Window.partitionBy("loc_id", on))).where("alt = _first").drop("_first")

@@ -83,10 +83,46 @@ def lexical_rank(spark, sf):
 
 @query(
     "lexical_confident",
-    over(f"{_SAID} SELECT a.desc_id, a.state_id, a.elem_id, a.score FROM ranked a LEFT JOIN ranked b ON a.desc_id = b.desc_id AND a.state_id = b.state_id AND b.place = 2 WHERE a.place = 1 AND a.score >= 1.5 AND (b.score IS NULL OR round(a.score - b.score, 6) >= 0.5)", "captions"),
+    over(f"{_SAID} SELECT desc_id, state_id, elem_id, score FROM (SELECT *, lead(score) OVER (PARTITION BY desc_id, state_id ORDER BY place) AS second FROM ranked) WHERE place = 1 AND score >= 1.5 AND (second IS NULL OR round(score - second, 6) >= 0.5)", "captions"),
 )
 def lexical_confident(spark, sf):
-    return locator.confident(ranked(spark, sf), margin=0.5 - 1e-9)
+    return locator.confident(ranked(spark, sf))
+
+
+#: Chains in which a description decides among several matches, or is the last resort.
+JUDGED = [(1, 'role=button || desc="the small ring button"'), (2, "role=text || desc=ring"), (3, 'hint=brand#1 || desc="red widget"')]
+
+
+@query(
+    "locator_arbitration",
+    over(
+        f"""{_SAID}, cand AS (SELECT 1 AS loc_id, 1 AS desc_id, state_id, elem_id FROM captions WHERE role = 'button' UNION ALL SELECT 2, 5, state_id, elem_id FROM captions WHERE role = 'text'
+        UNION ALL SELECT 3, 2, state_id, elem_id FROM (SELECT *, max(CASE WHEN lower(hint) = 'brand#1' THEN 1 ELSE 0 END) OVER (PARTITION BY state_id) AS top FROM captions WHERE contains(lower(hint), 'brand#1')) WHERE top = CASE WHEN lower(hint) = 'brand#1' THEN 1 ELSE 0 END),
+      sizes AS (SELECT loc_id, state_id, count(*) AS n, min(elem_id) AS elem_id FROM cand GROUP BY loc_id, state_id),
+      within_ AS (SELECT c.loc_id, c.state_id, c.elem_id, r.score, row_number() OVER w AS place, lead(r.score) OVER w AS second FROM cand c JOIN ranked r ON r.desc_id = c.desc_id AND r.state_id = c.state_id AND r.elem_id = c.elem_id WINDOW w AS (PARTITION BY c.loc_id, c.state_id ORDER BY r.score DESC, c.elem_id)),
+      judged AS (SELECT c.loc_id, c.state_id, w.elem_id, 0 AS alt FROM sizes c JOIN within_ w ON w.loc_id = c.loc_id AND w.state_id = c.state_id AND w.place = 1 WHERE c.n > 1 AND w.score >= 1.5 AND (w.second IS NULL OR round(w.score - w.second, 6) >= 0.5)),
+      sure AS (SELECT desc_id, state_id, elem_id FROM (SELECT *, lead(score) OVER (PARTITION BY desc_id, state_id ORDER BY place) AS second FROM ranked) WHERE place = 1 AND score >= 1.5 AND (second IS NULL OR round(score - second, 6) >= 0.5)),
+      every AS (SELECT loc_id, state_id, elem_id, 0 AS alt FROM sizes WHERE n = 1 UNION ALL SELECT * FROM judged UNION ALL SELECT CASE desc_id WHEN 1 THEN 1 WHEN 5 THEN 2 ELSE 3 END, state_id, elem_id, 1 FROM sure WHERE desc_id IN (1, 2, 5))
+      SELECT loc_id, state_id, arg_min(elem_id, alt) AS elem_id, min(alt) AS alt FROM every GROUP BY loc_id, state_id""",
+        "captions",
+    ),
+)
+def locator_arbitration(spark, sf):
+    asked = spark.createDataFrame(JUDGED, "loc_id int, locator string")
+    return locator.resolve(asked, captions(spark, sf), width=F.lit(400), height=F.lit(200))
+
+
+@query(
+    "locator_explain",
+    over(
+        f"""{_LOC_ROWS}, tried AS (SELECT DISTINCT loc_id, alt, state_id FROM parts CROSS JOIN captions), counted AS (SELECT loc_id, state_id, alt, count(*) AS n, min(elem_id) AS elem_id FROM matched GROUP BY loc_id, state_id, alt),
+      said AS (SELECT t.*, n, CASE WHEN n = 1 THEN elem_id END AS elem_id, min(CASE WHEN n = 1 THEN t.alt END) OVER (PARTITION BY t.loc_id, t.state_id) AS won FROM tried t LEFT JOIN counted c ON c.loc_id = t.loc_id AND c.alt = t.alt AND c.state_id = t.state_id)
+      SELECT loc_id, state_id, alt, CASE WHEN n IS NULL THEN 'not found' WHEN n = 1 THEN 'ok' ELSE n || ' elements match' END AS outcome, elem_id FROM said WHERE won IS NULL OR alt <= won""",
+        "captions",
+    ),
+)
+def locator_explain(spark, sf):
+    return locator.explain(locators(spark), captions(spark, sf)).drop("rendered")
 
 
 @query(
