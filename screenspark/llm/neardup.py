@@ -224,59 +224,74 @@ def possible(a: str, b: str) -> Column:
 
 
 def fragments(docs: DataFrame, wanted: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(node, fragment, grams, left, right) of the wanted (node, doc_key, left, right): each set
-    cut at the pivots of the global order, without its empty fragments."""
-    found = R.compressed(docs.select(key_of().alias("doc_key"), "text")).join(wanted, "doc_key")
+    """Rows (a, slot, b, sizes, grams) of the wanted (node, doc_key, chunk, own, to): each set cut at
+    the pivots of the global order, without its empty fragments.  A slot is a salt and a
+    fragment.  A set goes to its ``own`` salts with b NULL, and to every a that it is paired
+    with (``to``: a, salt, sizes) with its node as b."""
+    found = R.compressed(docs.select(key_of().alias("doc_key"), "text")).join(wanted, "doc_key").dropDuplicates(["doc_key", "chunk"])
     cuts = pivots(rank, FRAGMENTS)
 
     def run(batches):
-        for batch in R.sliced(batches, 1000):
-            row, fragment, grams = [], [], []
-            for i, _, data, at in K.blocks(R.plain(batch).column("text")):
+        for batch in R.sliced(batches, 500):
+            rows: list[tuple] = []
+            node, own, to = (batch.column(c).to_pylist() for c in ("node", "own", "to"))
+            for i, _, data, at in K.blocks(R.plain(batch).column("text"), 1 << 20):
                 _, gram, first = ordered_sets(data, at, rank)
+                place = in_order(gram, rank)
                 for d in range(len(at) - 1):
-                    own = gram[first[d] : first[d + 1]]
-                    edge = np.concatenate([[0], np.searchsorted(in_order(own, rank), cuts), [len(own)]]).tolist()
+                    part = slice(first[d], first[d + 1])
+                    edge = np.concatenate([[0], np.searchsorted(place[part], cuts), [first[d + 1] - first[d]]]).tolist()
+                    grams, k = gram[part], i + d
                     for f in range(FRAGMENTS):
                         if edge[f] < edge[f + 1]:
-                            row.append(i + d)
-                            fragment.append(f)
-                            grams.append(own[edge[f] : edge[f + 1]].tobytes())
-            take = pa.array(row, pa.int64())
-            of = {c: batch.column(c).take(take) for c in ("node", "left", "right")}
-            yield pa.RecordBatch.from_arrays([of["node"], pa.array(fragment, pa.int32()), pa.array(grams, pa.binary()), of["left"], of["right"]], ["node", "fragment", "grams", "left", "right"])
+                            raw = grams[edge[f] : edge[f + 1]].tobytes()
+                            rows += [(node[k], salt * FRAGMENTS + f, None, 0, raw) for salt in own[k] or ()]
+                            rows += [(x["a"], x["salt"] * FRAGMENTS + f, node[k], x["sizes"], raw) for x in to[k] or ()]
+            if rows:
+                columns = zip(*rows, strict=True)
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["a", "slot", "b", "sizes", "grams"])
 
-    return found.mapInArrow(run, "node long, fragment int, grams binary, left array<int>, right array<int>").dropDuplicates(["node", "fragment"])
+    return found.select("node", "own", "to", "text").mapInArrow(run, "a long, slot int, b long, sizes long, grams binary")
+
+
+def partial_overlaps(parts: DataFrame) -> DataFrame:
+    """(a, b, sizes, shared): what the sets of each pair share in one fragment.  In a slot of a
+    the rows of a's own set come first, so a task holds one of them at a time."""
+
+    def run(batches):
+        slot, held = None, None
+        for batch in batches:
+            a, at, b, sizes, raw = (batch.column(c).to_pylist() for c in ("a", "slot", "b", "sizes", "grams"))
+            out: list[tuple] = []
+            for k in range(batch.num_rows):
+                grams = np.frombuffer(raw[k], np.uint64)
+                if b[k] is None:
+                    slot, held = (a[k], at[k]), grams
+                elif slot == (a[k], at[k]):
+                    shared = len(np.intersect1d(held, grams, assume_unique=True))
+                    if shared:
+                        out.append((a[k], b[k], sizes[k], shared))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "sizes", "shared"])
+
+    ordered = parts.repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("b").asc_nulls_first())
+    return ordered.mapInArrow(run, "a long, b long, sizes long, shared long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, where: DataFrame, rank: np.ndarray) -> DataFrame:
     """The (a, b) of pairs (a, b, na, nb, often) that link; where: (node, doc_key).  The pairs of
     a node that meet at a frequent shingle are spread by the other node."""
-    salt = lambda other: F.when(F.col("often"), 1 + F.pmod(other, F.lit(SALTS))).otherwise(0).cast("int")
-    pairs = checkpoint(pairs.groupBy("a", "b", "na", "nb").agg(F.max("often").alias("often")).withColumns({"sa": salt("b"), "sb": salt("a")}).drop("often"))
-    side = lambda c, s, name: pairs.groupBy(F.col(c).alias("node")).agg(F.collect_set(s).alias(name))
-    wanted = side("a", "sa", "left").join(side("b", "sb", "right"), "node", "full_outer").join(where, "node")
-    parts = fragments(docs, wanted, rank)
-    left = parts.select(F.col("node").alias("a"), F.explode("left").alias("sa"), "fragment", F.col("grams").alias("grams_a"))
-    right = parts.select(F.col("node").alias("b"), F.explode("right").alias("sb"), "fragment", F.col("grams").alias("grams_b"))
-
-    def overlap(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shared = [
-                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(shared, pa.int64())], ["a", "b", "na", "nb", "shared"])
-
-    partial = (
-        pairs.join(right, ["b", "sb"]).join(left, ["a", "sa", "fragment"])
-        .select("a", "b", "na", "nb", "grams_a", "grams_b")
-        .mapInArrow(overlap, "a long, b long, na int, nb int, shared long")
-    )
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    return total.where("9 * shared >= 4 * (na + nb)").select("a", "b")
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.max("often").alias("often"))
+    spread_by = lambda c: F.when(F.col("often"), 1 + F.pmod(c, F.lit(SALTS))).otherwise(0).cast("int")
+    sizes = (F.shiftleft(F.col("na").cast("long"), 32) + F.col("nb")).alias("sizes")
+    pairs = checkpoint(pairs.select("a", "b", spread_by("b").alias("salt"), spread_by("a").alias("chunk"), sizes))
+    own = pairs.groupBy(F.col("a").alias("node")).agg(F.lit(-1).alias("chunk"), F.collect_set("salt").alias("own"))
+    to = pairs.groupBy(F.col("b").alias("node"), "chunk").agg(F.collect_list(F.struct("a", "salt", "sizes")).alias("to"))
+    wanted = own.unionByName(to, allowMissingColumns=True).join(where, "node")
+    total = partial_overlaps(fragments(docs, wanted, rank)).groupBy("a", "b", "sizes").agg(F.sum("shared").alias("shared"))
+    both = F.shiftright("sizes", 32) + F.col("sizes").bitwiseAND(F.lit(0xFFFFFFFF))
+    return total.where(9 * F.col("shared") >= 4 * both).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
