@@ -96,6 +96,20 @@ def edit_rate(hypothesis: Column, truth: Column) -> Column:
     return F.coalesce(F.try_divide(F.levenshtein(hypothesis, truth), F.length(truth)), F.lit(0.0))
 
 
+def words(c: Column) -> Column:
+    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+
+def word_distance(hypothesis: Column, truth: Column) -> Column:
+    """Levenshtein distance over words: each different word of the two texts becomes one
+    character, beyond the surrogates, and the distance is that of the characters."""
+    a, b = words(hypothesis), words(truth)
+    number = F.map_from_entries(F.transform(F.array_distinct(F.concat(a, b)), lambda w, i: F.struct(w, i)))
+    char = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 0x10000), 8, "0")), "UTF-32")
+    coded = lambda ws: F.array_join(F.transform(ws, lambda w: char(number[w])), "")
+    return F.levenshtein(coded(a), coded(b))
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of the lower-cased texts; 1 where both are empty."""

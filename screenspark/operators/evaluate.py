@@ -66,14 +66,19 @@ def type_accuracy(predicted: DataFrame, truth: DataFrame, matched: DataFrame, on
 
 
 def text_metrics(pairs: DataFrame) -> DataFrame:
-    """pairs (pred_text, gt_text): comparisons with a true text; edit distance over all
-    characters, exact matches after trimming, case aside."""
+    """pairs (pred_text, gt_text): comparisons with a true text; edit distances over all
+    characters and all words, exact matches after trimming, case aside."""
     p, g = F.coalesce("pred_text", F.lit("")), F.coalesce("gt_text", F.lit(""))
     own = pairs.select(p.alias("p"), g.alias("g")).where("g <> ''")
-    return own.agg(
-        F.count("*").alias("comparisons"), F.coalesce(F.sum(F.length("g")), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.levenshtein("p", "g")), F.lit(0)).cast("long").alias("edits"),
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = own.agg(
+        F.count("*").alias("comparisons"), total(F.length("g")).alias("chars"), total(F.levenshtein("p", "g")).alias("edits"),
+        total(F.size(X.words(F.col("g")))).alias("words"), total(X.word_distance(F.col("p"), F.col("g"))).alias("word_edits"),
         F.count_if(F.lower(F.trim("p")) == F.lower(F.trim("g"))).alias("exact"),
-    ).select("*", _ratio(F.col("edits"), F.col("chars")).alias("cer"), _ratio(F.col("exact"), F.col("comparisons")).alias("exact_rate"))
+    )
+    cer, wer = _ratio(F.col("edits"), F.col("chars")), _ratio(F.col("word_edits"), F.col("words"))
+    least = lambda c: F.greatest(F.lit(0.0), 1 - c)
+    return sums.select("*", cer.alias("cer"), wer.alias("wer"), least(cer).alias("char_accuracy"), least(wer).alias("word_accuracy"), _ratio(F.col("exact"), F.col("comparisons")).alias("exact_rate"))
 
 
 def hierarchy_metrics(draft: DataFrame, target: DataFrame, on: str = "state_id") -> DataFrame:

@@ -85,3 +85,21 @@ def slices(df: DataFrame, parts: Column) -> DataFrame:
             "y1": F.when(wide, b.y1).otherwise(b.y1 + lo), "y2": F.when(wide, b.y2).otherwise(b.y1 + hi),
         }
     )
+
+
+def tree_order(df: DataFrame, edges: DataFrame, on: str = "state_id") -> DataFrame:
+    """Adds ``reading_pos`` from 0: the children of every node in reading order, each followed by
+    what it holds, so a container is never mixed with its neighbours."""
+    from . import tree
+
+    placed = df.join(edges.where("parent_id is not null").select(on, "elem_id", F.col("parent_id").alias("_parent")), [on, "elem_id"], "left")
+    sides = reading_order(placed, [on, "_parent"]).withColumnRenamed("reading_pos", "_side")
+    order = tree.child_order(sides, edges, on, [F.col("_side")]).select(on, "elem_id", F.col("pre_order").alias("reading_pos"))
+    return df.join(order, [on, "elem_id"])
+
+
+def corners(x: Column, y: Column, name: Column) -> list[Column]:
+    """Aggregates: which of the points of a group stand for its corners; of equal ones the first."""
+    nearest = lambda key: F.min_by(name, F.struct(key, name))
+    furthest = lambda key: F.max_by(name, F.struct(key, -name))
+    return [nearest(x + y).alias("top_left"), nearest(y - x).alias("top_right"), furthest(x + y).alias("bottom_right"), furthest(y - x).alias("bottom_left")]

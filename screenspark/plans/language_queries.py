@@ -205,9 +205,9 @@ def screen_vocabulary(spark, sf):
     return captions(spark, sf).groupBy("state_id").agg(F.size(X.vocabulary(F.col("text"), F.col("hint"))).alias("n_tokens"))
 
 
-@query("norm_text", "SELECT doc_id, md5(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))) AS digest, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_tokens FROM documents WHERE lang = 'en'")
+@query("norm_text", "SELECT doc_id, md5(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))) AS digest, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_tokens FROM documents")
 def norm_text(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.md5(X.normal(F.regexp_replace("text", r"[ \t\n\r]+", " "))).alias("digest"), F.size(X.tokens(F.col("text"))).alias("n_tokens"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import stats
 from ..functions import text as X
-from ..operators import elements, evaluate
+from ..operators import benchmark, elements, evaluate
 from . import registry as Q
 from .registry import over, query
 from .spatial_queries import JOIN, LARGEST_TEST, SMALLEST, _PARENT, largest_parents, smallest_parents
@@ -85,22 +85,33 @@ def type_accuracy(spark, sf):
     return df.select("visual_type", "support", "found", "typed", F.round("recall", 6).alias("recall"))
 
 
+#: Sentences and lines of whole texts.  Both sides of the check count single bytes, so letters
+#: beyond ASCII become question marks first.
+_SENTENCES = r"SELECT doc_id, g, substring(g, 2) AS p FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '[^.!?\n]+')) AS g FROM documents)"
+
+
 def _text_pairs(spark, sf):
-    docs = table(spark, sf, "documents").where("lang = 'en'")
-    return docs.select("doc_id", F.substring("text", 2, 60).alias("pred_text"), F.substring("text", 1, 60).alias("gt_text"))
+    """Every sentence of every text, and the same without its first character."""
+    docs = table(spark, sf, "documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    each = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+"), F.lit(0))).alias("gt_text"))
+    return each.withColumn("pred_text", F.expr("substring(gt_text, 2)"))
 
 
 @query(
     "ocr_metrics",
-    "SELECT count(*) AS comparisons, sum(length(g)) AS chars, sum(levenshtein(p, g)) AS edits, sum(CASE WHEN lower(trim(p)) = lower(trim(g)) THEN 1 ELSE 0 END) AS exact, round(sum(levenshtein(p, g))/CAST(sum(length(g)) AS DOUBLE), 6) AS cer FROM (SELECT substring(text, 2, 60) AS p, substring(text, 1, 60) AS g FROM documents WHERE lang = 'en') WHERE g <> ''",
+    f"""WITH u AS ({_SENTENCES}), w AS (SELECT *, len(list_filter(regexp_split_to_array(g, '\\s+'), lambda x: x <> '')) AS n, regexp_matches(g, '^\\S') AS hit FROM u WHERE g <> '')
+      SELECT count(*) AS comparisons, sum(length(g)) AS chars, sum(levenshtein(p, g)) AS edits, sum(CASE WHEN lower(trim(p)) = lower(trim(g)) THEN 1 ELSE 0 END) AS exact,
+        sum(n) AS words, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS word_edits, round(sum(levenshtein(p, g))/CAST(sum(length(g)) AS DOUBLE), 6) AS cer, round(sum(CASE WHEN hit THEN 1 ELSE 0 END)/CAST(sum(n) AS DOUBLE), 6) AS wer FROM w""",
 )
 def ocr_metrics(spark, sf):
-    return evaluate.text_metrics(_text_pairs(spark, sf)).select("comparisons", "chars", "edits", "exact", F.round("cer", 6).alias("cer"))
+    """Leaving out the first character changes or drops the first word, if it starts there."""
+    df = evaluate.text_metrics(_text_pairs(spark, sf))
+    return df.select("comparisons", "chars", "edits", "exact", "words", "word_edits", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"))
 
 
-@query("ocr_distance", "SELECT doc_id, levenshtein(substring(text, 2, 60), substring(text, 1, 60)) AS edits FROM documents WHERE lang = 'en'")
+@query("ocr_distance", f"SELECT doc_id, count(*) AS sentences, sum(levenshtein(p, g)) AS edits FROM ({_SENTENCES}) GROUP BY doc_id")
 def ocr_distance(spark, sf):
-    return _text_pairs(spark, sf).select("doc_id", F.levenshtein("pred_text", "gt_text").alias("edits"))
+    return _text_pairs(spark, sf).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.levenshtein("pred_text", "gt_text")).alias("edits"))
 
 
 def _whole_text_pairs(spark, sf):
@@ -204,7 +215,7 @@ def sign_flip_exact(spark, sf):
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf):
     c = _runs(spark, sf).groupBy("app").agg(F.count_if("a").alias("hits"), F.count("*").alias("n"))
-    return stats.bootstrap(c, "hits", "n", draws=1000)
+    return stats.bootstrap(c, "hits", "n")
 
 
 @query("zero_event_bound", f"{_RUNS} SELECT round(1 - pow(0.05, 1.0/count(DISTINCT app)), 6) AS bound FROM r")
@@ -251,22 +262,25 @@ def dedupe_app(spark, sf):
 _ABSENT = "NOT EXISTS (SELECT 1 FROM uniq h WHERE h.state_id = s.state_id AND (contains(lower(h.text), p.caption) OR contains(p.caption, lower(h.text))))"
 
 
-@query("same_app_negatives", over(f"{_APPS}, pool AS (SELECT DISTINCT app, lower(text) AS caption FROM uniq), s AS (SELECT DISTINCT app, state_id FROM uniq) SELECT s.state_id, count(*) AS absent FROM s JOIN pool p ON p.app = s.app WHERE {_ABSENT} GROUP BY s.state_id", "captions"))
+@query(
+    "same_app_negatives",
+    over(
+        f"""{_APPS}, pool AS (SELECT DISTINCT app, lower(text) AS caption FROM uniq), s AS (SELECT DISTINCT app, state_id FROM uniq),
+      lots AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY md5('42/' || app || '/' || caption), caption) AS rank FROM pool)
+      SELECT state_id, caption FROM (SELECT s.state_id, p.caption, row_number() OVER (PARTITION BY s.state_id ORDER BY p.rank) AS n FROM s JOIN lots p ON p.app = s.app WHERE {_ABSENT}) WHERE n <= 2""",
+        "captions",
+    ),
+)
 def same_app_negatives(spark, sf):
-    """Captions of the same application that a screen neither has nor has a part of."""
-    steps = _steps(spark, sf)
-    pool = steps.select("app", F.lower("text").alias("caption")).distinct()
-    own = steps.groupBy("app", "state_id").agg(F.collect_set(F.lower("text")).alias("names"))
-    absent = ~F.exists("names", lambda n: F.contains(n, F.col("caption")) | F.contains(F.col("caption"), n))
-    return own.join(pool, "app").where(absent).groupBy("state_id").agg(F.count("*").alias("absent"))
+    """Two captions of the same application that a screen neither has nor has a part of."""
+    return benchmark.negatives(_steps(spark, sf), 42)
 
 
 @query("near_miss", over(f"{_APPS}, pool AS (SELECT DISTINCT app, lower(text) AS caption FROM uniq), s AS (SELECT DISTINCT app, state_id FROM uniq) SELECT DISTINCT s.state_id, p.caption FROM s JOIN pool p ON p.app = s.app WHERE NOT EXISTS (SELECT 1 FROM uniq h WHERE h.state_id = s.state_id AND lower(h.text) = p.caption) AND EXISTS (SELECT 1 FROM uniq h WHERE h.state_id = s.state_id AND split_part(lower(h.text), ' ', 2) = split_part(p.caption, ' ', 2))", "captions"))
 def near_miss(spark, sf):
-    """Captions of the application that share the last word with one on the screen."""
-    steps = _steps(spark, sf)
-    last = lambda c: F.split_part(c, F.lit(" "), F.lit(2))
-    pool = steps.select("app", F.lower("text").alias("caption")).distinct()
-    own = steps.groupBy("app", "state_id").agg(F.collect_set(F.lower("text")).alias("names"))
-    sibling = F.exists("names", lambda n: last(n) == last(F.col("caption"))) & ~F.array_contains("names", F.col("caption"))
-    return own.join(pool, "app").where(sibling).select("state_id", "caption")
+    """Captions of the application that share the last word with one on the screen: an equi-join
+    on that word, without the screen's own captions."""
+    steps = _steps(spark, sf).select("app", "state_id", F.lower("text").alias("caption"), F.split_part(F.lower("text"), F.lit(" "), F.lit(2)).alias("last"))
+    own = steps.select("app", "state_id", "last").distinct()
+    pool = steps.select("app", "last", "caption").distinct()
+    return own.join(pool, ["app", "last"]).select("state_id", "caption").join(steps.select("state_id", "caption"), ["state_id", "caption"], "left_anti")

@@ -27,6 +27,21 @@ def first_match(events: DataFrame, key: str, ts: str, fits: Column, timeout_seco
     return done.select(key, F.when(F.col("hit").isNotNull(), "found").otherwise("timeout").alias("outcome"), F.coalesce("hit", "deadline").alias("at"))
 
 
+def first_gone(events: DataFrame, key: str, ts: str, fits: Column, timeout_seconds: float) -> DataFrame:
+    """(key, outcome, at): 'gone' at the first poll within the timeout at which the element is
+    not there, else 'timeout' at the deadline.  A poll without an answer (NULL) tells nothing."""
+    done = first_match(events, key, ts, F.coalesce(~fits, F.lit(False)), timeout_seconds)
+    return done.withColumn("outcome", F.when(F.col("outcome") == "found", "gone").otherwise(F.col("outcome")))
+
+
+def wait_and_click(events: DataFrame, key: str, ts: str, fits: Column, x: Column, y: Column, timeout_seconds: float) -> DataFrame:
+    """(key, at, x, y): a click at the first fitting poll within the timeout, where the element
+    was then; keys that time out have none."""
+    found = first_match(events, key, ts, fits, timeout_seconds).where("outcome = 'found'").select(key, "at")
+    rows = events.where(fits).select(key, F.col(ts).alias("at"), x.alias("x"), y.alias("y"))
+    return rows.join(found, [key, "at"]).groupBy(key, "at").agg(F.min(F.struct("x", "y")).alias("p")).select(key, "at", "p.x", "p.y")
+
+
 def wait_until(events: DataFrame, key: str, ts: str, fits: Column, timeout_seconds: float, delay: str = "10 seconds") -> DataFrame:
     """Stream of (key, outcome, at); events later than the watermark's delay are dropped."""
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), fits.alias("fits")).withWatermark("ts", delay)
