@@ -40,8 +40,9 @@ Q = 12
 EDITS_PERCENT = 6
 #: Bits of the sieve for each byte of the benchmark, and at most (their logarithm).
 BITS_A_BYTE, SIEVE_BITS = 32, 28
-#: Parts that a frequent gram, passage or region is spread over.
-SALTS = 32
+#: Parts that a frequent gram is spread over (a passage has many), and a frequent passage or
+#: region.
+GRAM_SALTS, SALTS = 8, 64
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -309,19 +310,19 @@ def edits_of(passage: np.ndarray, text: np.ndarray, k: int) -> int | None:
     return best
 
 
-def _salted(df: DataFrame) -> DataFrame:
+def _salted(df: DataFrame, salts: int) -> DataFrame:
     """Every row once for each salt; the other side of a join has one salt a row."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
-def _salt(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
+def _salt(salts: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int").alias("salt")
 
 
 def verified(texts: DataFrame, items: DataFrame, mesh: Sieve, found: DataFrame) -> DataFrame:
     """(rid, pid, edits) of the regions (rid, region) that hold a passage."""
-    met = region_grams(texts, mesh).select("rid", "gram", _salt("rid")).join(_salted(signatures(found)), ["gram", "salt"])
-    pairs = met.groupBy("rid", "pid", "need").agg(F.count("*").alias("shared")).where("shared >= need").select("rid", "pid", _salt("rid"))
+    met = region_grams(texts, mesh).select("rid", "gram", _salt(GRAM_SALTS, "rid")).join(_salted(signatures(found), GRAM_SALTS), ["gram", "salt"])
+    pairs = met.groupBy("rid", "pid", "need").agg(F.count("*").alias("shared")).where("shared >= need").select("rid", "pid", _salt(SALTS, "rid"))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = lambda c: [np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()]
@@ -329,7 +330,7 @@ def verified(texts: DataFrame, items: DataFrame, mesh: Sieve, found: DataFrame)
         out = pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("pid"), pa.array(edits, pa.int32())], ["rid", "pid", "edits"])
         return out.filter(out.column("edits").is_valid())
 
-    both = pairs.join(_salted(bodies(items).select("pid", "body", "k")), ["pid", "salt"]).join(texts, "rid")
+    both = pairs.join(_salted(bodies(items).select("pid", "body", "k"), SALTS), ["pid", "salt"]).join(texts, "rid")
     return map_batches(both.select("rid", "pid", "body", "region", "k"), one, "rid long, pid long, edits int")
 
 
@@ -342,8 +343,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, percent: int) -> tuple[Sieve,
     mesh, found = made
     held = checkpoint(regions(docs, mesh).withColumn("rid", F.xxhash64("region")))
     texts = held.groupBy("rid").agg(F.first("region").alias("region"))
-    named = verified(texts, items, mesh, found).select("rid", "pid", "edits", _salt("rid")).join(_salted(items.select("pid", "item_id")), ["pid", "salt"])
-    rows = held.select("doc_id", "tag", "rid", _salt("doc_id", "tag")).join(_salted(named.select("rid", "item_id", "edits")), ["rid", "salt"])
+    named = verified(texts, items, mesh, found).select("rid", "pid", "edits", _salt(SALTS, "rid")).join(_salted(items.select("pid", "item_id"), SALTS), ["pid", "salt"])
+    rows = held.select("doc_id", "tag", "rid", _salt(SALTS, "doc_id", "tag")).join(_salted(named.select("rid", "item_id", "edits"), SALTS), ["rid", "salt"])
     return mesh, rows.groupBy("doc_id", "tag", "item_id").agg(F.min("edits").alias("edits"))
 
 

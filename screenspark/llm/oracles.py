@@ -29,10 +29,14 @@ links AS (SELECT a.conv_id, a.turn, a.level, o.source_turn, sum(a.size) AS size
 parents AS (SELECT conv_id, turn, source_turn AS parent_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY size DESC, source_turn DESC) AS n FROM links WHERE level = 1) WHERE n = 1),
 up AS (SELECT conv_id, turn, parent_turn AS at_turn, 1 AS depth FROM parents
   UNION ALL SELECT u.conv_id, u.turn, p.parent_turn, u.depth + 1 FROM up u JOIN parents p ON p.conv_id = u.conv_id AND p.turn = u.at_turn),
-roots AS (SELECT conv_id, turn, arg_max(at_turn, depth) AS root_turn, max(depth) AS depth FROM up GROUP BY conv_id, turn)
-SELECT m.conv_id, m.turn, m.role, c.text, p.parent_turn, coalesce(r.root_turn, m.turn) AS root_turn, coalesce(r.depth, 0) AS depth,
+roots AS (SELECT conv_id, turn, arg_max(at_turn, depth) AS root_turn, max(depth) AS depth FROM up GROUP BY conv_id, turn),
+walk AS (SELECT DISTINCT c.conv_id, c.turn, [c.turn] AS path FROM clean c WHERE NOT EXISTS (SELECT 1 FROM parents p WHERE p.conv_id = c.conv_id AND p.turn = c.turn)
+  UNION ALL SELECT p.conv_id, p.turn, list_append(w.path, p.turn) FROM walk w JOIN parents p ON p.conv_id = w.conv_id AND p.parent_turn = w.turn),
+places AS (SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id, path[1] ORDER BY path) - 1 AS reply_pos FROM walk)
+SELECT m.conv_id, m.turn, m.role, c.text, p.parent_turn, coalesce(r.root_turn, m.turn) AS root_turn, coalesce(r.depth, 0) AS depth, coalesce(w.reply_pos, 0) AS reply_pos,
   (SELECT count(*) FROM passages q WHERE q.conv_id = m.conv_id AND q.turn = m.turn) AS n_quotes,
   (SELECT count(*) FROM links k WHERE k.conv_id = m.conv_id AND k.turn = m.turn) AS n_links
 FROM m JOIN clean c ON c.conv_id = m.conv_id AND c.turn = m.turn
 LEFT JOIN parents p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN roots r ON r.conv_id = m.conv_id AND r.turn = m.turn
+LEFT JOIN places w ON w.conv_id = m.conv_id AND w.turn = m.turn
 """

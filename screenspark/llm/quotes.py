@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpoint
 
@@ -95,35 +96,49 @@ def replies(found: DataFrame) -> DataFrame:
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent_turn, root_turn, depth) by doubling the pointers until all of
-    them reach a message that replies to nothing."""
-    at = checkpoint(parents.select("conv_id", "turn", "parent_turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth")))
+    """(conv_id, turn, parent_turn, root_turn, depth, path) by doubling the pointers until all of
+    them reach a message that replies to nothing; path: the turns from below the root to it."""
+    at = checkpoint(parents.select("conv_id", "turn", "parent_turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth"), F.array("turn").alias("path")))
     while True:
-        up = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("above"), F.col("depth").alias("more"))
+        up = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("above"), F.col("depth").alias("more"), F.col("path").alias("before"))
         step = at.join(up, ["conv_id", "root_turn"], "left")
         if step.where("above is not null").isEmpty():
             return at
         at = checkpoint(
-            step.select("conv_id", "turn", "parent_turn", F.coalesce("above", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        )
+            step.select(
+                "conv_id", "turn", "parent_turn", F.coalesce("above", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+                F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"),
+            )
+        )
 
 
 def reply_order(messages: DataFrame) -> DataFrame:
     """Every message without its quotes, with the message it replies to, the root of its
-    thread and its depth.  A conversation in reply order is sorted by root_turn, then turn: a
-    reply has a later turn than what it replies to."""
+    thread, its depth and ``reply_pos``, its place in the thread from 0: depth first, so a reply
+    follows what it answers and the replies to that, and replies to one message by turn.  A
+    conversation in reply order is sorted by root_turn, then reply_pos."""
     parsed = parse(messages)
     found = links(parsed)
     threads = roots(replies(found))
     linked = found.groupBy("conv_id", "turn").agg(F.count("*").cast("long").alias("n_links"))
-    return (
+    path = F.coalesce("path", F.array().cast(f"array<{messages.schema['turn'].dataType.simpleString()}>"))
+    rows = (
         parsed.join(threads, ["conv_id", "turn"], "left")
         .join(linked, ["conv_id", "turn"], "left")
-        .select(
-            "conv_id", "turn", "role", "text", "parent_turn",
-            F.coalesce("root_turn", "turn").alias("root_turn"),
-            F.coalesce("depth", F.lit(0)).alias("depth"),
-            F.size("quotes").cast("long").alias("n_quotes"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        )
+        .withColumns({"root_turn": F.coalesce("root_turn", "turn"), "path": path})
+    )
+    place = F.dense_rank().over(Window.partitionBy("conv_id", "root_turn").orderBy("path")) - 1
+    return rows.select(
+        "conv_id", "turn", "role", "text", "parent_turn", "root_turn",
+        F.coalesce("depth", F.lit(0)).alias("depth"),
+        place.cast("long").alias("reply_pos"),
+        F.size("quotes").cast("long").alias("n_quotes"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def conversations(messages: DataFrame) -> DataFrame:
+    """(conv_id, root_turn, messages): each thread as one array of (role, text) in reply order."""
+    said = F.struct("reply_pos", "turn", "role", "text")
+    rows = reply_order(messages).groupBy("conv_id", "root_turn").agg(F.sort_array(F.collect_list(said)).alias("said"))
+    return rows.select("conv_id", "root_turn", F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
