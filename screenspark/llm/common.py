@@ -48,7 +48,9 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, rows: int) -> DataFrame:
     """(doc_id, text, y) of at most ``rows`` labelled documents, those with the least hash
-    of doc_id.  The ids are few by that bound, so they may be broadcast."""
+    of doc_id.  The ids are few by that bound, so they may be broadcast.  Of several labels of
+    an id the largest counts, of several texts the least."""
+    integer_ids(docs)
     kept = (
         labels.select("doc_id", F.col(label).alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & use)
@@ -57,7 +59,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column,
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def sampled_features(sample: DataFrame, features: Callable[[pa.Array], np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ empty table gives no pieces.
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
@@ -21,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,7 +231,8 @@ def pack(
     buckets = max(1, -(-docs.count() // bucket_docs))
 
     def cut(batches):
-        tokens = tokens_of(tokenizer, end_id)
+        tokens, seen = tokens_of(tokenizer, end_id), {}
+        task = TaskContext.get().partitionId()
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for i, _, data, at in K.blocks(batch.column("text"), K.BLOCK_BYTES):
@@ -237,11 +240,14 @@ def pack(
                 rows: list[list] = [[] for _ in range(7)]
                 for d in range(len(at) - 1):
                     own = ids[offsets[d] : offsets[d + 1]]
-                    marks = crc(own[:capacity]) ^ zlib.crc32(str(names[i + d]).encode())
+                    # Rows that are alike are dealt by task and by how many the task has had.
+                    mark = crc(own) ^ zlib.crc32(str(names[i + d]).encode())
+                    seen[mark] = seen.get(mark, -1) + 1
+                    bucket = zlib.crc32(struct.pack("<QQQ", mark, task, seen[mark])) % buckets
                     for s in range(0, len(own), capacity):
                         piece = own[s : s + capacity]
                         full = len(piece) == capacity
-                        value = (marks % buckets, names[i + d], s, len(piece), crc(piece) if full else None, len(own), None if full and not with_ids else piece.astype("<u4" if ids.max() > 65535 else "<u2").tobytes())
+                        value = (bucket, names[i + d], s, len(piece), crc(piece) if full else None, len(own), None if full and not with_ids else piece.astype("<u4" if ids.max() > 65535 else "<u2").tobytes())
                         for column, x in zip(rows, value, strict=True):
                             column.append(x)
                 kinds = [pa.int32(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]

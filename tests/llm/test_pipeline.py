@@ -58,3 +58,29 @@ def test_stages_match_brute_force(spark):
     sizes = {i: len(encode(t or "")) + 1 for i, t in rows_of(safe)}
     assert {r.doc_id: r.n for r in packed.groupBy("doc_id").sum("length").withColumnRenamed("sum(length)", "n").collect()} == sizes
     assert len({r.sequence_id for r in P.run(spark, SF).collect()}) == len({r.sequence_id for r in packed.collect()})
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and repeated rows, and columns with the operators' own names."""
+    base = table(spark, SF, "documents").orderBy("doc_id").limit(40).collect()
+    leak = table(spark, SF, "benchmark").first().text
+    rows = [(r.doc_id, r.text, r.lang, 1, 2, 3) for r in base]
+    rows += [(None, base[3].text, None, 4, 4, 4), (None, None, None, 5, 5, 5), (900, "", "en", 6, 6, 6), (None, leak, "en", 7, 7, 7), (900, "", "en", 6, 6, 6), rows[0], rows[1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, doc_key int, __id int, score int").repartition(3)
+    for name, stage in P.STAGES:
+        out = checkpoint(stage(spark, docs, SF))
+        assert stage(spark, docs.where("false"), SF).collect() == []
+        if name == "packing":
+            assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r[0] for r in rows}
+            continue
+        assert out.columns == docs.columns
+        got = out.collect()
+        odd = sorted(r.doc_key for r in got if r.doc_key > 1)
+        if name == "n-gram Jaccard join":  # the null id goes where its text has another, wordless rows stay
+            names = {i: c for i, _, c in test_neardup.brute([(r[0], r[1]) for r in rows if r[0] is not None])}
+            assert sorted(r.doc_id for r in got if r.doc_key == 1) == sorted({c for i, c in names.items() if i != 900}) and odd == [5, 6, 6, 7]
+        elif name == "substring dedup":
+            assert len(got) == len(rows)
+        elif name == "benchmark decontamination":
+            assert odd == [4, 5, 6, 6]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"

@@ -181,6 +181,25 @@ def test_packing_is_a_partition_of_the_ids(spark):
     assert G.pack(docs_of(spark, []), path).collect() == []
 
 
+def test_alike_rows_are_dealt_over_buckets(spark):
+    import public_tokenizers as P
+
+    rows = [(None, "the same text of some words")] * 3000 + [(7, None)] * 1000
+    got = G.pack(docs_of(spark, rows), P.path("byte_bpe_50k.json"), bucket_docs=100).toPandas()
+    sizes = got.assign(bucket=got.sequence_id.to_numpy() // 2**32).groupby("bucket").size()
+    assert len(got[got.start == 0]) == 4000 and len(sizes) == 40 and sizes.max() < 250
+
+
+def test_labels_and_texts_of_one_id(spark):
+    """The larger of two labels counts, and one text of an id: the sample stays bounded."""
+    from screenspark.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, t) for t in ("b", "a", None)] * 50 + [(2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, None), (2, 0), (None, 1), (3, 1)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", F.lit(True), 10)
+    assert sorted((r.doc_id, r.text, r.y) for r in got.collect()) == [(1, "a", 1), (2, "c", 0)]
+
+
 def test_balance_fills_every_sequence():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 300):
