@@ -48,6 +48,8 @@ SHINGLE = 5
 SKETCH_BITS, SKETCH_PARTS = 22, 256
 #: Pieces that the global order is cut into; tasks that a frequent shingle is spread over.
 FRAGMENTS, SALTS = 8, 256
+#: Tasks that the rows of one key are spread over where something is looked up for them.
+LOOKUP_SALTS = 16
 #: A shingle is frequent if its counter is this many times the mean, and this much, at least.
 FREQUENT = 4, 500
 #: Rows of a group on each side of a tile; pairs of a group from which further hubs are tried.
@@ -294,6 +296,14 @@ def verified(docs: DataFrame, pairs: DataFrame, where: DataFrame, rank: np.ndarr
     return total.where(9 * F.col("shared") >= 4 * both).select("a", "b")
 
 
+def looked_up(rows: DataFrame, key: str, other: str, values: DataFrame) -> DataFrame:
+    """Left join of rows with values (key, ...; one row each).  Rows of one key are spread by
+    another column, and a value goes only where rows of its key are."""
+    salted = rows.withColumn("salt", F.pmod(other, F.lit(LOOKUP_SALTS)).cast("int"))
+    salts = salted.groupBy(key).agg(F.collect_set("salt").alias("salts"))
+    return salted.join(spread(values.join(salts, key)), [key, "salt"], "left").drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of the component of every node of edges (a, b).  Each
     round takes the least label of the neighbours, then the label of that label."""
@@ -301,10 +311,10 @@ def components(edges: DataFrame) -> DataFrame:
     at = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         names = at.select(F.col("node").alias("b"), F.col("label").alias("other"))
-        around = both.join(names, "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        around = looked_up(both, "b", "a", names).groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
         lower = at.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
         jump = at.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        step = checkpoint(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        step = checkpoint(looked_up(lower, "label", "node", jump).select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         at = step.select("node", "label")
         if step.where("old <> label").isEmpty():
             return at
@@ -395,14 +405,14 @@ def _named(docs: DataFrame) -> DataFrame:
     first = checkpoint(verified(docs, stars, where, rank))
     first, rows = joined_by_hubs(docs, live, first, where, rank)
     links = union([first, verified(docs, across(rows), where, rank)])
-    return sized.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return looked_up(sized, "node", "doc_key", components(links)).withColumn("label", F.coalesce("label", "node"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     named = _named(docs)
     names = named.where("node <> 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(names, "label", "left").select(
+    return looked_up(named, "label", "doc_key", names).select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
