@@ -111,10 +111,11 @@ class Sieve:
 
     def passes(self, grams: np.ndarray, probes: int) -> np.ndarray:
         """Places of the grams that the sieve lets through."""
-        at = np.arange(len(grams))
-        for cell in cells(grams, self.log, probes):
-            live = cell[at]
-            at = at[(self.bits[live >> 3] >> (live & 7).astype(np.uint8) & 1).astype(bool)]
+        at = None
+        for k in range(probes):
+            live = _cell(grams if at is None else grams[at], self.log, k)
+            held = np.flatnonzero(self.bits[live >> 3] >> (live & 7).astype(np.uint8) & 1)
+            at = held if at is None else at[held]
         return at
 
     def stretches(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,10 +158,10 @@ class Sieve:
         return tuple(np.concatenate([none, *c]) for c in (docs, low, high))
 
 
-def cells(grams: np.ndarray, log: int, probes: int) -> list[np.ndarray]:
-    """The bits of each gram in a sieve of 2 ** log bits."""
-    hashes = [K.mix(grams * _C1 + np.uint64(k)) for k in range(probes)]
-    return [(h >> np.uint64(64 - log)).astype(np.int64) for h in hashes]
+def _cell(grams: np.ndarray, log: int, probe: int) -> np.ndarray:
+    """A bit of each gram in a sieve of 2 ** log bits."""
+    h = K.mix(grams + np.uint64(probe)) if probe else grams * _C1
+    return (h >> np.uint64(64 - log)).astype(np.int64)
 
 
 def passages(benchmark: DataFrame, percent: int) -> DataFrame:
@@ -196,7 +197,7 @@ def passage_grams(items: DataFrame, log: int) -> DataFrame:
             own = np.unique(grams(data) if len(data) >= Q else short_grams(data, len(data)))
             pids.append(np.full(len(own), i))
             found.append(own)
-            places += np.stack(cells(own, log, 2 if len(data) >= Q else 3), axis=1).tolist()
+            places += np.stack([_cell(own, log, k) for k in range(2 if len(data) >= Q else 3)], axis=1).tolist()
         row = pa.array(np.concatenate(pids))
         return pa.RecordBatch.from_arrays([batch.column("pid").take(row), pa.array(np.concatenate(found).view(np.int64)), batch.column("asked").take(row), pa.array(places, pa.list_(pa.int64()))], ["pid", "gram", "asked", "cells"])
 
@@ -365,17 +366,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = EDITS_PE
         return docs
     mesh, rows = found
 
-    def split(suspect: bool) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                held = np.zeros(batch.num_rows, bool)
-                for i, _, data, at in K.blocks(batch.column("text")):
-                    doc, _, _ = mesh.stretches(*normal(data, at))
-                    held[i + doc] = True
-                yield batch.filter(pa.array(held == suspect))
-
-        return docs.mapInArrow(run, docs.schema)
+    def held(text: pa.Array) -> pa.Array:
+        out = np.zeros(len(text), bool)
+        for i, _, data, at in K.blocks(text):
+            doc, _, _ = mesh.stretches(*normal(data, at))
+            out[i + doc] = True
+        return pa.array(out)
 
+    suspect = F.arrow_udf(held, "boolean")(docs["text"])
     bad = rows.select(F.col("tag").alias("__bad")).distinct()
-    suspects = split(True)
-    return split(False).union(suspects.join(bad, F.xxhash64(suspects["text"]) == bad["__bad"], "left_anti"))
+    suspects = docs.where(suspect)
+    return docs.where(~suspect).union(suspects.join(bad, F.xxhash64(suspects["text"]) == bad["__bad"], "left_anti"))
