@@ -41,8 +41,9 @@ def holm(df: DataFrame, p: str, by: list[str] | None = None, order: str = "p_ord
 
 
 def sign_flip(clusters: DataFrame, diff: str, exact_up_to: int = 16, draws: int = 20_000, seed: int = 7) -> DataFrame:
-    """(p_value, clusters): two-sided permutation of the signs of cluster differences: all
-    2**k of them for few clusters, else seeded draws by hash.  clusters: one row each."""
+    """(clusters, p_value, exact): two-sided permutation of the signs of cluster differences: all
+    2**k of them up to ``exact_up_to`` clusters, else seeded draws by hash; ``exact`` says which
+    ran.  clusters: one row each."""
     ranked = clusters.where(F.col(diff).isNotNull()).select(F.col(diff).cast("double").alias("d"), F.xxhash64(*clusters.columns).alias("h"))
     few = ranked.orderBy("h").limit(exact_up_to + 1).count() <= exact_up_to
     spark = clusters.sparkSession
@@ -59,7 +60,7 @@ def sign_flip(clusters: DataFrame, diff: str, exact_up_to: int = 16, draws: int
     total = ranked.agg(F.sum("d").alias("t"), F.count("*").alias("clusters"))
     met = (F.abs("s") >= F.abs("t") - 1e-12).cast("double")
     out = F.mean(met) if few else (F.sum(met) + 1) / (F.count("*") + 1)
-    return sums.crossJoin(F.broadcast(total)).groupBy("clusters").agg(out.alias("p_value"))
+    return sums.crossJoin(F.broadcast(total)).groupBy("clusters").agg(out.alias("p_value"), F.lit(few).alias("exact"))
 
 
 def bootstrap(clusters: DataFrame, hits: str, n: str, draws: int = 5000, seed: int = 7) -> DataFrame:

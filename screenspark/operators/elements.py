@@ -119,3 +119,9 @@ def validity(df: DataFrame, image_width: int, image_height: int) -> DataFrame:
     issue = lambda test, name: F.when(test, F.lit(name))
     outside = ~(cx.between(0, 1) & cy.between(0, 1) & w.between(0, 1) & h.between(0, 1))
     return df.withColumn("issues", F.array_compact(F.array(issue(outside, "outside"), issue((w < 0.01) | (h < 0.01), "tiny"), issue((w > 0.9) | (h > 0.9), "huge"))))
+
+
+def twins(names: DataFrame, name: str) -> DataFrame:
+    """(base, variant): names that are another's with one more pair of brackets at the end."""
+    variants = names.where(F.col(name).rlike(r"\[[^\]]*\]$")).select(F.regexp_replace(name, r"\[[^\]]*\]$", "").alias("base"), F.col(name).alias("variant"))
+    return variants.join(names.select(F.col(name).alias("base")).distinct(), "base").distinct()

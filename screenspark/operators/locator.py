@@ -111,6 +111,18 @@ def describe(description: Column, heard: Column | None = None) -> Column:
     return F.struct(pick("name", "stop", "qual").alias("name"), pick("name").alias("naming"), pick("role").alias("roles"), pick("pos").alias("places"))
 
 
+def in_place(said: Column, cx: Column, cy: Column) -> Column:
+    """Whether a centre, as shares of the screen, lies wherever a description says."""
+    middle = (cx > 0.25) & (cx < 0.75) & (cy > 0.25) & (cy < 0.75)
+    there = lambda p: F.when(p == "top", cy < 0.34).when(p == "bottom", cy > 0.66).when(p == "left", cx < 0.34).when(p == "right", cx > 0.66).when(p == "first", F.lit(True)).otherwise(middle)
+    return F.forall(said["places"], there)
+
+
+def exact_name(said: Column, *fields: Column) -> Column:
+    """One of the fields reads exactly what a description says beside kinds and places."""
+    return (F.size(said["name"]) > 0) & F.array_contains(F.array(*[X.tokens(f) for f in fields]), said["name"])
+
+
 def lexical_score(said: Column, element: Column, cx: Column, cy: Column) -> Column:
     """How well an element (struct with role, visual_type and the tokens of its label, text
     and hint, one by one and together) fits what a description says.  Shared name words count double, a field that is exactly the name half
@@ -127,9 +139,7 @@ def lexical_score(said: Column, element: Column, cx: Column, cy: Column) -> Colu
     table = F.create_map(*types)
     kinds = F.array(*[F.replace(F.lower(F.coalesce(element[c], F.lit(""))), F.lit("_"), F.lit("")) for c in ("role", "visual_type")])
     fits = F.exists(said["roles"], lambda r: F.arrays_overlap(table[r], kinds))
-    middle = (cx > 0.25) & (cx < 0.75) & (cy > 0.25) & (cy < 0.75)
-    there = lambda p: F.when(p == "top", cy < 0.34).when(p == "bottom", cy > 0.66).when(p == "left", cx < 0.34).when(p == "right", cx > 0.66).when(p == "first", F.lit(True)).otherwise(middle)
-    placed = (F.size(said["places"]) > 0) & F.forall(said["places"], there)
+    placed = (F.size(said["places"]) > 0) & in_place(said, cx, cy)
     kind = F.when(fits, 1.0).otherwise(0.0) + F.when(placed, 0.5 * F.size(said["places"])).otherwise(0.0)
     blind = (F.size(said["naming"]) > 0) & (name == 0)
     return name + F.when(blind, F.least(0.5 * kind, F.lit(1.0))).otherwise(kind)

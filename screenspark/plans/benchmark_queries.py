@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import specs
 from ..functions import text as X
-from ..operators import benchmark
+from ..operators import benchmark, locator, steps
 from ..streaming import wait
-from .metric_queries import _APPS, _runs, _steps, _RUNS
+from .metric_queries import _APPS, _RUNS, _runs, _steps
 from .registry import over, query
-from .views import boxes, captions, table, truth
+from .views import captions, table, truth
 
 _LOT = "CAST(('0x' || substring(md5('{seed}/' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0"
 
@@ -43,7 +44,7 @@ def _n(test: str, name: str) -> str:
 
 @query(
     "step_counters",
-    f"SELECT executor, {_n(chr(39).join(['kind = ', 'action', '']), 'clicks')}, {_n('kind = ' + repr('action') + ' AND ok', 'hit')}, {_n('kind = ' + repr('verify') + ' AND negative', 'absent')}, {_n('kind = ' + repr('verify') + ' AND negative AND ok', 'false_pass')}, {_n('kind = ' + repr('verify') + ' AND NOT negative', 'present')}, {_n('kind = ' + repr('verify') + ' AND NOT negative AND ok', 'present_pass')} FROM ({_STEP}) GROUP BY executor",
+    f"SELECT executor, {_n('kind = ' + repr('action'), 'clicks')}, {_n('kind = ' + repr('action') + ' AND ok', 'hit')}, {_n('kind = ' + repr('verify') + ' AND negative', 'absent')}, {_n('kind = ' + repr('verify') + ' AND negative AND ok', 'false_pass')}, {_n('kind = ' + repr('verify') + ' AND NOT negative', 'present')}, {_n('kind = ' + repr('verify') + ' AND NOT negative AND ok', 'present_pass')} FROM ({_STEP}) GROUP BY executor",
 )
 def step_counters(spark, sf):
     return benchmark.counters(_results(spark, sf), ["executor"])
@@ -110,3 +111,97 @@ def wait_until_gone(spark, sf):
 def wait_and_click(spark, sf):
     clicks = wait.wait_and_click(table(spark, sf, "events"), "user_id", "ts", F.col("event_type") == "purchase", F.col("event_id"), F.lit(0), 12 * 3600)
     return clicks.select("user_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), "x")
+
+
+# --- steps against screens -----------------------------------------------------------------
+
+
+def _asked(spark, sf):
+    """A click on every caption that is alone on its screen, and a check for one of another."""
+    steps_ = _steps(spark, sf)
+    box = [F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")]
+    own = F.concat_ws(" ", "text", F.regexp_replace("visual_type", "_", " "))
+    key = F.concat_ws("/", F.col("state_id").cast("string"), F.col("elem_id").cast("string"))
+    present = steps_.select(key.alias("step"), "state_id", F.lit("action").alias("kind"), F.lit("PASSED").alias("expect"), own.alias("description"), *box)
+    absent = steps_.select(F.concat(key, F.lit("/no")).alias("step"), "state_id", F.lit("verify").alias("kind"), F.lit("FAILED").alias("expect"), F.lit("purple elephant").alias("description"), *box)
+    return present.unionByName(absent)
+
+
+@query("described_steps", over(f"{_APPS} SELECT state_id, 1 AS absent, count(*) AS steps FROM uniq GROUP BY state_id", "captions"))
+def described_steps(spark, sf):
+    """Nothing reads like an elephant, so every check for one passes."""
+    done = steps.described(_asked(spark, sf), captions(spark, sf), width=F.lit(400), height=F.lit(200))
+    return done.groupBy("state_id").agg(F.min(F.when(F.col("kind") == "verify", F.col("passed").cast("int"))).alias("absent"), F.count_if(F.col("kind") == "action").alias("steps"))
+
+
+@query("exact_steps")
+def exact_steps(spark, sf):
+    done = steps.described(_asked(spark, sf), captions(spark, sf), width=F.lit(400), height=F.lit(200), strict=True)
+    return steps.split_rows(done).groupBy("part").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
+
+
+@query("paraphrased_steps", "SELECT event_id AS step, 'to ' || event_type AS description FROM events")
+def paraphrased_steps(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("description"))
+    mapping = rows.select("description").distinct().withColumn("paraphrase", F.concat(F.lit("to "), "description"))
+    return steps.paraphrased(rows, mapping).select("step", "description")
+
+
+@query("first_state_steps", "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events WHERE event_type IN ('click', 'view') ORDER BY user_id LIMIT 3) AND event_type IN ('click', 'view')")
+def first_state_steps(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.col("event_type").alias("kind"))
+    return steps.of_first_states(rows, 3, ["click", "view"], "user_id").select("event_id", "user_id")
+
+
+@query("default_executors", "SELECT DISTINCT executor FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'vizdom-' || event_type WHEN 1 THEN 'vizdom+desc[lexical,slm]' || CASE WHEN event_id % 2 = 0 THEN '[verify=keyword]' ELSE '' END ELSE 'vizdom+desc[slm]' END AS executor FROM events) WHERE executor NOT LIKE '%[verify=%' AND (executor NOT LIKE '%+desc[%' OR executor LIKE '%+desc[lexical%')")
+def default_executors(spark, sf):
+    e, k = table(spark, sf, "events"), F.col("event_id") % 3
+    name = F.when(k == 0, F.concat(F.lit("vizdom-"), "event_type")).when(k == 1, F.concat(F.lit("vizdom+desc[lexical,slm]"), F.when(F.col("event_id") % 2 == 0, "[verify=keyword]").otherwise(""))).otherwise("vizdom+desc[slm]")
+    return steps.default_rows(e.select(name.alias("executor")).distinct())
+
+
+@query(
+    "refreshed_reads",
+    over(
+        """, n AS (SELECT g.state_id, g.elem_id, g.x1, g.y1, g.x2, g.y2, c.text FROM gt g JOIN captions c ON c.state_id = g.state_id AND c.elem_id = g.elem_id),
+      q AS (SELECT c.*, CASE elem_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'element' ELSE 'screen' END AS refresh FROM captions c),
+      r AS (SELECT q.state_id, q.elem_id, q.refresh, q.x1 AS ox1, n.x1 AS nx1, q.text AS ot, n.text AS nt, n.elem_id AS nid, CASE WHEN refresh = 'none' THEN 'old' WHEN refresh = 'element' AND n.elem_id IS NOT NULL AND q.x1 = n.x1 AND q.y1 = n.y1 AND q.x2 = n.x2 AND q.y2 = n.y2 AND coalesce(n.text, '') <> '' THEN 'region' ELSE 'screen' END AS source FROM q LEFT JOIN n ON n.state_id = q.state_id AND n.elem_id = q.elem_id)
+      SELECT state_id, elem_id, CASE WHEN source = 'old' THEN ot ELSE nt END AS text, CASE WHEN source = 'old' THEN ox1 ELSE nx1 END AS x1, source FROM r WHERE source = 'old' OR nid IS NOT NULL""",
+        "gt", "captions",
+    ),
+)
+def refreshed_reads(spark, sf):
+    old = captions(spark, sf)
+    new = truth(spark, sf).select("state_id", "elem_id", "x1", "y1", "x2", "y2").join(old.select("state_id", "elem_id", "text"), ["state_id", "elem_id"])
+    mode = F.when(F.col("elem_id") % 3 == 0, "none").when(F.col("elem_id") % 3 == 1, "element").otherwise("screen")
+    return steps.refreshed(old, new, old.select("state_id", "elem_id", mode.alias("refresh"))).select("state_id", "elem_id", "text", "x1", "source")
+
+
+@query("symbol_candidates", over("SELECT state_id, elem_id, y1 >= 0.08 * 200 AS named FROM captions WHERE text IS NULL AND (x2-x1)*(y2-y1) BETWEEN 200 AND 40000", "captions"))
+def symbol_candidates(spark, sf):
+    return steps.symbol_candidates(captions(spark, sf), 200).select("state_id", "elem_id", "named")
+
+
+@query("converted_elements", over("SELECT state_id, elem_id, 'E' || CAST(row_number() OVER (PARTITION BY state_id ORDER BY elem_id) AS VARCHAR) AS elem_key, 'text' AS visual_type, 'reader' AS source FROM captions WHERE text IS NOT NULL", "captions"))
+def converted_elements(spark, sf):
+    made = steps.converted(captions(spark, sf).where("text is not null"), "reader", F.lit("text"), F.col("text"))
+    return made.select("state_id", "elem_id", "elem_key", "visual_type", "source")
+
+
+@query("printed_names", over("SELECT state_id, elem_id FROM captions WHERE text IS NOT NULL AND elem_id % 3 <> 2", "captions"))
+def printed_names(spark, sf):
+    """Readings that hold the name, or are one letter off; every third reads something else."""
+    k, name = F.col("elem_id") % 3, F.col("text")
+    reading = F.when(k == 0, F.concat(F.lit("?? | "), F.upper(name), F.lit("..."))).when(k == 1, F.concat(name, F.lit("z"))).otherwise("0000 | 1111")
+    rows = captions(spark, sf).where("text is not null").withColumn("reading", reading)
+    close = X.similarity(X.bare(name), X.bare(F.col("reading"))) >= 0.8
+    return rows.where(specs.printed(name, F.col("reading"), close)).select("state_id", "elem_id")
+
+
+@query("exact_names", over("SELECT state_id, elem_id FROM captions WHERE lower(text) LIKE '% ring' OR lower(text) = 'ring'", "captions"))
+def exact_names(spark, sf):
+    """Elements that read exactly what is said of them, where that is their own caption, which
+    ends in a ring."""
+    said = locator.describe(F.col("text"))
+    rings = captions(spark, sf).where(F.lower("text").rlike("(^| )ring$"))
+    return rings.where(locator.exact_name(said, F.col("label"), F.col("text"), F.col("hint"))).select("state_id", "elem_id")

@@ -94,24 +94,26 @@ def categories(spark, sf):
     return df.select("state_id", "elem_id", fusion.category(F.concat_ws(" ", "visual_type", F.lit("")), F.col("editable"), F.col("clickable")).alias("category"))
 
 
-_ANSWERS = [
-    (1, 'Sure: {"id": "id=E38", "confidence": 0.9, "reason": "label"} done'), (2, '{"id": "None", "confidence": "high"}'), (3, "no idea"), (4, '{"id": broken'), (5, "The answer is Yes. PASSED"),
-    (6, 'PASSED but then FAILED ```json\n[{"op": "merge", "id": "E1"}, {"op": "split", "id": "E2"}]```'), (7, '[{"op": "merge", "id": "E1"}, {"op": "sp'), (8, None),
-]
-
-
 @query(
     "model_answers",
-    "SELECT * FROM (VALUES (1, 'E38', 0.9, NULL, NULL, 0), (2, NULL, 0.0, NULL, NULL, 0), (3, NULL, NULL, NULL, 'FAILED', 0), (4, NULL, NULL, NULL, NULL, 0), (5, NULL, NULL, 'PASSED', 'PASSED', 0), (6, NULL, NULL, 'FAILED', NULL, 2), (7, 'E1', 0.0, NULL, NULL, 1), (8, NULL, NULL, NULL, NULL, 0)) AS t(answer_id, elem_key, confidence, verdict, yes_no, n_suggestions)",
+    over(
+        """SELECT state_id, elem_id, CASE elem_id % 4 WHEN 0 THEN CAST(elem_id AS VARCHAR) END AS elem_key, CASE WHEN elem_id % 4 <= 1 THEN CASE elem_id % 4 WHEN 0 THEN round(CAST(confidence AS DOUBLE), 2) ELSE 0.0 END END AS confidence,
+      CASE elem_id % 4 WHEN 2 THEN 'FAILED' WHEN 3 THEN 'PASSED' END AS verdict, CASE elem_id % 4 WHEN 3 THEN 'PASSED' END AS yes_no, CASE elem_id % 4 WHEN 2 THEN CASE WHEN state_id % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END AS n_suggestions FROM boxes"""
+    ),
 )
 def model_answers(spark, sf):
-    """Fixed answers: what each of them says."""
-    df = spark.createDataFrame(_ANSWERS, "answer_id int, answer string")
-    a = F.col("answer")
-    said = df.withColumn("e", answers.element_answer(a))
-    listed = F.when(a.rlike(r"^\s*\[|```"), F.size(answers.suggestions(a, "op: string, id: string"))).otherwise(0)
-    whole = ~a.rlike(r"```")
-    return said.select("answer_id", F.when(whole, F.col("e.id")).alias("elem_key"), F.when(whole, F.col("e.confidence")).alias("confidence"), answers.failed_first(a).alias("verdict"), answers.yes_or_no(a).alias("yes_no"), F.coalesce(listed, F.lit(0)).alias("n_suggestions"))
+    """Answers written from boxes: an id, no id, a list (whole or cut off) with a verdict, a yes."""
+    df, k, e = boxes(spark, sf), F.col("elem_id") % 4, F.col("elem_id").cast("string")
+    one = F.format_string('{"op": "merge", "id": "%s"}', e)
+    listed = F.when(F.col("state_id") % 2 == 0, F.concat(F.lit("PASSED but then FAILED ```json\n["), one, F.lit(", "), one, F.lit("]```"))).otherwise(F.concat(F.lit("FAILED ["), one, F.lit(', {"op": "sp')))
+    a = (
+        F.when(k == 0, F.format_string('Sure: {"id": "id=%s", "confidence": %s, "reason": "label"} done', e, F.round(F.col("confidence").cast("double"), 2).cast("string")))
+        .when(k == 1, F.lit('{"id": "None", "confidence": "high"}')).when(k == 2, listed).otherwise(F.lit("The answer is Yes. PASSED"))
+    )
+    said = df.select("state_id", "elem_id", k.alias("k"), a.alias("a")).withColumn("e", answers.element_answer(F.col("a")))
+    n = F.when(F.col("k") == 2, F.size(answers.suggestions(F.col("a"), "op: string, id: string"))).otherwise(0)
+    own = F.col("k") <= 1
+    return said.select("state_id", "elem_id", F.when(own, F.col("e.id")).alias("elem_key"), F.when(own, F.col("e.confidence")).alias("confidence"), answers.failed_first(F.col("a")).alias("verdict"), answers.yes_or_no(F.col("a")).alias("yes_no"), n.alias("n_suggestions"))
 
 
 @query(
@@ -179,13 +181,12 @@ def caption_votes(spark, sf):
     return best.select("app", "b.reading", "b.n")
 
 
-@query("executor_twins", "SELECT * FROM (VALUES ('a', 'a[m1]'), ('b[x]', 'b[x][y]')) AS t(base, variant)")
+@query("executor_twins", "WITH n AS (SELECT DISTINCT user_id, CASE WHEN event_id % 3 = 0 THEN 'u' || user_id ELSE 'u' || user_id || '[' || event_type || ']' END AS name FROM events) SELECT DISTINCT b.name AS base, v.name AS variant FROM n v JOIN n b ON b.user_id = v.user_id AND v.name LIKE b.name || '[%' AND b.name NOT LIKE '%]'")
 def executor_twins(spark, sf):
-    """Fixed names: pairs that differ by one bracket."""
-    names = spark.createDataFrame([(n,) for n in ("a", "a[m1]", "b[x]", "b[x][y]", "c[z]")], "name string")
-    base = F.regexp_replace("name", r"\[[^\]]*\]$", "")
-    twins = names.where(F.contains("name", F.lit("["))).select(base.alias("base"), F.col("name").alias("variant"))
-    return twins.join(names.select(F.col("name").alias("base")), "base")
+    """Executors named by user and, for two of three events, by what they did."""
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    names = table(spark, sf, "events").select(F.when(F.col("event_id") % 3 == 0, user).otherwise(F.concat(user, F.lit("["), "event_type", F.lit("]"))).alias("name")).distinct()
+    return elements.twins(names, "name")
 
 
 @query("session_ages", "SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN CAST(CAST(round(s/60.0) AS INT) AS VARCHAR) || ' min ago' WHEN s < 86400 THEN CAST(CAST(round(s/3600.0) AS INT) AS VARCHAR) || ' h ago' ELSE CAST(CAST(round(s/86400.0) AS INT) AS VARCHAR) || ' d ago' END AS age FROM (SELECT event_id, epoch_us((SELECT max(ts) FROM events))//1000000 - epoch_us(ts)//1000000 AS s FROM events)")

@@ -51,9 +51,22 @@ def locator_fallback_chain(spark, sf):
     return locator.resolve_all(locators(spark), captions(spark, sf))
 
 
-@query("locator_parse", "SELECT * FROM (VALUES (1,0,'text=ring'),(2,0,'text=\"small ring\"'),(2,1,'role=button'),(3,0,'role=button text=bolt'),(4,0,'id=2'),(5,0,'hint=brand#1'),(5,1,'id=1'),(6,0,'text=nothing'),(6,1,'text=widget role=text'),(7,0,'role=input_field'),(8,0,'role=button right_of=1'),(8,1,'role=text below=1')) AS t(loc_id, alt, rendered)")
+@query(
+    "locator_parse",
+    over(
+        """, w AS (SELECT state_id, elem_id, 'hint="' || hint || ' x" role=' || role AS one, 'id=' || elem_id AS two, CASE WHEN text IS NOT NULL THEN 'text="' || text || '"' END AS three FROM captions)
+      SELECT state_id, elem_id, 0 AS alt, one AS rendered FROM w UNION ALL SELECT state_id, elem_id, 1, two FROM w UNION ALL SELECT state_id, elem_id, 2, three FROM w WHERE three IS NOT NULL""",
+        "captions",
+    ),
+)
 def locator_parse(spark, sf):
-    return locators(spark).select("loc_id", F.posexplode(locator.alternatives(F.col("locator"))).alias("alt", "parts")).select("loc_id", "alt", locator.render(F.col("parts")).alias("rendered"))
+    """Chains written from every element, with a switch that is no strategy; all come back as they
+    were but for that.  Captions here have several words, so they are quoted."""
+    df = captions(spark, sf)
+    third = F.coalesce(F.concat(F.lit(' || text="'), "text", F.lit('"')), F.lit(" || color=blue"))
+    made = F.concat(F.lit('Hint="'), "hint", F.lit(' x" role='), "role", F.lit(" color=red || id="), F.col("elem_id").cast("string"), third)
+    parts = df.select("state_id", "elem_id", F.posexplode(locator.alternatives(made)).alias("alt", "parts"))
+    return parts.select("state_id", "elem_id", "alt", locator.render(F.col("parts")).alias("rendered"))
 
 
 #: What the descriptions above say, spelled out for the checking query.

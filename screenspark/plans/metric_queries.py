@@ -204,7 +204,7 @@ def holm_adjust(spark, sf):
 
 @query(
     "sign_flip_exact",
-    f"{_RUNS}, c AS (SELECT lang, sum(CASE WHEN a THEN 1 ELSE 0 END - CASE WHEN b THEN 1 ELSE 0 END) AS d FROM r JOIN documents ON step = doc_id GROUP BY lang), n AS (SELECT *, row_number() OVER (ORDER BY lang) - 1 AS j FROM c), f AS (SELECT m.range AS m, sum(CASE WHEN (m.range >> n.j) & 1 = 1 THEN -d ELSE d END) AS s FROM range(16) m CROSS JOIN n GROUP BY m.range) SELECT (SELECT count(*) FROM c) AS clusters, round(avg(CASE WHEN abs(s) >= abs((SELECT sum(d) FROM c)) THEN 1.0 ELSE 0 END), 6) AS p_value FROM f",
+    f"{_RUNS}, c AS (SELECT lang, sum(CASE WHEN a THEN 1 ELSE 0 END - CASE WHEN b THEN 1 ELSE 0 END) AS d FROM r JOIN documents ON step = doc_id GROUP BY lang), n AS (SELECT *, row_number() OVER (ORDER BY lang) - 1 AS j FROM c), f AS (SELECT m.range AS m, sum(CASE WHEN (m.range >> n.j) & 1 = 1 THEN -d ELSE d END) AS s FROM range(16) m CROSS JOIN n GROUP BY m.range) SELECT (SELECT count(*) FROM c) AS clusters, round(avg(CASE WHEN abs(s) >= abs((SELECT sum(d) FROM c)) THEN 1.0 ELSE 0 END), 6) AS p_value, true AS exact FROM f",
 )
 def sign_flip_exact(spark, sf):
     lang = table(spark, sf, "documents").select(F.col("doc_id").alias("step"), "lang")

@@ -238,3 +238,49 @@ def layout_answers(spark, sf):
     k = F.col("c_custkey") % 3
     answer = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Here: "), body, F.lit(" done"))).otherwise(F.substring(body, 1, 12))
     return table(spark, sf, "customer").select("c_custkey", F.get_json_object(specs.layout_object(answer), "$.title").alias("title"))
+
+
+# --- expressions over boxes and names ---------------------------------------------------------
+
+
+@query("icon_like", over("SELECT state_id, elem_id FROM captions WHERE length(hint) > 2 AND y2 - y1 <= 48 AND x2 - x1 < 1.6 * (y2 - y1)", "captions"))
+def icon_like(spark, sf):
+    return captions(spark, sf).where(G.looks_like_icon(F.col("hint"), G.box())).select("state_id", "elem_id")
+
+
+@query("percent_boxes", over("SELECT state_id, elem_id, least(greatest(CAST(round(x1/4.0/100*400) AS INT), 0), 400) AS x1, least(greatest(CAST(round(y1/2.0/100*200) AS INT), 0), 200) AS y1, least(greatest(CAST(round(x2/4.0/100*400) AS INT), 0), 400) AS x2, least(greatest(CAST(round(y2/2.0/100*200) AS INT), 0), 200) AS y2 FROM boxes"))
+def percent_boxes(spark, sf):
+    """Boxes as percent of a screen of 400 by 200, and back."""
+    b, w, h = G.box(), F.lit(400), F.lit(200)
+    back = G.percent_to_pixel(b.x1 / 4.0, b.y1 / 2.0, (b.x2 - b.x1) / 4.0, (b.y2 - b.y1) / 2.0, w, h)
+    return boxes(spark, sf).select("state_id", "elem_id", *[c.alias(n) for c, n in zip(back, ("x1", "y1", "x2", "y2"), strict=True)])
+
+
+@query("content_places", over("SELECT state_id, elem_id, round((x1 - 10) / 1.25, 6) AS cx, round((y1 - 20) / 1.25, 6) AS cy FROM boxes"))
+def content_places(spark, sf):
+    return boxes(spark, sf).select("state_id", "elem_id", F.round(G.to_content(F.col("x1"), F.lit(10), F.lit(1.25)), 6).alias("cx"), F.round(G.to_content(F.col("y1"), F.lit(20), F.lit(1.25)), 6).alias("cy"))
+
+
+@query("covering_pairs", over(f"SELECT a.state_id, a.elem_id AS outer_id, b.elem_id AS inner_id FROM boxes a JOIN boxes b ON a.state_id = b.state_id AND a.elem_id <> b.elem_id WHERE a.x1 <= b.x1 AND a.y1 <= b.y1 AND a.x2 >= b.x2 AND a.y2 >= b.y2"))
+def covering_pairs(spark, sf):
+    from ..operators import spatial
+
+    df = boxes(spark, sf)
+    held = spatial.pairs(df, df, "state_id", G.covers, F.col("a.elem_id") != F.col("b.elem_id"))
+    return held.select(F.col("a.state_id").alias("state_id"), F.col("a.elem_id").alias("outer_id"), F.col("b.elem_id").alias("inner_id"))
+
+
+@query("image_states", "SELECT c_custkey, lower(replace(c_mktsegment, ' ', '_')) || '__main_' || CAST(c_custkey AS VARCHAR) AS state_id, lower(replace(c_mktsegment, ' ', '_')) AS app, 'step' AS step_group, regexp_replace(lower(c_mktsegment), '[^a-z]', '', 'g') AS class_key FROM customer")
+def image_states(spark, sf):
+    from ..functions import text as X
+
+    c = table(spark, sf, "customer")
+    image = F.concat("c_mktsegment", F.lit("-Main "), F.col("c_custkey").cast("string"), F.lit(".PNG"))
+    state = X.state_id_of(image)
+    return c.select("c_custkey", state.alias("state_id"), X.app_of(state).alias("app"), X.group_of(F.concat(F.lit("step_"), F.col("c_custkey").cast("string"))).alias("step_group"), X.class_key(F.col("c_mktsegment")).alias("class_key"))
+
+
+@query("class_types", over("SELECT state_id, elem_id, CASE elem_id % 3 WHEN 0 THEN 'checkbox' WHEN 1 THEN 'container' ELSE 'unknown' END AS from_class, CASE visual_type WHEN 'input_field' THEN 'input_field' ELSE visual_type END AS from_shape FROM boxes"))
+def class_types(spark, sf):
+    name = F.when(F.col("elem_id") % 3 == 0, "Toggle").when(F.col("elem_id") % 3 == 1, "list_item").otherwise("gauge")
+    return boxes(spark, sf).select("state_id", "elem_id", prompts.class_type(name).alias("from_class"), prompts.shape_type(F.col("visual_type")).alias("from_shape"))

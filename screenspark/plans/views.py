@@ -47,11 +47,3 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def with_views(sql: str, *names: str, recursive: bool = False) -> str:
-    """A checking query over the derived views it names."""
-    known = {"boxes": BOXES, "gt": TRUTH, "captions": CAPTIONS.replace("STRING", "VARCHAR")}
-    need = ["boxes", *(n for n in names if n != "boxes")]
-    head = ", ".join(f"{n} AS ({known[n]})" for n in need)
-    return f"WITH {'RECURSIVE ' if recursive else ''}{head}{', ' if sql.lstrip().startswith(('+',)) else ' '}{sql.lstrip().removeprefix('+')}"

@@ -42,30 +42,34 @@ def wait_and_click(events: DataFrame, key: str, ts: str, fits: Column, x: Column
     return rows.join(found, [key, "at"]).groupBy(key, "at").agg(F.min(F.struct("x", "y")).alias("p")).select(key, "at", "p.x", "p.y")
 
 
-def wait_until(events: DataFrame, key: str, ts: str, fits: Column, timeout_seconds: float, delay: str = "10 seconds") -> DataFrame:
-    """Stream of (key, outcome, at); events later than the watermark's delay are dropped."""
+def wait_until(events: DataFrame, key: str, ts: str, fits: Column, timeout_seconds: float, delay: str = "10 seconds", keep_seconds: float = 86_400) -> DataFrame:
+    """Stream of (key, outcome, at); events later than the watermark's delay are dropped.  A key
+    is decided once: what comes after the decision is ignored until ``keep_seconds`` after the
+    deadline, when the key is forgotten and a further event opens a new wait."""
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), fits.alias("fits")).withWatermark("ts", delay)
-    limit_ms = int(timeout_seconds * 1000)
+    limit_ms, keep_ms = int(timeout_seconds * 1000), int(keep_seconds * 1000)
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = lambda what, ms: pd.DataFrame({"key": [group[0]], "outcome": [what], "at": [pd.Timestamp(ms, unit="ms", tz="UTC").tz_localize(None)]})
         deadline, done = state.get if state.exists else (None, False)
         if state.hasTimedOut:
-            if not done:
-                yield out("timeout", deadline)
-            state.remove()
-            return
-        seen = pd.concat(list(frames))
-        ms = seen["ts"].astype("datetime64[ms]").astype("int64")
-        if deadline is None:
-            deadline = int(ms.min()) + limit_ms
-        good = ms[seen["fits"] & (ms <= deadline)]
-        if not done and len(good):
+            if done:
+                state.remove()
+                return
+            yield out("timeout", deadline)
             done = True
-            yield out("found", int(good.min()))
+        else:
+            seen = pd.concat(list(frames))
+            ms = seen["ts"].astype("datetime64[ms]").astype("int64")
+            if deadline is None:
+                deadline = int(ms.min()) + limit_ms
+            good = ms[seen["fits"] & (ms <= deadline)]
+            if not done and len(good):
+                done = True
+                yield out("found", int(good.min()))
         state.update((deadline, done))
-        if deadline > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(deadline)
+        # A timer must lie after the watermark.
+        state.setTimeoutTimestamp(max(deadline + (keep_ms if done else 0), state.getCurrentWatermarkMs() + 1))
 
     return rows.groupBy("key").applyInPandasWithState(step, "key string, outcome string, at timestamp", "deadline long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
