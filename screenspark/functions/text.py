@@ -93,7 +93,14 @@ def search_all_terms(query: Column, *fields: Column) -> Column:
 
 def edit_rate(hypothesis: Column, truth: Column) -> Column:
     """True character error rate: Levenshtein distance over the length of the truth."""
-    return F.coalesce(F.try_divide(F.levenshtein(hypothesis, truth), F.length(truth)), F.lit(0.0))
+    return F.coalesce(F.try_divide(edit_distance(hypothesis, truth), F.length(truth)), F.lit(0.0))
+
+
+def edit_distance(a: Column, b: Column, near: int = 32) -> Column:
+    """Levenshtein distance.  Texts that are near each other, as most readings are, cost a band
+    of that width; only for the others the whole table is filled."""
+    within = F.levenshtein(a, b, near)
+    return F.when(within >= 0, within).otherwise(F.levenshtein(a, b))
 
 
 def words(c: Column) -> Column:
@@ -107,7 +114,7 @@ def word_distance(hypothesis: Column, truth: Column) -> Column:
     number = F.map_from_entries(F.transform(F.array_distinct(F.concat(a, b)), lambda w, i: F.struct(w, i)))
     char = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 0x10000), 8, "0")), "UTF-32")
     coded = lambda ws: F.array_join(F.transform(ws, lambda w: char(number[w])), "")
-    return F.levenshtein(coded(a), coded(b))
+    return edit_distance(coded(a), coded(b))
 
 
 @F.pandas_udf(T.DoubleType())

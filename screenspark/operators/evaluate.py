@@ -72,7 +72,7 @@ def text_metrics(pairs: DataFrame) -> DataFrame:
     own = pairs.select(p.alias("p"), g.alias("g")).where("g <> ''")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     sums = own.agg(
-        F.count("*").alias("comparisons"), total(F.length("g")).alias("chars"), total(F.levenshtein("p", "g")).alias("edits"),
+        F.count("*").alias("comparisons"), total(F.length("g")).alias("chars"), total(X.edit_distance(F.col("p"), F.col("g"))).alias("edits"),
         total(F.size(X.words(F.col("g")))).alias("words"), total(X.word_distance(F.col("p"), F.col("g"))).alias("word_edits"),
         F.count_if(F.lower(F.trim("p")) == F.lower(F.trim("g"))).alias("exact"),
     )

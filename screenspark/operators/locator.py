@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions import text as X
+from .lineage import checkpoint
 
 # The locator format.
 PART = r'(\w+)=(?:"([^"]+)"|([^\s]+))'
@@ -258,7 +259,7 @@ def outcomes(locators: DataFrame, elements: DataFrame, on: str = "state_id", wid
     """(loc_id, on, alt, n, elem_id, judge): how many elements each alternative that finds any
     has, and which one it stands for: the only one, or the one that a description of the same
     chain (alternative ``judge``) picks among several; NULL where that is open."""
-    found = matches(locators, elements, on, width, height)
+    found = checkpoint(matches(locators, elements, on, width, height))
     counted = found.groupBy("loc_id", on, "alt").agg(F.count("*").alias("n"), F.min("elem_id").alias("least"))
     chains = _chains(locators, on)
     own = [on] if on in locators.columns else []

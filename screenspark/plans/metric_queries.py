@@ -111,7 +111,7 @@ def ocr_metrics(spark, sf):
 
 @query("ocr_distance", f"SELECT doc_id, count(*) AS sentences, sum(levenshtein(p, g)) AS edits FROM ({_SENTENCES}) GROUP BY doc_id")
 def ocr_distance(spark, sf):
-    return _text_pairs(spark, sf).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.levenshtein("pred_text", "gt_text")).alias("edits"))
+    return _text_pairs(spark, sf).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(X.edit_distance(F.col("pred_text"), F.col("gt_text"))).alias("edits"))
 
 
 def _whole_text_pairs(spark, sf):
