@@ -78,7 +78,7 @@ def probes(docs: DataFrame, windows: R.Windows, ranges: int, bits: int) -> DataF
 
     def one(part: pa.Table) -> pa.Table:
         seen = [np.zeros(0, np.uint64)]
-        for _, _, data, at in K.blocks(_texts(part).column("text"), 1 << 20):
+        for _, _, data, at in K.blocks(_texts(part).column("text")):
             prefix, first = windows.items(data, at)
             start, own = windows.rolling(first)
             if len(start):

@@ -12,7 +12,7 @@ sets alone.  Of the nodes that meet at a shingle each is first paired with one o
 with the fewest such shingles, which tends to be the original of its copies.
 
 Pairs are counted by vertical partitions: pivots, which the sketch gives, cut the global order
-into FRAGMENTS of equal weight; every set is cut there, each fragment counts the partial
+into FRAGMENTS of equal weight, more for the pairs of larger sets; every set is cut there, each fragment counts the partial
 overlap of a pair on its own, and the counts are summed per pair.  Links make components; then
 the pairs that still meet across components, and may share enough by the place at which they
 meet, are counted the same way; where a group has many of those, further nodes of it are paired
@@ -46,8 +46,11 @@ from .common import checkpoint, integer_ids, union
 SHINGLE = 5
 #: Counters of the frequency sketch (2 ** SKETCH_BITS), and parts that it is summed in.
 SKETCH_BITS, SKETCH_PARTS = 22, 256
-#: Pieces that the global order is cut into; tasks that a frequent shingle is spread over.
-FRAGMENTS, SALTS = 8, 256
+#: Pieces that the global order is cut into for sets of up to so many shingles a piece; tasks that
+#: a frequent shingle is spread over.
+FRAGMENTS, FRAGMENT_GRAMS, SALTS = 8, 250, 256
+#: Bytes of fragments that a task sends at a time.
+SENT_BYTES = 2 << 20
 #: Tasks that the rows of one key are spread over where something is looked up for them.
 LOOKUP_SALTS = 16
 #: A shingle is frequent if its counter is this many times the mean, and this much, at least.
@@ -108,7 +111,7 @@ def survey(docs: DataFrame) -> DataFrame:
             seen, node, size = True, [], []
             for _, _, data, at in K.blocks(batch.column("text")):
                 _, gram, first = ordered_sets(data, at, None)
-                counts += np.bincount(_cell(gram), minlength=len(counts)).astype(np.uint32)
+                np.add.at(counts, _cell(gram), np.uint32(1))
                 node.append(nodes_of(gram, first))
                 size.append(np.diff(first))
             n = batch.num_rows
@@ -170,10 +173,14 @@ def least_shared(n: np.ndarray) -> np.ndarray:
     return 1 + n // 25
 
 
-def _heads(docs: DataFrame, rank: np.ndarray, tokens: bool) -> DataFrame:
-    """Of each node its prefix in the global order: a row for each shingle (token, salt, node,
-    place), or one row (node, n, prefix, last) with the place of its end in the order.  salt is
-    0, or for a frequent shingle one of SALTS by node."""
+#: Bits of ``place`` in a row of a prefix; above them lies the frequency class, then a mark.
+PLACE_BITS, LAST = 40, 1 << 48
+
+
+def _heads(docs: DataFrame, rank: np.ndarray) -> DataFrame:
+    """The prefix of each node in the global order: a row (token, salt, node, place) for each
+    shingle.  salt is 0, or for a frequent shingle one of SALTS by node; of the last shingle the
+    place has its frequency class, too, and the mark LAST."""
     often = frequent(rank)
 
     def run(batches):
@@ -189,16 +196,15 @@ def _heads(docs: DataFrame, rank: np.ndarray, tokens: bool) -> DataFrame:
                 length = np.minimum(n, n - -(-4 * n // 5) + least_shared(n))
                 if not fresh.any():
                     continue
-                if tokens:
-                    keep = fresh[doc] & (np.arange(len(gram)) - first[doc] < length[doc])
-                    own, place = node[doc[keep]], (np.arange(len(gram)) - first[doc])[keep]
-                    salt = np.where(rank[_cell(gram[keep])] >= often, own % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
-                    yield R._batch({"token": gram[keep], "salt": salt.astype(np.int32), "node": own, "place": place.astype(np.int32)})
-                else:
-                    last = in_order(gram[(first[:-1] + length - 1)[fresh]], rank)
-                    yield R._batch({"node": node[fresh], "n": n[fresh].astype(np.int32), "prefix": length[fresh].astype(np.int32), "last": last})
+                place = np.arange(len(gram)) - first[doc]
+                keep = fresh[doc] & (place < length[doc])
+                own, gram, place, last = node[doc[keep]], gram[keep], place[keep], (place == length[doc] - 1)[keep]
+                cls = rank[_cell(gram)]
+                salt = np.where(cls >= often, own % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
+                place[last] |= cls[last].astype(np.int64) << PLACE_BITS | LAST
+                yield R._batch({"token": gram, "salt": salt.astype(np.int32), "node": own, "place": place})
 
-    return docs.select("text").mapInArrow(run, "token long, salt int, node long, place int" if tokens else "node long, n int, prefix int, last long")
+    return docs.select("text").mapInArrow(run, "token long, salt int, node long, place long")
 
 
 def spread(groups: DataFrame) -> DataFrame:
@@ -206,15 +212,19 @@ def spread(groups: DataFrame) -> DataFrame:
     return groups.withColumn("salt", F.explode("salts")).drop("salts")
 
 
-def shared_tokens(tokens: DataFrame) -> DataFrame:
-    """The rows (token, salt, node, place) whose token several nodes have."""
+def shared_tokens(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (token, salt, node, place) whose token several nodes have; and (node, last) of
+    every node, the place in the global order where its prefix ends."""
     own = Window.partitionBy("token", "salt")
     rows = tokens.withColumns({"low": F.min("node").over(own), "high": F.max("node").over(own)})
-    rows = checkpoint(rows.where("low <> high or salt > 0").distinct())
+    rows = checkpoint(rows.where(f"low <> high or salt > 0 or place >= {LAST}").distinct())
+    end = F.shiftleft(F.shiftright("place", PLACE_BITS).bitwiseAND(F.lit(255)), 56).bitwiseOR(F.shiftrightunsigned("token", 8))
+    ends = rows.where(F.col("place") >= LAST).select("node", end.alias("last"))
+    rows = rows.withColumn("place", F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
     often = rows.where("salt > 0")
     groups = often.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.collect_set("salt").alias("salts")).where("least <> most")
     often = often.join(spread(groups.select("token", "salts")), ["token", "salt"])
-    return rows.where("salt = 0").unionByName(often).select("token", "salt", "node", "place")
+    return rows.where("salt = 0 and low <> high").unionByName(often).select("token", "salt", "node", "place"), ends
 
 
 def possible(a: str, b: str) -> Column:
@@ -227,34 +237,50 @@ def possible(a: str, b: str) -> Column:
 
 def fragments(docs: DataFrame, wanted: DataFrame, rank: np.ndarray) -> DataFrame:
     """Rows (a, slot, b, sizes, grams) of the wanted (node, doc_key, chunk, own, to): each set cut at
-    the pivots of the global order, without its empty fragments.  A slot is a salt and a
-    fragment.  A set goes to its ``own`` salts with b NULL, and to every a that it is paired
-    with (``to``: a, salt, sizes) with its node as b."""
+    the pivots of the global order, without its empty fragments.  A slot is a salt, a number of
+    fragments and one of them.  A set goes to its ``own`` (salt, parts) with b NULL, and to every
+    a that it is paired with (``to``: a, salt, parts, sizes) with its node as b."""
     found = R.compressed(docs.select(key_of().alias("doc_key"), "text")).join(wanted, "doc_key").dropDuplicates(["doc_key", "chunk"])
-    cuts = pivots(rank, FRAGMENTS)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["a", "slot", "b", "sizes", "grams"])
+
+    def lists(column: pa.ListArray, *names: str) -> tuple[list[int], list[list[int]]]:
+        """Offsets of the lists of a column, and the fields of all their structs."""
+        size = pa.compute.list_value_length(column).fill_null(0).to_numpy()
+        return [0, *size.cumsum().tolist()], [pa.compute.struct_field(column.flatten(), n).to_pylist() for n in names]
 
     def run(batches):
+        cuts: dict[int, np.ndarray] = {}
         for batch in R.sliced(batches, 500):
-            rows: list[tuple] = []
-            node, own, to = (batch.column(c).to_pylist() for c in ("node", "own", "to"))
-            for i, _, data, at in K.blocks(R.plain(batch).column("text"), 1 << 20):
+            rows, size = [], 0
+            node = batch.column("node").to_pylist()
+            own_at, own = lists(batch.column("own"), "salt", "parts")
+            to_at, to = lists(batch.column("to"), "a", "salt", "parts", "sizes")
+            for i, _, data, at in K.blocks(R.plain(batch).column("text")):
                 _, gram, first = ordered_sets(data, at, rank)
                 place = in_order(gram, rank)
-                for d in range(len(at) - 1):
-                    part = slice(first[d], first[d + 1])
-                    edge = np.concatenate([[0], np.searchsorted(place[part], cuts), [first[d + 1] - first[d]]]).tolist()
-                    grams, k = gram[part], i + d
-                    for f in range(FRAGMENTS):
-                        if edge[f] < edge[f + 1]:
-                            raw = grams[edge[f] : edge[f + 1]].tobytes()
-                            rows += [(node[k], salt * FRAGMENTS + f, None, 0, raw) for salt in own[k] or ()]
-                            rows += [(x["a"], x["salt"] * FRAGMENTS + f, node[k], x["sizes"], raw) for x in to[k] or ()]
+                for k, (low, high) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), i):
+                    goes = [(node[k], own[0][j], own[1][j], None, 0) for j in range(own_at[k], own_at[k + 1])]
+                    goes += [(to[0][j], to[1][j], to[2][j], node[k], to[3][j]) for j in range(to_at[k], to_at[k + 1])]
+                    pieces: dict[int, list[tuple[int, bytes]]] = {}
+                    for a, salt, parts, b, sizes in goes:
+                        if parts not in pieces:
+                            if parts not in cuts:
+                                cuts[parts] = pivots(rank, parts)
+                            edge = [low, *(low + np.searchsorted(place[low:high], cuts[parts])).tolist(), high]
+                            pieces[parts] = [(f, gram[x:y].tobytes()) for f, (x, y) in enumerate(zip(edge, edge[1:], strict=False)) if x < y]
+                        for f, raw in pieces[parts]:
+                            rows.append((a, (salt << 32) + parts + f, b, sizes, raw))
+                            size += len(raw)
+                        if size > SENT_BYTES:  # a set may go to many others
+                            yield packed(rows)
+                            rows, size = [], 0
             if rows:
-                columns = zip(*rows, strict=True)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["a", "slot", "b", "sizes", "grams"])
+                yield packed(rows)
 
-    return found.select("node", "own", "to", "text").mapInArrow(run, "a long, slot int, b long, sizes long, grams binary")
+    return found.select("node", "own", "to", "text").mapInArrow(run, "a long, slot long, b long, sizes long, grams binary")
 
 
 def partial_overlaps(parts: DataFrame) -> DataFrame:
@@ -287,9 +313,11 @@ def verified(docs: DataFrame, pairs: DataFrame, where: DataFrame, rank: np.ndarr
     pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.max("often").alias("often"))
     spread_by = lambda c: F.when(F.col("often"), 1 + F.pmod(c, F.lit(SALTS))).otherwise(0).cast("int")
     sizes = (F.shiftleft(F.col("na").cast("long"), 32) + F.col("nb")).alias("sizes")
-    pairs = checkpoint(pairs.select("a", "b", spread_by("b").alias("salt"), spread_by("a").alias("chunk"), sizes))
-    own = pairs.groupBy(F.col("a").alias("node")).agg(F.lit(-1).alias("chunk"), F.collect_set("salt").alias("own"))
-    to = pairs.groupBy(F.col("b").alias("node"), "chunk").agg(F.collect_list(F.struct("a", "salt", "sizes")).alias("to"))
+    # Twice as many fragments for sets twice as large, so that no row is long.
+    parts = F.expr(f"{FRAGMENTS} << greatest(0, int(ceil(log2(least(na, nb) / {FRAGMENTS * FRAGMENT_GRAMS}))))").alias("parts")
+    pairs = checkpoint(pairs.select("a", "b", spread_by("b").alias("salt"), spread_by("a").alias("chunk"), parts, sizes))
+    own = pairs.groupBy(F.col("a").alias("node")).agg(F.lit(-1).alias("chunk"), F.collect_set(F.struct("salt", "parts")).alias("own"))
+    to = pairs.groupBy(F.col("b").alias("node"), "chunk").agg(F.collect_list(F.struct("a", "salt", "parts", "sizes")).alias("to"))
     wanted = own.unionByName(to, allowMissingColumns=True).join(where, "node")
     total = partial_overlaps(fragments(docs, wanted, rank)).groupBy("a", "b", "sizes").agg(F.sum("shared").alias("shared"))
     both = F.shiftright("sizes", 32) + F.col("sizes").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -389,14 +417,16 @@ def _named(docs: DataFrame) -> DataFrame:
     surveyed = checkpoint(survey(docs))
     rank = ranks(surveyed)
     sized = surveyed.where("part is null").select("doc_id", "doc_key", "node", "n")
-    where = sized.where("node <> 0").groupBy("node").agg(F.min("doc_key").alias("doc_key"))
+    where = checkpoint(sized.where("node <> 0").groupBy("node").agg(F.min("doc_key").alias("doc_key"), F.max("n").cast("int").alias("n")))
 
-    live = shared_tokens(_heads(docs, rank, tokens=True))
+    live, ends = shared_tokens(_heads(docs, rank))
     alive = live.groupBy("node").agg(F.count("*").alias("alive"))
-    most = (F.col("n") - F.col("prefix") + F.col("alive")).cast("int").alias("most")
-    nodes = checkpoint(_heads(docs, rank, tokens=False).distinct().join(alive, "node").select("node", "n", most, "last", (F.col("n") - F.col("prefix")).alias("spare")))
+    # As many as ``_heads`` takes.
+    spare = (F.col("n") - F.least("n", F.expr("n - (4 * n + 4) div 5 + 1 + n div 25"))).cast("int")
+    nodes = alive.join(ends, "node").join(where, "node").select("node", "n", (spare + F.col("alive")).cast("int").alias("most"), "last", spare.alias("spare"))
     left = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("place"))).alias("left")
     live = checkpoint(live.select("token", "salt", "node", left).join(nodes, "node"))
+    where = where.select("node", "doc_key")
 
     own = F.struct(F.try_divide("most", "n").alias("share"), "node", "n", "most", "last")
     hubs = spread(live.groupBy("token").agg(F.max(own).alias("hub"), F.collect_set("salt").alias("salts")))

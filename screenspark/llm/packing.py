@@ -24,14 +24,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import textkernel as K
 
 #: Documents that a bucket holds on average.
 BUCKET_DOCS = 4000
-#: Distinct units that a worker remembers before it starts afresh.
-MEMORY_UNITS = 700_000
+#: Distinct units that a worker remembers before it starts afresh; fewer than half of 2 ** INDEX_BITS.
+MEMORY_UNITS, INDEX_BITS = 350_000, 20
 
 # White space beyond ASCII, as UTF-8, which the splitting pattern also knows.
 _WIDE_SPACES = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -48,14 +47,20 @@ def encoder(path: str) -> tuple[Callable[[str], list[int]], Callable[[str], list
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    whole = Tokenizer.from_file(path)
     special = {t["content"] for t in spec.get("added_tokens", [])}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
     ranks = {bytes(shown[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return fast.encode_ordinary, lambda text: whole.encode(text, add_special_tokens=False).ids
+    held: list[Tokenizer] = []  # few texts need it
+
+    def whole(text: str) -> list[int]:
+        if not held:
+            held.append(Tokenizer.from_file(path))
+        return held[0].encode(text, add_special_tokens=False).ids
+
+    return fast.encode_ordinary, whole
 
 
 def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +122,7 @@ class Tokens:
         self._clear()
 
     def _clear(self):
-        self.index = K.HashIndex(21)
+        self.index = K.HashIndex(INDEX_BITS)
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.size = np.zeros(2 * MEMORY_UNITS + 2, np.int64), np.zeros(2 * MEMORY_UNITS + 2, np.int64)
         self._store(self.index.add(np.array([1], np.uint64)), [[self.end_id]])  # unit 0
@@ -274,8 +279,3 @@ def pack(
     cut_schema = f"bucket int, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     schema = PIECES.format(kind=kind) + (", ids binary" if with_ids else "")
     return docs.select("doc_id", "text").mapInArrow(cut, cut_schema).groupBy("bucket").applyInPandas(place, schema)
-
-
-def documents_of(pieces: DataFrame) -> DataFrame:
-    """Tokens and pieces of each packed document."""
-    return pieces.groupBy("doc_id").agg(F.sum("length").alias("tokens"), F.count("*").alias("pieces"))

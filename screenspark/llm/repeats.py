@@ -177,7 +177,7 @@ def stretch_rows(batch: pa.RecordBatch, windows: Windows, keep_first: bool, most
     too)."""
     parts: list[tuple[np.ndarray, ...]] = []
     name, tag = _keys(batch)
-    for i, _, data, at in K.blocks(batch.column("text"), 1 << 20):
+    for i, _, data, at in K.blocks(batch.column("text")):
         prefix, first = windows.items(data, at)
         doc, low, end, anchor, content = windows.stretches(prefix, first, hit)
         parts.append((anchor, content, name[i + doc], tag[i + doc], low - first[doc], end - low))
@@ -347,7 +347,7 @@ def opened(docs: DataFrame, marks: DataFrame, windows: Windows, alone_as_text: b
             anchor, low, size, mark = (c[offsets[0] : offsets[-1]] for c in (anchor, low, size, mark))
             whole: list[dict] = []
             seen: list[tuple[np.ndarray, ...]] = []
-            for i, j, data, at in K.blocks(text_of, 1 << 20):
+            for i, j, data, at in K.blocks(text_of):
                 prefix, first = windows.items(data, at)
                 own = np.flatnonzero((of >= i) & (of < j))
                 doc, begin = of[own], first[of[own] - i] + low[own]

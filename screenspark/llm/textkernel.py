@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one block holds at most, unless a single document is longer.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -42,14 +42,14 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
+    """Powers of an odd base and of its inverse modulo 2**64, at least n of each.  A worker keeps
+    as many as the blocks so far have asked for, up to those of a block's bytes."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        m = max(n, BLOCK_BYTES + 1)
-        inverse = pow(base, -1, 2**64)
+        m = min(1 << (n - 1).bit_length(), BLOCK_BYTES + 1) if n <= BLOCK_BYTES + 1 else n
         have = tuple(
             np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, b, np.uint64)]), dtype=np.uint64)
-            for b in (base, inverse)
+            for b in (base, pow(base, -1, 2**64))
         )
         if n <= BLOCK_BYTES + 1:
             _POWERS[base] = have
@@ -139,15 +139,6 @@ class Words:
         return byte_prefix(data, seed).span(self.start, self.end)
 
 
-def inside(doc_first: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Mask over rolling window starts: true where the window stays in its document."""
-    size = max(0, n - width + 1)
-    ok = np.ones(size, bool)
-    for k in doc_first[1:-1]:  # windows that straddle a boundary
-        ok[max(0, k - width + 1) : k] = False
-    return ok
-
-
 def minimum(values: np.ndarray, width: int) -> np.ndarray:
     """Sliding minimum over windows of that width."""
     out, have = values, 1

@@ -133,6 +133,8 @@ def test_pairs_across_components_match_brute_force(spark, monkeypatch, tile):
 @pytest.mark.parametrize("often", [(4, 500), (0, 1)])
 def test_frequent_shingles_are_spread(spark, monkeypatch, often):
     monkeypatch.setattr(N, "FREQUENT", often)
+    monkeypatch.setattr(N, "FRAGMENT_GRAMS", 250 if often[0] else 2)
+    monkeypatch.setattr(N, "SENT_BYTES", 2 << 20 if often[0] else 100)
     rows = corpus(5, 80)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(tuple(r) for r in N.near_duplicates(df).collect()) == brute(rows)
