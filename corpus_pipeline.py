@@ -8,31 +8,66 @@ empty table stays empty.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from screenspark.llm import classifiers, decontaminate, neardup, packing, substring
-from screenspark.llm.common import checkpoint, fold, table
+from screenspark.llm.common import fold, table
 from screenspark.llm.queries import tokenizer_file
+from screenspark.operators.lineage import use_checkpoint_dir
+
+
+#: Rows of an Arrow batch while a stage runs.  Documents are long: this many take some 10 MB.
+BATCH_ROWS = 2500
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """Bounds what a Python worker holds at a time, and puts the session's setting back."""
+    old = spark.conf.get(_SETTING)
+    spark.conf.set(_SETTING, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_SETTING, old)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the folder of the checkpoints, so that no work is left that
+    would run under another setting."""
+    use_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return classifiers.good_only(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    with bounded(spark):
+        return stored(classifiers.good_only(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.one_of_each(docs)
+    with bounded(spark):  # what it leaves to do is joins without Python
+        return neardup.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring.without_repeated_words(docs)
+    with bounded(spark):
+        return stored(substring.without_repeated_words(docs))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    with bounded(spark):
+        return stored(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+    with bounded(spark):
+        return stored(packing.pack(docs, tokenizer_file("byte_bpe_50k.json")))
 
 
 STAGES = [
@@ -48,8 +83,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of each is cut off from its lineage."""
+    """All stages over ``documents``, each on the table that the one before left."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = checkpoint(stage(spark, docs, sf_dir))
+        docs = stage(spark, docs, sf_dir)
+        if stage is one_of_near_duplicates:  # the next one reads its rows several times
+            docs = stored(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
