@@ -8,6 +8,7 @@ window of any length costs one subtraction; ``mix`` finalises them.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,6 +18,9 @@ import pyarrow as pa
 #: Bytes of text that one block holds at most, unless a single document is longer.
 BLOCK_BYTES = 1 << 19
 
+#: Hands free pages of the C heap back, where the C library can.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -101,13 +105,17 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of consecutive whole documents."""
+    """(first row, end row, bytes, offsets) of consecutive whole documents; at the end, memory
+    that is free again goes back to the system, since workers outlive their tasks."""
     data, at = utf8(column)
     i, n = 0, len(at) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
         yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
         i = j
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
