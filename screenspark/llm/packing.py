@@ -13,6 +13,7 @@ empty table gives no pieces.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 import zlib
@@ -31,6 +32,8 @@ from . import textkernel as K
 BUCKET_DOCS = 4000
 #: Distinct units that a worker remembers before it starts afresh; fewer than half of 2 ** INDEX_BITS.
 MEMORY_UNITS, INDEX_BITS = 350_000, 20
+#: Bytes of those units.
+MEMORY_BYTES = 1 << 24
 
 # White space beyond ASCII, as UTF-8, which the splitting pattern also knows.
 _WIDE_SPACES = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -122,10 +125,11 @@ class Tokens:
         self._clear()
 
     def _clear(self):
-        self.index = K.HashIndex(INDEX_BITS)
+        self.index = K.SpanIndex(INDEX_BITS, 2 * MEMORY_UNITS + 2)
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.size = np.zeros(2 * MEMORY_UNITS + 2, np.int64), np.zeros(2 * MEMORY_UNITS + 2, np.int64)
-        self._store(self.index.add(np.array([1], np.uint64)), [[self.end_id]])  # unit 0
+        none = np.zeros(1, np.int64)
+        self._store(self.index.add(np.zeros(0, np.uint8), none, none, np.array([1], np.uint64)), [[self.end_id]])  # unit 0
 
     def _store(self, numbers: np.ndarray, ids: list[list[int]]):
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -137,17 +141,17 @@ class Tokens:
         self.used = need
 
     def _numbers(self, data, start, end, keys) -> np.ndarray:
-        got = self.index.find(keys)
-        if (got < 0).any():
-            fresh, where = np.unique(keys[got < 0], return_index=True)
-            if self.index.n + len(fresh) > MEMORY_UNITS:
+        """Numbers of units; negative where a unit's hash is that of another unit."""
+        got = self.index.find(data, start, end, keys)
+        if (got == -1).any():
+            spots = np.flatnonzero(got == -1)
+            fresh, where = np.unique(keys[spots], return_index=True)
+            spots = spots[where]
+            if self.index.n + len(fresh) > MEMORY_UNITS or self.index.used > MEMORY_BYTES:
                 self._clear()
-                fresh, where = np.unique(keys, return_index=True)
-                spots = where
-            else:
-                spots = np.flatnonzero(got < 0)[where]
-            self._store(self.index.add(fresh), [self.part(s) for s in K.strings(data, start[spots], end[spots])])
-            got = self.index.find(keys)
+                fresh, spots = np.unique(keys, return_index=True)
+            self._store(self.index.add(data, start[spots], end[spots], fresh), [self.part(s) for s in K.strings(data, start[spots], end[spots])])
+            got = self.index.find(data, start, end, keys)
         return got
 
     def block(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +163,7 @@ class Tokens:
             return self._plain(data, at)
         odd = _unusual(data, at)
         number = self._numbers(data, start, end, K.byte_prefix(data).span(start, end))
+        odd[doc[number < 0]] = True  # the tokenizer itself sees to those documents
         keep = ~odd[doc]
         number, doc = number[keep], doc[keep]
         first = np.searchsorted(doc, np.arange(docs + 1))
@@ -246,9 +251,11 @@ def pack(
                 for d in range(len(at) - 1):
                     own = ids[offsets[d] : offsets[d + 1]]
                     # Rows that are alike are dealt by task and by how many the task has had.
-                    mark = crc(own) ^ zlib.crc32(str(names[i + d]).encode())
+                    # The mark has 128 bits of id and content, so a task that runs again deals the
+                    # same rows to the same buckets in whatever order they come.
+                    mark = hashlib.blake2b(own.tobytes() + str(names[i + d]).encode(), digest_size=16).digest()
                     seen[mark] = seen.get(mark, -1) + 1
-                    bucket = zlib.crc32(struct.pack("<QQQ", mark, task, seen[mark])) % buckets
+                    bucket = zlib.crc32(mark + struct.pack("<QQ", task, seen[mark])) % buckets
                     for s in range(0, len(own), capacity):
                         piece = own[s : s + capacity]
                         full = len(piece) == capacity

@@ -71,7 +71,7 @@ class Windows:
         """(document, first window, end of windows, anchor hash, content hash) of all
         stretches; places count from the start of the block.  Where ``hit`` tells which blocks
         may be anchors, windows without any have no stretch."""
-        n = len(prefix.sum) - 1
+        n = prefix.n
         if n < self.width:
             empty = np.zeros(0, np.int64)
             return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
@@ -184,7 +184,7 @@ def stretch_rows(batch: pa.RecordBatch, windows: Windows, keep_first: bool, most
     if not parts or not sum(len(p[0]) for p in parts):
         return None
     anchor, content, name, tag, low, size = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = _order(anchor, content, name, low)
+    order = _order(anchor, content, name, low, tag)
     anchor, content, name, tag, low, size = (c[order] for c in (anchor, content, name, tag, low, size))
     group, kind = _starts(anchor), _starts(anchor, content)
     # Of equal stretches one stands for all; the others are settled here.
@@ -274,7 +274,7 @@ def settle(rows: DataFrame, keep_first: bool) -> DataFrame:
 
     def one(part: pa.Table) -> pa.RecordBatch:
         anchor, content, name, tag, at = _columns(part, "route", "content", *KEY, "at")
-        order = _order(anchor, content, name, at)
+        order = _order(anchor, content, name, at, tag)
         anchor, content, name, tag, at = (c[order] for c in (anchor, content, name, tag, at))
         low, size, state = (at >> 16).astype(np.int32), (at >> 3 & 0x1FFF).astype(np.int32), at & 7
         at, group, kind = np.flatnonzero(_starts(anchor, content)), _starts(anchor), _starts(anchor, content)
@@ -367,7 +367,7 @@ def opened(docs: DataFrame, marks: DataFrame, windows: Windows, alone_as_text: b
             if not seen or not sum(len(s[0]) for s in seen):
                 continue
             route, names, tags, lows = (np.concatenate(c) for c in zip(*seen, strict=True))
-            order = _order(route, names, lows)
+            order = _order(route, names, lows, tags)
             route, names, tags, lows = (c[order] for c in (route, names, tags, lows))
             head = _starts(route)
             at_, of_ = np.flatnonzero(head), head.cumsum() - 1

@@ -1,9 +1,11 @@
 """Vectorised helpers over the UTF-8 bytes of an Arrow string column.
 
 Every operator that needs words, shingles or byte windows inside a task works on
-blocks of whole documents: one ``uint8`` array plus document offsets.  Hashes are
-polynomials modulo 2**64 over seeded random byte values, read off a running sum, so a
-window of any length costs one subtraction; ``mix`` finalises them.
+blocks of whole documents: one ``uint8`` array plus document offsets.  Hashes are two
+polynomials modulo the prime 2**31 - 1, of different bases and over different seeded values,
+read off running sums, so a window of any length costs a subtraction in each; ``mix``
+finalises the 62 bits.  (Modulo a power of two, long words made of two letters by the rule of
+Thue and Morse would collide whatever the base.)
 """
 
 from __future__ import annotations
@@ -37,55 +39,94 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: Modulus of both lanes of a hash.
+PRIME = (1 << 31) - 1
+#: Bases of the two lanes, for bytes and for items that have hashes of their own.
+_BYTE_BASES, _ITEM_BASES = (1_213_954_823, 684_501_377), (1_825_406_219, 397_204_093)
+_P, _BITS = _U(PRIME), _U(31)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME or a little over it, in place: under 2**32 for x under 2**62."""
+    high = x >> _BITS
+    x &= _P
+    x += high
+    return x
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, in place, for x under 2**63."""
+    x = _folded(_folded(x))
+    x -= _P * (x >= _P)
+    return x
+
+
 @lru_cache(maxsize=8)
 def _byte_values(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+    return np.random.default_rng(seed).integers(1, PRIME, (2, 256), dtype=np.uint64)
+
+
+_POWERS: dict[tuple[int, ...], list[np.ndarray]] = {}
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _power_table(n: int, base: int) -> np.ndarray:
+    out = np.ones(n, np.uint32)
+    have, step = 1, base
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = _residue(out[:more] * _U(step))
+        have, step = 2 * have, step * step % PRIME
+    return out
 
 
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each.  A worker keeps
-    as many as the blocks so far have asked for, up to those of a block's bytes."""
-    have = _POWERS.get(base)
+def _powers(n: int, bases: tuple[int, int]) -> list[np.ndarray]:
+    """Powers of both bases, then of their inverses, at least n of each.  A worker keeps as many
+    as the blocks so far have asked for, up to those of a block's bytes."""
+    have = _POWERS.get(bases)
     if have is None or len(have[0]) < n:
         m = min(1 << (n - 1).bit_length(), BLOCK_BYTES + 1) if n <= BLOCK_BYTES + 1 else n
-        have = tuple(
-            np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m - 1, b, np.uint64)]), dtype=np.uint64)
-            for b in (base, pow(base, -1, 2**64))
-        )
+        have = [_power_table(m, b) for b in (*bases, *(pow(b, -1, PRIME) for b in bases))]
         if n <= BLOCK_BYTES + 1:
-            _POWERS[base] = have
+            _POWERS[bases] = have
     return have
 
 
 class Prefix:
-    """Running polynomial hash of a sequence; ``span(s, e)`` hashes items s..e-1."""
-
-    def __init__(self, values: np.ndarray, base: int):
-        n = len(values)
-        self.power, self.inverse = _powers(n + 1, base)
-        self.sum = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.power[:n], out=self.sum[1:])
+    """Running hashes of a sequence; ``span(s, e)`` hashes items s..e-1.  ``lanes`` are the
+    values of the items, under PRIME, in both lanes."""
+
+    def __init__(self, lanes: tuple[np.ndarray, np.ndarray], bases: tuple[int, int]):
+        self.n = len(lanes[0])
+        powers = _powers(self.n + 1, bases)
+        self.inverse = powers[2:]
+        self.sum = []
+        for values, power in zip(lanes, powers, strict=False):
+            total = np.zeros(self.n + 1, np.uint64)
+            np.cumsum(_folded(values * power[: self.n]), out=total[1:])
+            self.sum.append(total)
+
+    def _mixed(self, sums: list[np.ndarray], inverse: list[np.ndarray]) -> np.ndarray:
+        low, high = (_residue(_folded(d) * i) for d, i in zip(sums, inverse, strict=True))
+        return mix(high << _BITS | low)
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sum[end] - self.sum[start]) * self.inverse[start])
+        return self._mixed([s[end] - s[start] for s in self.sum], [i[start] for i in self.inverse])
 
     def rolling(self, width: int) -> np.ndarray:
         """Hashes of all windows of that width, by start."""
-        n = len(self.sum) - width
+        n = self.n + 1 - width
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sum[width:] - self.sum[:n]) * self.inverse[:n])
+        return self._mixed([s[width:] - s[:n] for s in self.sum], [i[:n] for i in self.inverse])
 
 
-def byte_prefix(data: np.ndarray, seed: int = 7, base: int = 0x9E3779B97F4A7C15) -> Prefix:
-    return Prefix(_byte_values(seed)[data], base)
+def byte_prefix(data: np.ndarray, seed: int = 7) -> Prefix:
+    first, second = _byte_values(seed)
+    return Prefix((first[data], second[data]), _BYTE_BASES)
 
 
-def item_prefix(hashes: np.ndarray, base: int = 0xD1342543DE82EF95) -> Prefix:
-    return Prefix(hashes, base)
+def item_prefix(hashes: np.ndarray) -> Prefix:
+    return Prefix((hashes & _P, hashes >> _BITS & _P), _ITEM_BASES)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,6 +259,53 @@ class HashIndex:
         return numbers
 
 
+def equal_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which spans of a and b, of the same sizes, hold the same bytes."""
+    total = size.cumsum()
+    step = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - size, size)
+    differ = a[np.repeat(a_start, size) + step] != b[np.repeat(b_start, size) + step]
+    out = np.ones(len(size), bool)
+    out[np.searchsorted(total, np.flatnonzero(differ), "right")] = False
+    return out
+
+
+class SpanIndex:
+    """Numbers of distinct spans, in the order in which they were added.  Spans are found by
+    hash and told by their bytes."""
+
+    def __init__(self, bits: int, most: int):
+        self.index = HashIndex(bits)
+        self.raw, self.used = np.zeros(1 << 16, np.uint8), 0
+        self.start, self.size = np.zeros(most, np.int64), np.zeros(most, np.int64)
+
+    @property
+    def n(self) -> int:
+        return self.index.n
+
+    def find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Numbers of spans; -1 where the hash is absent, -2 where it is that of other bytes."""
+        got = self.index.find(keys)
+        size = end - start
+        other = (got >= 0) & (self.size[got] != size)
+        rest = np.flatnonzero((got >= 0) & ~other)
+        same = equal_spans(data, start[rest], self.raw, self.start[got[rest]], size[rest])
+        got[other] = -2
+        got[rest[~same]] = -2
+        return got
+
+    def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Add spans of distinct hashes that are absent; their numbers."""
+        numbers, size = self.index.add(keys), end - start
+        need = self.used + int(size.sum())
+        if need > len(self.raw):
+            self.raw = np.concatenate([self.raw[: self.used], np.zeros(max(need, 2 * self.used) - self.used, np.uint8)])
+        at = size.cumsum() - size
+        self.raw[self.used : need] = data[np.repeat(start - at, size) + np.arange(int(size.sum()))]
+        self.start[numbers], self.size[numbers] = self.used + at, size
+        self.used = need
+        return numbers
+
+
 def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
     """The spans of a block as text; callers pass spans that are whole characters."""
     raw = data.tobytes()

@@ -3,7 +3,7 @@
 A pre-token is a word with the word mark before it.  The distinct new words of a block are
 sorted, which makes them the leaves of a trie in depth-first order; the forward score of a
 trie node (the best segmentation of its prefix) is computed once, for all nodes of a depth
-together, and the count at a word's last node is remembered by the task.  There is no
+together, and the count at a word's last node is remembered by the task, by the word's bytes.  There is no
 shuffle: every document's count is the sum over its words.
 
 Scores: a piece at place i of the vocabulary costs ln(i + 2), which is Zipf's law for its
@@ -35,6 +35,9 @@ SCALE = 100_000
 LONG = 48
 #: Distinct words that a worker remembers before it starts afresh.
 MEMORY_WORDS = 900_000
+#: Bytes of those words.
+MEMORY_BYTES = 1 << 24
+#: Base of the hashes of pieces and prefixes, which are short: modulo 2**64.
 _BASE = 0xC2B2AE3D27D4EB4F
 
 
@@ -79,16 +82,20 @@ class Trie:
         keys = np.array([self._hash(p) for p in pieces], np.uint64)
         self.index.add(keys)
         self.costs = np.array([self.vocab[p] for p in pieces] + [0], np.int64)
-        self.power = K._powers(self.longest + 1, _BASE)[0]
+        self.power = self._powers(self.longest + 1)
         self.fallback = round(SCALE * math.log(len(self.vocab) + 2)) * ONE + 1
         self._clear()
 
     def _clear(self):
-        self.known, self.counts = K.HashIndex(21), np.zeros(MEMORY_WORDS + 1, np.int64)
+        self.known, self.counts = K.SpanIndex(21, MEMORY_WORDS + 1), np.zeros(MEMORY_WORDS + 1, np.int64)
+
+    @staticmethod
+    def _powers(n: int) -> np.ndarray:
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE, np.uint64)]), dtype=np.uint64)
 
     def _hash(self, piece: str) -> int:
         values = K.mix(np.array([ord(c) for c in reversed(piece)], np.uint64) + np.uint64(77))
-        power = K._powers(len(piece) + 1, _BASE)[0][: len(piece)]
+        power = self._powers(len(piece) + 1)[: len(piece)]
         return int(K.mix(np.array([(values * power).sum(dtype=np.uint64)]))[0])
 
     def forward(self, words: list[str]) -> np.ndarray:
@@ -125,18 +132,25 @@ class Trie:
         """Tokens of every word of a block."""
         keys = w.hashes(data)
         if len(keys) > MEMORY_WORDS:  # a single very long document
-            found, where, back = np.unique(keys, return_index=True, return_inverse=True)
-            return self._new(data, w.start[where], w.end[where])[back]
-        got = self.known.find(keys)
-        if (got < 0).any():
-            fresh, where = np.unique(keys[got < 0], return_index=True)
-            spots = np.flatnonzero(got < 0)[where]
-            if self.known.n + len(fresh) > MEMORY_WORDS:
+            _, where, back = np.unique(keys, return_index=True, return_inverse=True)
+            out = self._new(data, w.start[where], w.end[where])[back]
+            first, size = w.start[where][back], w.end - w.start
+            other = size != (w.end[where] - w.start[where])[back]
+            other[~other] = ~K.equal_spans(data, w.start[~other], data, first[~other], size[~other])
+            out[other] = self._new(data, w.start[other], w.end[other])
+            return out
+        got = self.known.find(data, w.start, w.end, keys)
+        if (got == -1).any():
+            fresh, where = np.unique(keys[got == -1], return_index=True)
+            spots = np.flatnonzero(got == -1)[where]
+            if self.known.n + len(fresh) > MEMORY_WORDS or self.known.used > MEMORY_BYTES:
                 self._clear()
                 fresh, spots = np.unique(keys, return_index=True)
-            self.counts[self.known.add(fresh)] = self._new(data, w.start[spots], w.end[spots])
-            got = self.known.find(keys)
-        return self.counts[got]
+            self.counts[self.known.add(data, w.start[spots], w.end[spots], fresh)] = self._new(data, w.start[spots], w.end[spots])
+            got = self.known.find(data, w.start, w.end, keys)
+        out, other = self.counts[got], got < 0
+        out[other] = self._new(data, w.start[other], w.end[other])
+        return out
 
     def _new(self, data, start, end) -> np.ndarray:
         words = [MARK + s for s in K.strings(data, start, end)]
