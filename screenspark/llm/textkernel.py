@@ -11,6 +11,7 @@ Thue and Morse would collide whatever the base.)
 from __future__ import annotations
 
 import ctypes
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -163,6 +164,17 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def runs(ink: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the maximal runs of marked bytes; none crosses a document's start."""
+    edge = np.zeros(len(ink) + 1, bool)  # a byte whose run can't go on from the one before
+    edge[at] = True
+    before = np.concatenate([[False], ink[:-1]]) if len(ink) else ink
+    start = np.flatnonzero(ink & (~before | edge[:-1]))
+    after = np.concatenate([ink[1:], [False]]) if len(ink) else ink
+    end = np.flatnonzero(ink & (~after | edge[1:])) + 1
+    return start, end
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a block: byte spans, document of each, and the
     first word of every document (``first[d]`` to ``first[d + 1]``)."""
@@ -220,6 +232,44 @@ def coverage(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def _crc_table() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & np.uint32(1), out >> np.uint32(1) ^ np.uint32(0xEDB88320), out >> np.uint32(1))
+    return out
+
+
+_CRC = _crc_table()
+#: Register of a CRC-32 before its first byte; the CRC is the register with all bits flipped.
+CRC_START = 0xFFFFFFFF
+#: Bytes up to which all spans advance together; longer ones go on one by one.
+_CRC_STEPS = 48
+
+
+def crc_step(state: np.ndarray, byte: np.ndarray | int) -> np.ndarray:
+    """CRC-32 registers after one more byte each."""
+    return _CRC[(state ^ np.asarray(byte, np.uint32)) & np.uint32(0xFF)] ^ state >> np.uint32(8)
+
+
+def crc_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """CRC-32 registers after the bytes of each span, from the registers given."""
+    size = end - start
+    order = np.argsort(-size, kind="stable")
+    at, out = start[order], state.astype(np.uint32)[order]
+    longer = len(size) - np.bincount(np.minimum(size, _CRC_STEPS), minlength=_CRC_STEPS + 1).cumsum()  # spans of more than so many bytes
+    for step in range(_CRC_STEPS):
+        k = int(longer[step])
+        if not k:
+            break
+        out[:k] = crc_step(out[:k], data[at[:k] + step])
+    for i in np.flatnonzero(size[order] > _CRC_STEPS).tolist():
+        rest = data[at[i] + _CRC_STEPS : end[order[i]]].tobytes()
+        out[i] = zlib.crc32(rest, int(out[i]) ^ CRC_START) ^ CRC_START
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 class HashIndex:
     """Open-addressing map from 64-bit hashes to the order in which they were added."""
 
