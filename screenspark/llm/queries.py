@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifiers, decontaminate, neardup, packing, quotes, resample, substring, tokencounts
+from . import classifiers, decontaminate, neardup, packing, pii, quotes, resample, substring, tokencounts
 from .common import fold, table
 from .oracles import OP9
 
@@ -62,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -78,6 +82,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_quality_rules": op8_quality_rules,
+    "op11_pii": op11_pii,
     "op12_resample": op12_resample,
 }
 
