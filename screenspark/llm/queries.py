@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifiers, decontaminate, neardup, packing, pii, quotes, resample, substring, tokencounts
+from . import classifiers, decontaminate, neardup, packing, pii, quotes, resample, spelling, substring, tokencounts
 from .common import fold, table
 from .oracles import OP9
 
@@ -71,6 +71,10 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op11_pii": op11_pii,
     "op12_resample": op12_resample,
+    "op13_spelling": op13_spelling,
 }
 
 #: The other operators have no SQL that is feasible on whole tables; tests hold them against
