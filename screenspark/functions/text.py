@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 from functools import reduce
 
 import pandas as pd
@@ -10,6 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import edits
+
+#: Words as ``words`` splits them: white space here is that of the expressions.
+_WORDS = re.compile(r"[^ \t\n\x0b\f\r]+")
+
 
 def present(c: Column) -> Column:
     """NULL for an empty string, which counts as absent."""
@@ -107,14 +113,11 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 
 
-def word_distance(hypothesis: Column, truth: Column) -> Column:
-    """Levenshtein distance over words: each different word of the two texts becomes one
-    character, beyond the surrogates, and the distance is that of the characters."""
-    a, b = words(hypothesis), words(truth)
-    number = F.map_from_entries(F.transform(F.array_distinct(F.concat(a, b)), lambda w, i: F.struct(w, i)))
-    char = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 0x10000), 8, "0")), "UTF-32")
-    coded = lambda ws: F.array_join(F.transform(ws, lambda w: char(number[w])), "")
-    return edit_distance(coded(a), coded(b))
+@F.pandas_udf(T.LongType())
+def word_distance(hypothesis: pd.Series, truth: pd.Series) -> pd.Series:
+    """Levenshtein distance over words, of texts of any length; a null text has no words."""
+    pairs = zip(hypothesis.fillna(""), truth.fillna(""), strict=True)
+    return pd.Series([edits.distance(_WORDS.findall(a), _WORDS.findall(b)) for a, b in pairs], dtype="int64")
 
 
 @F.pandas_udf(T.DoubleType())

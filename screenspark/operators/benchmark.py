@@ -108,3 +108,14 @@ def match_texts(detected: DataFrame, truth: DataFrame, on: str = "state_id", lea
     grouped = scored.groupBy(on).agg(rows.alias("_rows"))
     kept = grouped.select(on, F.explode(F.aggregate("_rows", F.filter("_rows", lambda r: F.lit(False)), keep)).alias("r"))
     return kept.select(on, "r.elem_id", "r.gt_text", (-F.col("r.far")).alias("similarity"))
+
+
+def near_misses(steps: DataFrame) -> DataFrame:
+    """(state_id, caption): captions of the application that a screen hasn't, but that end in
+    the last word of one it has: an equi-join on that word.  A caption without a word misses
+    nothing nearly."""
+    caption = F.lower("text")
+    own = steps.select("app", "state_id", caption.alias("caption"), F.element_at(X.tokens(F.col("text")), F.when(F.size(X.tokens(F.col("text"))) > 0, -1)).alias("last")).where("last is not null")
+    pool = own.select("app", "last", "caption").distinct()
+    close = own.select("app", "state_id", "last").distinct().join(pool, ["app", "last"]).select("state_id", "caption").distinct()
+    return close.join(steps.select("state_id", caption.alias("caption")), ["state_id", "caption"], "left_anti")

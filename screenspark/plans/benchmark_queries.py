@@ -117,27 +117,49 @@ def wait_and_click(spark, sf):
 
 
 def _asked(spark, sf):
-    """A click on every caption that is alone on its screen, and a check for one of another."""
+    """For every caption that is alone on its screen: a click on it by name and kind, every third
+    with a target elsewhere; a check by name; a check for what no screen has; and one for a word
+    that all hints have, which is only found where a screen has a single element."""
     steps_ = _steps(spark, sf)
-    box = [F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")]
-    own = F.concat_ws(" ", "text", F.regexp_replace("visual_type", "_", " "))
     key = F.concat_ws("/", F.col("state_id").cast("string"), F.col("elem_id").cast("string"))
-    present = steps_.select(key.alias("step"), "state_id", F.lit("action").alias("kind"), F.lit("PASSED").alias("expect"), own.alias("description"), *box)
-    absent = steps_.select(F.concat(key, F.lit("/no")).alias("step"), "state_id", F.lit("verify").alias("kind"), F.lit("FAILED").alias("expect"), F.lit("purple elephant").alias("description"), *box)
-    return present.unionByName(absent)
+    own = F.concat_ws(" ", "text", F.regexp_replace("visual_type", "_", " "))
+    asked = [("click", "action", "PASSED", own), ("own", "verify", "PASSED", F.col("text")), ("no", "verify", "FAILED", F.lit("purple elephant")), ("tie", "verify", "FAILED", F.lit("brand"))]
+    said = F.explode(F.array(*[F.struct(F.concat(key, F.lit(f"/{n}")).alias("step"), F.lit(k).alias("kind"), F.lit(e).alias("expect"), d.alias("description")) for n, k, e, d in asked]))
+    away = F.when(F.col("elem_id") % 3 == 0, 1000).otherwise(0)
+    box = [(F.col(c) + away).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")]
+    return steps_.select(said.alias("a"), "state_id", *box).select("a.step", "state_id", "a.kind", "a.expect", "a.description", *[f"t{c}" for c in ("x1", "y1", "x2", "y2")])
+
+
+def _away(c: str) -> str:
+    return f"{c} + CASE WHEN elem_id % 3 = 0 THEN 1000 ELSE 0 END AS t{c}"
+
+
+_KINDS = "CASE visual_type WHEN 'button' THEN ' button pushbutton ' WHEN 'text' THEN ' text statictext label ' ELSE ' inputfield textfield edittext ' END"
+_DONE = f"""{_APPS}, own AS (SELECT *, CAST(state_id AS VARCHAR) || '/' || CAST(elem_id AS VARCHAR) AS key, regexp_extract_all(lower(text), '[a-z0-9]+') AS name, {_away('x1')}, {_away('y1')}, {_away('x2')}, {_away('y2')} FROM uniq),
+  asked AS (SELECT key || '/click' AS step, state_id, 'action' AS kind, 'PASSED' AS expect, name, {_KINDS} AS kinds, tx1, ty1, tx2, ty2 FROM own
+    UNION ALL SELECT key || '/own', state_id, 'verify', 'PASSED', name, '', tx1, ty1, tx2, ty2 FROM own UNION ALL SELECT key || '/no', state_id, 'verify', 'FAILED', ['purple','elephant'], '', tx1, ty1, tx2, ty2 FROM own
+    UNION ALL SELECT key || '/tie', state_id, 'verify', 'FAILED', ['brand'], '', tx1, ty1, tx2, ty2 FROM own),
+  toks AS (SELECT state_id, elem_id, visual_type, x1, y1, x2, y2, regexp_extract_all(lower(coalesce(text,'')), '[a-z0-9]+') AS tt, regexp_extract_all(lower(coalesce(hint,'')), '[a-z0-9]+') AS ht FROM captions),
+  met AS (SELECT a.*, c.elem_id, c.x1, c.y1, c.x2, c.y2, c.tt, c.ht, replace(c.visual_type, '_', '') AS shape, list_concat(c.tt, c.ht) AS have FROM asked a JOIN toks c ON c.state_id = a.state_id),
+  shared AS (SELECT *, 2.0*(len(list_filter(name, lambda t: list_contains(have, t))) + 0.7*len(list_filter(name, lambda t: NOT list_contains(have, t) AND len(list_filter(have, lambda e: contains(e, t))) > 0)))/len(name) + CASE WHEN tt = name OR ht = name THEN 0.5 ELSE 0 END AS ns, CASE WHEN contains(kinds, ' ' || shape || ' ') THEN 1.0 ELSE 0 END AS ks FROM met),
+  scored AS (SELECT *, ns + CASE WHEN ns = 0 THEN least(0.5*ks, 1.0) ELSE ks END AS score FROM shared),
+  places AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM scored WHERE score > 0 WINDOW w AS (PARTITION BY step ORDER BY score DESC, elem_id)),
+  sure AS (SELECT * FROM places WHERE place = 1 AND score >= 1.5 AND (second IS NULL OR score - second >= 0.5)),
+  found AS (SELECT a.step, a.kind, a.expect, s.elem_id, s.elem_id IS NOT NULL AND floor((s.x1+s.x2)/2.0) BETWEEN a.tx1 AND a.tx2 AND floor((s.y1+s.y2)/2.0) BETWEEN a.ty1 AND a.ty2 AS hit FROM asked a LEFT JOIN sure s ON s.step = a.step {{strict}})
+  SELECT step, elem_id, hit, CASE WHEN kind = 'action' THEN hit ELSE (CASE WHEN elem_id IS NULL THEN 'FAILED' ELSE 'PASSED' END) = expect END AS passed FROM found"""
 
 
-@query("described_steps", over(f"{_APPS} SELECT state_id, 1 AS absent, count(*) AS steps FROM uniq GROUP BY state_id", "captions"))
+@query("described_steps", over(_DONE.format(strict=""), "captions"))
 def described_steps(spark, sf):
-    """Nothing reads like an elephant, so every check for one passes."""
     done = steps.described(_asked(spark, sf), captions(spark, sf), width=F.lit(400), height=F.lit(200))
-    return done.groupBy("state_id").agg(F.min(F.when(F.col("kind") == "verify", F.col("passed").cast("int"))).alias("absent"), F.count_if(F.col("kind") == "action").alias("steps"))
+    return done.select("step", "elem_id", "hit", "passed")
 
 
-@query("exact_steps")
+@query("exact_steps", over(_DONE.format(strict="AND (s.tt = s.name OR s.ht = s.name)"), "captions"))
 def exact_steps(spark, sf):
+    """The same, where only an element that reads exactly what is said counts."""
     done = steps.described(_asked(spark, sf), captions(spark, sf), width=F.lit(400), height=F.lit(200), strict=True)
-    return steps.split_rows(done).groupBy("part").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
+    return done.select("step", "elem_id", "hit", "passed")
 
 
 @query("paraphrased_steps", "SELECT event_id AS step, 'to ' || event_type AS description FROM events")
@@ -153,11 +175,11 @@ def first_state_steps(spark, sf):
     return steps.of_first_states(rows, 3, ["click", "view"], "user_id").select("event_id", "user_id")
 
 
-@query("default_executors", "SELECT DISTINCT executor FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'vizdom-' || event_type WHEN 1 THEN 'vizdom+desc[lexical,slm]' || CASE WHEN event_id % 2 = 0 THEN '[verify=keyword]' ELSE '' END ELSE 'vizdom+desc[slm]' END AS executor FROM events) WHERE executor NOT LIKE '%[verify=%' AND (executor NOT LIKE '%+desc[%' OR executor LIKE '%+desc[lexical%')")
+@query("default_executors", "SELECT DISTINCT executor FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'screens-' || event_type WHEN 1 THEN 'screens+desc[lexical,slm]' || CASE WHEN event_id % 2 = 0 THEN '[verify=keyword]' ELSE '' END ELSE 'screens+desc[slm]' END AS executor FROM events) WHERE executor NOT LIKE '%[verify=%' AND (executor NOT LIKE '%+desc[%' OR executor LIKE '%+desc[lexical%')")
 def default_executors(spark, sf):
     e, k = table(spark, sf, "events"), F.col("event_id") % 3
-    name = F.when(k == 0, F.concat(F.lit("vizdom-"), "event_type")).when(k == 1, F.concat(F.lit("vizdom+desc[lexical,slm]"), F.when(F.col("event_id") % 2 == 0, "[verify=keyword]").otherwise(""))).otherwise("vizdom+desc[slm]")
-    return steps.default_rows(e.select(name.alias("executor")).distinct())
+    name = F.when(k == 0, F.concat(F.lit("screens-"), "event_type")).when(k == 1, F.concat(F.lit("screens+desc[lexical,slm]"), F.when(F.col("event_id") % 2 == 0, "[verify=keyword]").otherwise(""))).otherwise("screens+desc[slm]")
+    return steps.default_rows(e.select(name.alias("executor")).distinct(), "screens")
 
 
 @query(
@@ -198,10 +220,11 @@ def printed_names(spark, sf):
     return rows.where(specs.printed(name, F.col("reading"), close)).select("state_id", "elem_id")
 
 
-@query("exact_names", over("SELECT state_id, elem_id FROM captions WHERE lower(text) LIKE '% ring' OR lower(text) = 'ring'", "captions"))
+@query("exact_names", over("SELECT a.state_id, a.elem_id, a.elem_id AS said_by FROM captions a WHERE len(regexp_extract_all(lower(coalesce(a.text, '')), '[a-z0-9]+')) > 0 UNION ALL SELECT b.state_id, b.elem_id, a.elem_id FROM captions a JOIN captions b ON b.state_id = a.state_id AND b.elem_id = a.elem_id + 1 WHERE len(regexp_extract_all(lower(coalesce(a.text, '')), '[a-z0-9]+')) > 0 AND regexp_extract_all(lower(coalesce(b.text, '')), '[a-z0-9]+') = regexp_extract_all(lower(a.text), '[a-z0-9]+')", "captions"))
 def exact_names(spark, sf):
-    """Elements that read exactly what is said of them, where that is their own caption, which
-    ends in a ring."""
-    said = locator.describe(F.col("text"))
-    rings = captions(spark, sf).where(F.lower("text").rlike("(^| )ring$"))
-    return rings.where(locator.exact_name(said, F.col("label"), F.col("text"), F.col("hint"))).select("state_id", "elem_id")
+    """Elements that read exactly what the caption of one of them says: of the element itself
+    and the next one of the screen."""
+    df = captions(spark, sf)
+    asked = df.select("state_id", F.col("elem_id").alias("said_by"), F.col("text").alias("said")).withColumn("elem_id", F.explode(F.array("said_by", F.col("said_by") + 1)))
+    both = asked.join(df.select("state_id", "elem_id", "label", "text", "hint"), ["state_id", "elem_id"])
+    return both.where(locator.exact_name(locator.describe(F.col("said")), F.col("label"), F.col("text"), F.col("hint"))).select("state_id", "elem_id", "said_by")

@@ -3,6 +3,8 @@
 import difflib
 import importlib.util
 import os
+import re
+import sys
 
 import duckdb
 import pandas as pd
@@ -45,15 +47,44 @@ def test_query_matches_sql(spark, checker, name):
         assert len(got) > 0
 
 
-def test_entry_module_without_the_corpus_operators(spark):
+def entry_module():
     spec = importlib.util.spec_from_file_location("entry_module", os.path.join(os.path.dirname(os.path.dirname(__file__)), "__spark_entry__.py"))
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
-    module.HAS_LLM = False
+    return module
+
+
+@pytest.mark.parametrize("missing", ["screenspark.llm", "zstandard"])
+def test_entry_module_without_the_corpus_operators(spark, monkeypatch, missing):
+    """Neither a missing package nor a missing library of its takes the other queries along."""
+    for name in [n for n in sys.modules if n.split(".")[:2] == ["screenspark", "llm"] or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    module = entry_module()
     assert set(module.queries()) == set(catalog.QUERIES) and set(module.oracle_sql()) == set(catalog.ORACLE_SQL)
     assert module.entry(spark).count() > 0
 
 
+def words_apart(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_word_errors_on_whole_texts(spark):
+    """Every sentence against the one before, by the plain table."""
+    got = {r.doc_id: (r.words, r.word_edits) for r in catalog.QUERIES["word_errors"](spark, SF).collect()}
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        s = [re.findall(r"[^ \t\n\x0b\f\r]+", x) for x in re.findall(r"[^.!?\n]+", r.text or "")]
+        if len(s) > 1:
+            want[r.doc_id] = (sum(map(len, s[1:])), sum(words_apart(a, b) for a, b in zip(s, s[1:])))
+    assert got == want
+
+
 @pytest.mark.parametrize("name", ["text_similarity", "edit_script_counts"])
 def test_text_pairs_are_whole_texts_of_all_languages(spark, tmp_path, name):
     texts = {1: ("en", "The cat sat on the mat. " * 9 + "zq"), 2: ("de", "Größe, Maß und Übung; " * 5), 3: (None, "short"), 4: ("fr", "x")}
