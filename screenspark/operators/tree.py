@@ -34,7 +34,7 @@ def ancestors(edges: DataFrame, on: str = "state_id") -> DataFrame:
         reach *= 2
 
 
-def _climb(at: DataFrame, on: str, carried: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+def climb(at: DataFrame, on: str, carried: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
     """Follows the pointer ``up`` of every row (on, elem_id, up, carried columns) to its end, by
     pointing each row where the row above points; ``carried`` joins a column with that of the
     row above (NULL where that row is missing).  Rows that have arrived are left alone."""
@@ -55,7 +55,7 @@ def _climb(at: DataFrame, on: str, carried: dict[str, Callable[[Column, Column],
 def depths(nodes: DataFrame, edges: DataFrame, on: str = "state_id") -> DataFrame:
     """(on, elem_id, depth): roots have depth 0; a node has one parent."""
     at = edges.where("parent_id is not null").select(on, "elem_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("depth"))
-    far = _climb(at, on, {"depth": lambda own, above: own + F.coalesce(above, F.lit(0))})
+    far = climb(at, on, {"depth": lambda own, above: own + F.coalesce(above, F.lit(0))})
     return nodes.select(on, "elem_id").join(far.select(on, "elem_id", "depth"), [on, "elem_id"], "left").select(on, "elem_id", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
 
 
@@ -76,7 +76,7 @@ def paths(nodes: DataFrame, edges: DataFrame, on: str = "state_id") -> DataFrame
     step = F.concat(F.lit("/"), F.col("visual_type"), F.lit("[@id='"), F.col("elem_id").cast("string"), F.lit("']"))
     above = edges.where("parent_id is not null").select(on, "elem_id", F.col("parent_id").alias("up"))
     at = nodes.select(on, "elem_id", step.alias("path")).join(above, [on, "elem_id"], "left")
-    return _climb(at, on, {"path": lambda own, above: F.concat(F.coalesce(above, F.lit("")), own)}).select(on, "elem_id", "path")
+    return climb(at, on, {"path": lambda own, above: F.concat(F.coalesce(above, F.lit("")), own)}).select(on, "elem_id", "path")
 
 
 def edits(draft: DataFrame, target: DataFrame, on: str = "state_id", fields: tuple[str, ...] = ("parent_id",)) -> DataFrame:
@@ -138,7 +138,7 @@ def apply_edits(nodes: DataFrame, changes: DataFrame, on: str = "state_id") -> D
     at = moved.join(stays, [on, "parent_id"], "left")
     # A pointer stops at a node that stays; otherwise it goes where that of the deleted node goes.
     at = at.select(on, "elem_id", F.when(F.col("stays").isNull(), F.col("parent_id")).alias("up"), F.when(F.col("stays"), F.col("parent_id")).alias("nearest"))
-    nearest = _climb(at, on, {"nearest": lambda own, above: F.coalesce(own, above)}).select(on, "elem_id", F.col("nearest").alias("parent_id"))
+    nearest = climb(at, on, {"nearest": lambda own, above: F.coalesce(own, above)}).select(on, "elem_id", F.col("nearest").alias("parent_id"))
     return moved.where("not gone").select(on, "elem_id", "role").join(nearest, [on, "elem_id"], "left")
 
 
@@ -151,7 +151,7 @@ def child_order(nodes: DataFrame, edges: DataFrame, on: str = "state_id", order:
     placed = nodes.join(above, [on, "elem_id"], "left")
     rank = F.row_number().over(Window.partitionBy(on, "parent_id").orderBy(*order))
     at = placed.select(on, "elem_id", F.col("parent_id").alias("up"), F.array(rank).alias("key"))
-    keyed = _climb(at, on, {"key": lambda own, above: F.concat(F.coalesce(above, F.array().cast("array<int>")), own)})
+    keyed = climb(at, on, {"key": lambda own, above: F.concat(F.coalesce(above, F.array().cast("array<int>")), own)})
     place = F.row_number().over(Window.partitionBy(on).orderBy("key", "elem_id")) - 1
     return keyed.select(on, "elem_id", (F.size("key") - 1).cast("long").alias("depth"), place.cast("long").alias("pre_order"))
 
