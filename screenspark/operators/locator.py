@@ -146,6 +146,20 @@ def lexical_score(said: Column, element: Column, cx: Column, cy: Column) -> Colu
     return name + F.when(blind, F.least(0.5 * kind, F.lit(1.0))).otherwise(kind)
 
 
+def understood(descriptions: DataFrame, elements: DataFrame, by: list[str]) -> DataFrame:
+    """(by, desc_id, said): descriptions taken apart, with the words for places that captions on
+    their screens have; each distinct one once."""
+    places = F.array(*[F.lit(w) for w in POSITION_WORDS])
+    tokens = F.concat(*[X.tokens(F.col(c)) for c in ("label", "text", "hint")])
+    spoken = elements.select(*by, F.explode(F.array_intersect(tokens, places)).alias("word"))
+    heard = spoken.groupBy(*by).agg(F.sort_array(F.collect_set("word")).alias("heard"))
+    asked = descriptions.select(*by, "desc_id", "description").join(heard, by, "left")
+    parsed = asked.select("description", "heard").distinct().withColumn("said", describe(F.col("description"), F.col("heard")))
+    parsed = parsed.select(F.col("description").alias("_description"), F.col("heard").alias("_heard"), "said")
+    same = (F.col("description") == F.col("_description")) & F.col("heard").eqNullSafe(F.col("_heard"))
+    return asked.join(parsed, same).select(*by, "desc_id", "said")
+
+
 def rank(descriptions: DataFrame, elements: DataFrame, on: str = "state_id", width: Column | None = None, height: Column | None = None, by: list[str] | None = None) -> DataFrame:
     """(desc_id, on, elem_id, score, place) of elements that score above 0, best first.  With
     ``by`` the columns that a description and the elements in question share."""
@@ -153,16 +167,8 @@ def rank(descriptions: DataFrame, elements: DataFrame, on: str = "state_id", wid
     cx, cy = G.relative_centre(G.box(), width, height) if width is not None else (F.lit(0.5), F.lit(0.5))
     fields = ("label", "text", "hint")
     named = elements.withColumns({f"{c}_tokens": X.tokens(F.col(c)) for c in fields}).withColumn("tokens", F.concat(*[f"{c}_tokens" for c in fields]))
-    places = F.array(*[F.lit(w) for w in POSITION_WORDS])
-    spoken = named.select(*by, F.explode(F.array_intersect("tokens", places)).alias("word"))
-    heard = spoken.groupBy(*by).agg(F.sort_array(F.collect_set("word")).alias("heard"))
-    asked = descriptions.select(*by, "desc_id", "description").join(heard, by, "left")
-    parsed = asked.select("description", "heard").distinct().withColumn("said", describe(F.col("description"), F.col("heard")))
-    parsed = parsed.select(F.col("description").alias("_description"), F.col("heard").alias("_heard"), "said")
-    same = (F.col("description") == F.col("_description")) & F.col("heard").eqNullSafe(F.col("_heard"))
-    said = asked.join(parsed, same).select(*by, "desc_id", "said")
     element = F.struct("role", "visual_type", "tokens", *[f"{c}_tokens" for c in fields])
-    scored = said.join(named, by).select("desc_id", *by, "elem_id", lexical_score(F.col("said"), element, cx, cy).alias("score")).where("score > 0")
+    scored = understood(descriptions, elements, by).join(named, by).select("desc_id", *by, "elem_id", lexical_score(F.col("said"), element, cx, cy).alias("score")).where("score > 0")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("desc_id", *by).orderBy(F.desc("score"), "elem_id")))
 
 
