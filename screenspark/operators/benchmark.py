@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from . import selection
 from .lineage import checkpoint
 
 
@@ -75,17 +76,32 @@ def counters(results: DataFrame, by: list[str]) -> DataFrame:
 def costs(results: DataFrame, by: list[str], latency: str = "latency") -> DataFrame:
     """Number, sum and mean of the costs, and the upper median (the larger of the two middle
     ones)."""
-    order = Window.partitionBy(*by).orderBy(latency)
-    placed = results.where(F.col(latency).isNotNull()).withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(*by))})
-    middle = F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col(latency)))
-    return placed.groupBy(*by).agg(F.count("*").alias("n"), F.sum(latency).alias("total"), F.avg(latency).alias("mean"), middle.alias("upper_median"))
-
-
-def first_ids(ids: Column, most: int = 8) -> Column:
-    """The first ids of a sorted list as a text, and how many more there are."""
-    more = F.size(ids) - most
-    shown = F.array_join(F.transform(F.slice(ids, 1, most), lambda i: i.cast("string")), ", ")
-    return F.when(more > 0, F.concat(shown, F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(shown)
+    placed = results.where(F.col(latency).isNotNull())
+    sums = placed.groupBy(*by).agg(F.sum(latency).alias("total"), F.avg(latency).alias("mean"))
+    return with_same(selection.upper_median(placed, by, latency), sums, by).select(*by, "n", "total", "mean", "upper_median")
+
+
+def with_same(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of both with equal keys, NULLs as well, once each key."""
+    on = reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in by], F.lit(True))
+    return left.join(right, on).select(*[left[c] for c in left.columns], *[right[c] for c in right.columns if c not in by])
+
+
+def wording_summary(results: DataFrame, by: list[str]) -> DataFrame:
+    """Of step results (kind, expect, found, hit, latency) by wording: shares of clicks that hit,
+    of checks that came out as expected, of all checks those that passed and shouldn't, of
+    present targets those found where they are, with the numbers that they are shares of; the
+    time in all and the upper median."""
+    act, ver = F.col("kind") == "action", F.col("kind") == "verify"
+    present = ver & (F.col("expect") == "PASSED")
+    correct = F.when(F.col("found"), "PASSED").otherwise("FAILED") == F.col("expect")
+    share = lambda test, base: F.round(F.try_divide(F.count_if(test & base).cast("double"), F.count_if(base)), 4)
+    rates = results.groupBy(*by).agg(
+        share(F.col("hit"), act).alias("action_hit_rate"), F.count_if(act).alias("actions"), share(correct, ver).alias("verify_accuracy"), F.count_if(ver).alias("verifies"),
+        share(F.col("found") & (F.col("expect") == "FAILED"), ver).alias("false_pass_rate"), share(F.col("hit"), present).alias("strict_present"), F.count_if(present).alias("present"), F.round(F.sum("latency"), 1).alias("seconds_total"),
+    )
+    middle = selection.upper_median(results, by, "latency").select(*by, F.round("upper_median", 4).alias("median_latency"))
+    return with_same(rates, middle, by)
 
 
 def latest(rows: DataFrame, key: list[str], version: str) -> DataFrame:

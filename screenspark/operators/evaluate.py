@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from . import greedy, spatial
+from . import greedy, selection, spatial
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -110,10 +112,13 @@ def summary(results: DataFrame, by: list[str]) -> DataFrame:
     ver = (F.col("kind") == "verify")
     rate = lambda test, base: F.try_divide(F.count_if(test & base).cast("double"), F.count_if(base))
     present, absent = rate(F.col("passed"), ver & ~neg), rate(~F.col("passed"), ver & neg)
-    return results.groupBy(*by).agg(
+    rates = results.groupBy(*by).agg(
         F.count("*").alias("steps"), rate(F.col("hit"), act).alias("click_rate"), present.alias("present_pass"), absent.alias("absent_fail"),
-        ((present + absent) / 2).alias("balanced"), F.count_if(ver & neg & F.col("passed")).alias("false_passes"), F.percentile("latency", 0.5).alias("median_latency"),
+        ((present + absent) / 2).alias("balanced"), F.count_if(ver & neg & F.col("passed")).alias("false_passes"),
     )
+    middle = selection.quantiles(results, by, "latency", {"median_latency": 0.5}).drop("n")
+    on = reduce(lambda a, b: a & b, [rates[c].eqNullSafe(middle[c]) for c in by], F.lit(True))
+    return rates.join(middle, on, "left").select(*[rates[c] for c in rates.columns], "median_latency")
 
 
 def similar_texts(pairs: DataFrame, least: float = 0.6) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import specs
 from ..functions import text as X
-from ..operators import benchmark, locator, steps
+from ..operators import benchmark, locator, selection, steps
 from ..streaming import wait
 from .metric_queries import _APPS, _RUNS, _runs, _steps
 from .registry import over, query
@@ -59,11 +59,39 @@ def step_costs(spark, sf):
     return df.select("executor", "event_type", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"), F.round("upper_median", 6).alias("upper_median"))
 
 
+_SHARE = "round(CAST(sum(CASE WHEN {test} AND {base} THEN 1 ELSE 0 END) AS DOUBLE) / nullif(sum(CASE WHEN {base} THEN 1 ELSE 0 END), 0), 4) AS {name}"
+_WORDED = f"""SELECT ['original', 'terse', 'wordy'][event_id % 3 + 1] AS variant, user_id, kind, CASE WHEN negative THEN 'FAILED' ELSE 'PASSED' END AS expect, ok AS found, ok AND user_id % 3 <> 0 AS hit, value FROM ({_STEP})"""
+
+
+@query(
+    "paraphrase_summary",
+    f"""SELECT variant, {_SHARE.format(test="hit", base="kind = 'action'", name="action_hit_rate")}, sum(CASE WHEN kind = 'action' THEN 1 ELSE 0 END) AS actions,
+      {_SHARE.format(test="(CASE WHEN found THEN 'PASSED' ELSE 'FAILED' END) = expect", base="kind = 'verify'", name="verify_accuracy")}, sum(CASE WHEN kind = 'verify' THEN 1 ELSE 0 END) AS verifies,
+      {_SHARE.format(test="found AND expect = 'FAILED'", base="kind = 'verify'", name="false_pass_rate")}, {_SHARE.format(test="hit", base="kind = 'verify' AND expect = 'PASSED'", name="strict_present")},
+      sum(CASE WHEN kind = 'verify' AND expect = 'PASSED' THEN 1 ELSE 0 END) AS present, round(sum(value), 1) AS seconds_total, round(max(CASE WHEN i = k // 2 + 1 THEN value END), 4) AS median_latency
+      FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY value) AS i, count(*) OVER (PARTITION BY variant) AS k FROM ({_WORDED})) GROUP BY variant""",
+)
+def paraphrase_summary(spark, sf):
+    rows = _results(spark, sf)
+    variant = F.array(*map(F.lit, ["original", "terse", "wordy"]))[(F.col("event_id") % 3).cast("int")]
+    worded = rows.select(variant.alias("variant"), "kind", F.when(F.col("negative"), "FAILED").otherwise("PASSED").alias("expect"), F.col("hit").alias("found"), (F.col("hit") & (F.col("user_id") % 3 != 0)).alias("hit"), "latency")
+    return benchmark.wording_summary(worded, ["variant"])
+
+
+@query(
+    "value_quantiles",
+    "SELECT user_id % 10 AS g, count(*) AS n, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY user_id % 10",
+)
+def value_quantiles(spark, sf):
+    rows = table(spark, sf, "events").select((F.col("user_id") % 10).alias("g"), "value")
+    got = selection.quantiles(rows, ["g"], "value", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    return got.select("g", "n", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p99")])
+
+
 @query("failed_steps", f"{_RUNS} SELECT app, CASE WHEN n > 8 THEN ids || ' and ' || CAST(n - 8 AS VARCHAR) || ' more' ELSE ids END AS ids FROM (SELECT app, count(*) AS n, string_agg(CAST(step AS VARCHAR), ', ' ORDER BY step) FILTER (WHERE k <= 8) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY app ORDER BY step) AS k FROM r WHERE NOT a) GROUP BY app)")
 def failed_steps(spark, sf):
     """A report names the first few; that limit is the feature."""
-    failed = _runs(spark, sf).where("not a").groupBy("app").agg(F.sort_array(F.collect_list("step")).alias("ids"))
-    return failed.select("app", benchmark.first_ids(F.col("ids")).alias("ids"))
+    return selection.first_ids(_runs(spark, sf).where("not a"), ["app"], "step").select("app", "ids")
 
 
 @query("latest_per_user", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")

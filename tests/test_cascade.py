@@ -17,7 +17,7 @@ def elements(spark):
 
 def test_reasons_and_checks(spark):
     asked = spark.createDataFrame(
-        [("a", 1, "save button"), ("b", 1, "delete"), ("c", 1, "savf button"), ("d", 1, "pagr 3"), ("e", 1, "savf button at the right"), ("f", 1, None), ("g", 9, "save"), ("h", 1, "the"), ("i", 1, "delete at the left")],
+        [("a", 1, "save button"), ("b", 1, "delete"), ("c", 1, "savf button"), ("d", 1, "page 3"), ("e", 1, "savf button at the right"), ("f", 1, None), ("g", 9, "save"), ("h", 1, "the"), ("i", 1, "delete at the left")],
         "step string, state_id int, description string",
     )
     w, h = F.lit(400), F.lit(200)
