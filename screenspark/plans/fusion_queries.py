@@ -194,3 +194,28 @@ def session_ages(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("s"))
     last = e.agg(F.max("s").alias("last"))
     return e.crossJoin(F.broadcast(last)).select("event_id", answers.relative_time(F.col("last") - F.col("s")).alias("age"))
+
+
+#: Of each screen an answer with its captions, in which brackets and quotes stand in texts; cut
+#: at another place for each caption.  The check knows where each item ends.
+_CUT = """, item AS (SELECT state_id, elem_id, '{"id": ' || CAST(elem_id AS VARCHAR) || ', "text": "[' || coalesce(text, '') || '\\\\\\"}, {", "at": [' || CAST(x1 AS VARCHAR) || ', ' || CAST(y1 AS VARCHAR) || ']}' AS j FROM captions),
+  placed AS (SELECT *, 11 + sum(length(j)) OVER w + 2 * (row_number() OVER w - 1) AS ends FROM item WINDOW w AS (PARTITION BY state_id ORDER BY elem_id)),
+  whole AS (SELECT state_id, '{"edits": [' || string_agg(j, ', ' ORDER BY elem_id) || '], "n": "]"}' AS a FROM item GROUP BY state_id),
+  cut AS (SELECT c.state_id, c.elem_id, w.a, 1 + (c.elem_id * 37 + c.state_id * 11) % length(w.a) AS n FROM captions c JOIN whole w ON w.state_id = c.state_id)"""
+
+
+@query(
+    "repaired_answers",
+    over(
+        f"""{_CUT} SELECT c.state_id, c.elem_id, CASE WHEN n = length(a) OR n < 11 THEN substring(a, 1, n) WHEN n >= max(p.ends) + 1 THEN substring(a, 1, CAST(max(p.ends) AS BIGINT) + 1) || '}}'
+        ELSE substring(a, 1, CAST(coalesce(max(CASE WHEN p.ends <= n THEN p.ends END), 11) AS BIGINT)) || ']}}' END AS repaired FROM cut c JOIN placed p ON p.state_id = c.state_id GROUP BY c.state_id, c.elem_id, a, n""",
+        "captions",
+    ),
+)
+def repaired_answers(spark, sf):
+    df = captions(spark, sf)
+    item = F.concat(F.lit('{"id": '), F.col("elem_id").cast("string"), F.lit(', "text": "['), F.coalesce("text", F.lit("")), F.lit('\\\\\\"}, {", "at": ['), F.col("x1").cast("string"), F.lit(", "), F.col("y1").cast("string"), F.lit("]}"))
+    listed = df.groupBy("state_id").agg(F.sort_array(F.collect_list(F.struct("elem_id", item.alias("j")))).alias("items"))
+    whole = listed.select("state_id", F.concat(F.lit('{"edits": ['), F.array_join(F.transform("items", lambda i: i["j"]), ", "), F.lit('], "n": "]"}')).alias("a"))
+    cut = df.select("state_id", "elem_id").join(whole, "state_id").withColumn("n", 1 + (F.col("elem_id") * 37 + F.col("state_id") * 11) % F.length("a"))
+    return cut.select("state_id", "elem_id", answers.repaired(F.substring("a", F.lit(1), F.col("n").cast("int"))).alias("repaired"))
