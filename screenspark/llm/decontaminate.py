@@ -43,6 +43,8 @@ BITS_A_BYTE, SIEVE_BITS = 32, 28
 #: Parts that a frequent gram is spread over (a passage has many), and a frequent passage or
 #: region.
 GRAM_SALTS, SALTS = 8, 64
+#: Bands aligned together, and a cost that no alignment has.
+BANDS, _FAR = 256, 1 << 29
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -81,21 +83,35 @@ def budget(size: int, percent: int = EDITS_PERCENT) -> int:
     return max(0, min(size * percent // 100, (size - Q) // Q))
 
 
-def edit_distance_within(passage: np.ndarray, text: np.ndarray, k: int) -> int | None:
-    """The least edits that make the passage a stretch of text, if at most k.  Rows of the
-    alignment run over the passage; its band covers the diagonals of the given text."""
-    if passage.tobytes() in text.tobytes():
-        return 0
-    n = len(text)
-    row, step = np.zeros(n + 1, np.int32), np.arange(n + 1, dtype=np.int32)
-    for i, c in enumerate(passage, 1):
-        best = np.empty(n + 1, np.int32)
-        best[0] = i
-        np.minimum(row[:-1] + (text != c), row[1:] + 1, out=best[1:])
-        row = np.minimum.accumulate(best - step) + step
-        if row.min() > k:
-            return None
-    return int(row.min()) if row.min() <= k else None
+def edits_in_bands(passage: np.ndarray, text: np.ndarray, k: int, low: np.ndarray, width: int) -> int | None:
+    """The least edits, at most k, of an alignment of the whole passage with a stretch of text
+    that keeps to one of the bands of diagonals ``low`` to ``low + width - 1`` (place in the
+    text less place in the passage).  Rows run over the passage; a band ends when it holds no
+    cell with at most k edits, so the work is that of the bands, not of the text."""
+    n, best = len(text), None
+    for part in range(0, len(low), BANDS):
+        diagonal = low[part : part + BANDS, None] + np.arange(width)
+        cost = np.where((diagonal >= 0) & (diagonal <= n), 0, _FAR).astype(np.int32)
+        step = np.arange(width, dtype=np.int32)
+        for i, c in enumerate(passage):
+            at = diagonal + i  # place in the text of the byte that meets this one
+            there = (at >= 0) & (at < n)
+            now = np.where(there, cost + (text[np.clip(at, 0, n - 1)] != c), _FAR)
+            np.minimum(now[:, :-1], np.where(at[:, :-1] + 1 >= 0, cost[:, 1:] + 1, _FAR), out=now[:, :-1])
+            now[at + 1 > n] = _FAR
+            cost = np.minimum.accumulate(now - step, axis=1) + step
+            cost[at + 1 > n] = _FAR
+            live = cost.min(axis=1) <= k
+            if not live.all():
+                diagonal, cost = diagonal[live], cost[live]
+                if not len(cost):
+                    break
+        if len(cost):
+            found = int(cost.min())
+            best, k = found, found - 1
+            if k < 0:
+                break
+    return best
 
 
 @dataclass(frozen=True)
@@ -293,22 +309,15 @@ def edits_of(passage: np.ndarray, text: np.ndarray, k: int) -> int | None:
     many = end - first
     p = np.repeat(np.arange(len(g)), many)
     run = np.repeat(first - (many.cumsum() - many), many) + np.arange(int(many.sum()))
-    inside = np.zeros(len(text) + 1, np.int64)
+    # An alignment with k edits keeps to k + 1 diagonals next to each other, which some band
+    # holds, and so do all the grams that it shares.
+    full = []
     for shift in (0, 1):
         band = lambda diagonal: (diagonal + m + shift * half) // (2 * half)  # noqa: B023, E731
         size = (len(text) + m) // (2 * half) + 3
         count = (np.bincount(band(p - high[run]), minlength=size) - np.bincount(band(p - low[run]) + 1, minlength=size)[:size]).cumsum()
-        full = np.flatnonzero(count >= need)
-        at = full * 2 * half - shift * half - m  # least diagonal of the band
-        np.add.at(inside, np.clip(at - k, 0, len(text)), 1)
-        np.add.at(inside, np.clip(at + 2 * half + m + k, 0, len(text)), -1)
-    covered = inside.cumsum() > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-    best = None
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        edits = edit_distance_within(passage, text[a:b], k if best is None else best - 1)
-        best = best if edits is None else edits
-    return best
+        full.append(np.flatnonzero(count >= need) * 2 * half - shift * half - m)  # least diagonal of the band
+    return edits_in_bands(passage, text, k, np.concatenate(full), 2 * half)
 
 
 def _salted(df: DataFrame, salts: int) -> DataFrame:

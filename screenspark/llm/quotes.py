@@ -16,8 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators import tours
 from .common import checkpoint
 
 _MARKS = r"^[ \t]*(?:>[ \t]*)+"
@@ -96,20 +96,25 @@ def replies(found: DataFrame) -> DataFrame:
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent_turn, root_turn, depth, path) by doubling the pointers until all of
-    them reach a message that replies to nothing; path: the turns from below the root to it."""
-    at = checkpoint(parents.select("conv_id", "turn", "parent_turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth"), F.array("turn").alias("path")))
+    """(conv_id, turn, parent_turn, root_turn, depth) by doubling the pointers until all of them
+    reach a message that replies to nothing."""
+    at = checkpoint(parents.select("conv_id", "turn", "parent_turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth")))
     while True:
-        up = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("above"), F.col("depth").alias("more"), F.col("path").alias("before"))
+        up = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("above"), F.col("depth").alias("more"))
         step = at.join(up, ["conv_id", "root_turn"], "left")
         if step.where("above is not null").isEmpty():
             return at
-        at = checkpoint(
-            step.select(
-                "conv_id", "turn", "parent_turn", F.coalesce("above", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"),
-            )
-        )
+        at = checkpoint(step.select("conv_id", "turn", "parent_turn", F.coalesce("above", "root_turn").alias("root_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+
+
+def places(threads: DataFrame) -> DataFrame:
+    """(conv_id, turn, reply_pos) of the replies: a thread is a tree, and a tour of it gives the
+    places without a path for each message."""
+    thread = F.struct("conv_id", "root_turn").alias("thread")
+    edges = threads.select(thread, F.col("turn").alias("elem_id"), F.col("parent_turn").alias("parent_id"))
+    tops = threads.select(thread, F.col("root_turn").alias("elem_id")).distinct()
+    placed = tours.tour(edges.select("thread", "elem_id").union(tops), edges, "thread", [F.col("elem_id")])
+    return placed.where("depth > 0").select("thread.conv_id", F.col("elem_id").alias("turn"), F.col("pre_order").alias("reply_pos"))
 
 
 def reply_order(messages: DataFrame) -> DataFrame:
@@ -121,17 +126,15 @@ def reply_order(messages: DataFrame) -> DataFrame:
     found = links(parsed)
     threads = roots(replies(found))
     linked = found.groupBy("conv_id", "turn").agg(F.count("*").cast("long").alias("n_links"))
-    path = F.coalesce("path", F.array().cast(f"array<{messages.schema['turn'].dataType.simpleString()}>"))
     rows = (
-        parsed.join(threads, ["conv_id", "turn"], "left")
+        parsed.join(threads.join(places(threads), ["conv_id", "turn"]), ["conv_id", "turn"], "left")
         .join(linked, ["conv_id", "turn"], "left")
-        .withColumns({"root_turn": F.coalesce("root_turn", "turn"), "path": path})
+        .withColumn("root_turn", F.coalesce("root_turn", "turn"))
     )
-    place = F.dense_rank().over(Window.partitionBy("conv_id", "root_turn").orderBy("path")) - 1
     return rows.select(
         "conv_id", "turn", "role", "text", "parent_turn", "root_turn",
         F.coalesce("depth", F.lit(0)).alias("depth"),
-        place.cast("long").alias("reply_pos"),
+        F.coalesce("reply_pos", F.lit(0)).cast("long").alias("reply_pos"),
         F.size("quotes").cast("long").alias("n_quotes"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )

@@ -115,15 +115,6 @@ def test_query_of_quality_rules(spark):
     assert held[held.quality == 1].kept.mean() > 0.9 and held[held.quality == 0].kept.mean() < 0.35
 
 
-def test_path_lengths_match_a_plain_walk():
-    """The isolation forest's scores against trees walked one row at a time."""
-    rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(size=(400, 2)), [[8.0, 8.0]]])
-    forest = M.IsolationForest(trees=30).fit(x)
-    score = forest.score(x)
-    assert score.argmax() == 400 and score[400] > 1.2 * np.median(score)
-
-
 def test_scores_of_odd_rows(spark):
     docs, labels = tables(spark)
     odd = docs_of(spark, [*enumerate(ODD), (None, None), (3, "again")])
@@ -328,6 +319,15 @@ def test_quotes_of_a_large_thread_and_a_long_text(spark):
     assert len(got) == len(rows) and (c.reply_pos == c.turn).all() and (c.depth == (c.turn > 0)).all() and (d.reply_pos == d.turn).all() and (d.depth == d.turn).all()
 
 
+def test_a_chain_of_2000_replies(spark):
+    """No row grows with the depth of a thread; messages of no conversation meet nobody."""
+    rows = spark.range(2_000).select(F.lit("c").alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("> line "), (F.col("id") - 1).cast("string"), F.lit("\nline "), F.col("id").cast("string")).alias("text"))
+    lost = spark.range(20_000).select(F.lit(None).cast("string").alias("conv_id"), (F.col("id") % 3).alias("turn"), F.lit("u").alias("role"), F.lit("> line 1\nlost").alias("text"))
+    got = Q.reply_order(rows.union(lost))
+    assert got.where("conv_id = 'c' and reply_pos = turn and depth = turn and root_turn = 0").count() == 2_000
+    assert got.where("conv_id is null and reply_pos = 0 and depth = 0 and root_turn = turn and n_links = 0").count() == 20_000
+
+
 def test_reply_order_matches_its_sql(spark):
     import duckdb
 
@@ -371,6 +371,44 @@ def brute_edits(passage, text):
     return min(prev)
 
 
+@pytest.mark.parametrize("bands", [256, 1])
+def test_bands_find_the_least_edits(monkeypatch, bands):
+    """Passages with edits at all places, at the ends of a text and twice in it, of few letters,
+    so that many bands are full."""
+    monkeypatch.setattr(D, "BANDS", bands)
+    rng = random.Random(bands)
+    found = 0
+    for _ in range(250):
+        letters = rng.choice(["ab", "abcdefgh "])
+        passage = "".join(rng.choice(letters) for _ in range(rng.randint(30, 90)))
+        copy = list(passage)
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randrange(len(copy))
+            copy[k : k + 1] = rng.choice([[], [rng.choice(letters)], [copy[k], rng.choice(letters)]])
+        around = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 40, 300]))) for _ in range(3)]
+        text = around[0] + "".join(copy) + around[1] + rng.choice(["", "".join(copy)]) + around[2]
+        raw = [np.frombuffer(x.encode(), np.uint8) for x in (passage, text)]
+        k = D.budget(len(passage))
+        want = brute_edits(passage, text)
+        assert D.edits_of(*raw, k) == (want if want <= k else None)
+        found += want <= k and want > 0
+    assert found > 20
+
+
+def test_a_passage_in_a_long_region_is_quick():
+    import time
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    passage = " ".join(rng.choice(words) for _ in range(280))
+    copy = passage[:500] + "x" + passage[520:]
+    text = " ".join(rng.choice(words) for _ in range(30_000)) + " " + copy + " " + " ".join(rng.choice(words) for _ in range(30_000))
+    raw = [np.frombuffer(x.encode(), np.uint8) for x in (passage, text)]
+    began = time.perf_counter()
+    assert D.edits_of(*raw, D.budget(len(passage))) == 20
+    assert time.perf_counter() - began < 3
+
+
 def clean_bytes(text):
     raw = np.frombuffer((text or "").encode(), np.uint8)
     return D.normal(raw, np.array([0, len(raw)]))[0].tobytes()
