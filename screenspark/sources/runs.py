@@ -77,16 +77,17 @@ def _unescaped(c):
     return c
 
 
-def read_sessions(spark: SparkSession, path: str, limit: int = 200) -> DataFrame:
+def read_sessions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """(id, timestamp, element_count, window_title, capture_source, detector, width, height) of
-    session folders that hold a result, newest name first; the limit is the feature.  A session
+    session folders that hold a result, newest name first; with a limit that many.  A session
     without a readable note of its capture has nulls."""
     schema = "timestamp string, element_count long, window_title string, capture_source string, detector string, cv_stats struct<detector: string>, image_size struct<width: int, height: int>"
     results = spark.read.format("binaryFile").option("pathGlobFilter", "dom_result.json").option("recursiveFileLookup", True).load(path)
     have = results.select(F.try_element_at(F.split("path", "/"), F.lit(-2)).alias("id")).distinct()
     notes = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "session_info.json").schema(schema).json(path).withColumn("id", folder())
     info = notes.select("id", "timestamp", "element_count", "window_title", "capture_source", F.coalesce("cv_stats.detector", "detector").alias("detector"), "image_size.width", "image_size.height")
-    return have.join(info, "id", "left").orderBy(F.desc("id")).limit(limit)
+    rows = have.join(info, "id", "left").orderBy(F.desc("id"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def session_view(screens: DataFrame, on: str = "state_id") -> DataFrame:
