@@ -87,6 +87,28 @@ def slices(df: DataFrame, parts: Column) -> DataFrame:
     )
 
 
+def groups(leaves: DataFrame, by: list[str], tolerance: int = 10) -> DataFrame:
+    """(by, kind, n, members): rows and columns of two or more of the leaves with one parent, and
+    grids: two or more rows that stand in the same two or more columns, one leaf in each.
+
+    A row meets columns as a set; rows with one set are a grid, by an equality of sets, so
+    rows need not be compared with each other.  Members of a row are from left to right, those
+    of a column from top to bottom, those of a grid row by row.  A leaf is in one row, one
+    column and one grid at most."""
+    placed = rows(rows(leaves, by, tolerance), by, tolerance, columns=True)
+    cx, cy = F.floor(G.centre_x(G.box())), F.floor(G.centre_y(G.box()))
+    names = lambda c: F.transform(F.sort_array(c), lambda m: m["id"])
+    across, down = F.collect_list(F.struct(cx.alias("at"), F.col("elem_id").alias("id"))), F.collect_list(F.struct(cy.alias("at"), F.col("elem_id").alias("id")))
+    in_rows = placed.groupBy(*by, "row_id").agg(across.alias("met"), F.sort_array(F.collect_set("column_id")).alias("columns"))
+    kind = lambda df, name, members: df.select(*by, F.lit(name).alias("kind"), F.size(members).alias("n"), members.alias("members")).where("n >= 2")
+    found_rows = kind(in_rows, "row", names(F.col("met")))
+    found_columns = kind(placed.groupBy(*by, "column_id").agg(down.alias("met")), "column", names(F.col("met")))
+    full = in_rows.where((F.size("columns") >= 2) & (F.size("columns") == F.size("met")))
+    blocks = full.groupBy(*by, "columns").agg(F.sort_array(F.collect_list(F.struct("row_id", names(F.col("met")).alias("ids")))).alias("rows")).where("size(rows) >= 2")
+    grids = kind(blocks, "grid", F.flatten(F.transform("rows", lambda r: r["ids"])))
+    return found_rows.unionByName(found_columns).unionByName(grids)
+
+
 def tree_order(df: DataFrame, edges: DataFrame, on: str = "state_id") -> DataFrame:
     """Adds ``reading_pos`` from 0: the children of every node in reading order, each followed by
     what it holds, so a container is never mixed with its neighbours."""

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import elements, layout
+from ..operators import elements, layout, tree
 from .registry import over, query
+from .spatial_queries import EDGES, smallest_parents
 from .views import boxes, captions
 
 _CY = "(y1+y2)/2.0"
@@ -119,3 +120,31 @@ def limit_text_first(spark, sf):
 def merge_group(spark, sf):
     df = captions(spark, sf).withColumn("interactable", F.col("visual_type") != "text")
     return elements.merge_group(["state_id", "hint"], df).drop("interactable")
+
+
+def _chained(axis: str, name: str) -> str:
+    c = f"floor(({axis}1+{axis}2)/2.0)"
+    return f"""SELECT *, sum(start_{name}) OVER (PARTITION BY state_id, pid ORDER BY {c}, elem_id ROWS UNBOUNDED PRECEDING) AS {name}"""
+
+
+def _starts(axis: str, name: str) -> str:
+    c = f"floor(({axis}1+{axis}2)/2.0)"
+    return f"CASE WHEN {c} - lag({c}) OVER (PARTITION BY state_id, pid ORDER BY {c}, elem_id) <= 10 THEN 0 ELSE 1 END AS start_{name}"
+
+
+@query(
+    "layout_groups",
+    over(f"""{EDGES}, leaf AS (SELECT b.*, coalesce(e.parent_id, 0) AS pid FROM boxes b LEFT JOIN edges e ON e.state_id = b.state_id AND e.elem_id = b.elem_id WHERE NOT EXISTS (SELECT 1 FROM edges p WHERE p.state_id = b.state_id AND p.parent_id = b.elem_id)),
+      r AS ({_chained("y", "row_id")} FROM (SELECT *, {_starts("y", "row_id")} FROM leaf)), c AS ({_chained("x", "column_id")} FROM (SELECT *, {_starts("x", "column_id")} FROM r)),
+      p AS (SELECT *, floor((x1+x2)/2.0) AS cx, floor((y1+y2)/2.0) AS cy FROM c),
+      met AS (SELECT state_id, pid, row_id, count(*) AS n, count(DISTINCT column_id) AS k, array_to_string(list_sort(list(DISTINCT column_id)), ',') AS cols, string_agg(CAST(elem_id AS VARCHAR), ',' ORDER BY cx, elem_id) AS ids FROM p GROUP BY state_id, pid, row_id)
+      SELECT state_id, pid AS parent_id, 'row' AS kind, n, ids AS members FROM met WHERE n >= 2
+      UNION ALL SELECT state_id, pid, 'column', count(*), string_agg(CAST(elem_id AS VARCHAR), ',' ORDER BY cy, elem_id) FROM p GROUP BY state_id, pid, column_id HAVING count(*) >= 2
+      UNION ALL SELECT state_id, pid, 'grid', sum(n), string_agg(ids, ',' ORDER BY row_id) FROM met WHERE k >= 2 AND k = n GROUP BY state_id, pid, cols HAVING count(*) >= 2"""),
+)
+def layout_groups(spark, sf):
+    """Rows, columns and grids of the leaves with one parent; 0 stands for the root."""
+    df, edges = boxes(spark, sf), smallest_parents(spark, sf)
+    leaves = tree.leaves(df, edges).join(edges.select("state_id", "elem_id", "parent_id"), ["state_id", "elem_id"], "left").withColumn("parent_id", F.coalesce("parent_id", F.lit(0)))
+    found = layout.groups(leaves, ["state_id", "parent_id"])
+    return found.withColumn("members", F.array_join(F.transform("members", lambda m: m.cast("string")), ","))
