@@ -108,9 +108,15 @@ def probes(docs: DataFrame, windows: R.Windows, ranges: int, bits: int) -> DataF
 
 def hits(probes: DataFrame) -> DataFrame:
     """(__bucket, hits): of each bucket the windows that are a block of the grid in some
-    document, and occur at another place besides."""
+    document, and occur at another place besides.  Ranges are unpacked one at a time, however
+    many of them a task gets together."""
 
-    def one(part: pa.Table) -> pa.RecordBatch:
+    def one(part: pa.Table) -> pa.RecordBatch | None:
+        at = np.append(np.flatnonzero(R._starts(part.column("__range").to_numpy())), part.num_rows).tolist()
+        found = pa.Table.from_batches([of_range(part.slice(a, b - a)) for a, b in zip(at, at[1:], strict=False)]).combine_chunks().to_batches()
+        return found[0] if found else None
+
+    def of_range(part: pa.Table) -> pa.RecordBatch:
         grams = [_unpacked(raw) for raw in part.column("grams").to_pylist()]
         size = np.array([len(g) for g in grams])
         unflag = lambda name: np.concatenate([_unflagged(raw, n) for raw, n in zip(part.column(name).to_pylist(), size.tolist(), strict=True)])
