@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def json_object(answer: Column) -> Column:
@@ -32,46 +36,54 @@ def yes_or_no(answer: Column) -> Column:
     return F.when(word == "yes", "PASSED").when(word == "no", "FAILED")
 
 
-def repaired(answer: Column) -> Column:
+#: A string, which may be cut off, or a mark outside of strings.
+_MARK = re.compile(r'"(?:[^"\\]+|\\.)*+(?P<end>")?|[\[\]{},]', re.DOTALL)
+
+
+def _made_whole(answer: str) -> str:
+    open_, depth, over, cut, closing = [], 0, False, 0, ""
+    for m in _MARK.finditer(answer):
+        mark = m[0]
+        if mark[0] == '"':
+            if m["end"] is None:
+                break  # an open string is the last mark
+            continue
+        at = m.end()
+        if mark in "[{":
+            open_.append("]" if mark == "[" else "}")
+            if mark == "{" or depth:
+                continue
+            depth = len(open_)
+        elif over or not depth:
+            if mark != "," and open_:
+                open_.pop()
+            continue
+        elif mark == ",":
+            if len(open_) != depth:
+                continue
+            at = m.start()
+        else:
+            if open_:
+                open_.pop()
+            over = len(open_) == depth - 1
+            if not over and len(open_) != depth:
+                continue
+        cut, closing = at, "".join(reversed(open_))
+    else:
+        if not open_:
+            return answer
+    return answer[:cut] + closing if depth else answer
+
+
+@F.arrow_udf(T.StringType())
+def repaired(answer: pa.Array) -> pa.Array:
     """JSON that was cut off, made whole: of the first list in it the items that are complete,
     and closing brackets for all that is open.  What comes after the list stays only if the text
     is whole; a text without a list, or one that is whole, stays as it is.
 
-    One fold over the text's brackets, quotes, commas and the runs between them carries the
-    stack of open brackets (as the text that closes them), whether it is inside a string or
-    after a backslash, and the last place where an item or the list ended."""
-    tokens = F.regexp_extract_all(answer, F.lit(r'[\\"\[\]{},]|[^\\"\[\]{},]+'), F.lit(0))
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit("").alias("open"),
-        F.lit(0).alias("list"), F.lit(False).alias("over"), F.lit(0).alias("cut"), F.lit("").alias("closing"),
-    )
-
-    def step(s: Column, t: Column) -> Column:
-        at = s["at"] + F.length(t)
-        plain = ~s["quoted"]
-        opens, closes = plain & t.isin("[", "{"), plain & t.isin("]", "}")
-        stack = F.when(opens, F.concat(F.when(t == "[", "]").otherwise("}"), s["open"])).when(closes, F.substring(s["open"], 2, 1_000_000)).otherwise(s["open"])
-        begins = opens & (t == "[") & (s["list"] == 0)
-        depth = F.when(begins, F.length(stack)).otherwise(s["list"])
-        inside = (depth > 0) & ~s["over"]
-        ended = inside & closes & (F.length(stack) == depth)  # an item with brackets
-        comma = inside & plain & (t == ",") & (F.length(stack) == depth)  # an item without
-        closed = inside & closes & (F.length(stack) == depth - 1)
-        here = begins | ended | comma | closed
-        return F.struct(
-            at.alias("at"),
-            F.when((t == '"') & ~s["escaped"], plain).otherwise(s["quoted"]).alias("quoted"),
-            (s["quoted"] & (t == "\\") & ~s["escaped"]).alias("escaped"),
-            stack.alias("open"),
-            depth.alias("list"),
-            (s["over"] | closed).alias("over"),
-            F.when(comma, s["at"]).when(here, at).otherwise(s["cut"]).alias("cut"),
-            F.when(here, stack).otherwise(s["closing"]).alias("closing"),
-        )
-
-    whole = lambda s: (s["open"] == "") & ~s["quoted"]
-    told = F.aggregate(tokens, start, step, lambda s: F.struct((whole(s) | (s["list"] == 0)).alias("keep"), s["cut"].alias("cut"), s["closing"].alias("closing")))
-    return F.when(told["keep"], answer).otherwise(F.concat(F.substring(answer, F.lit(1), told["cut"]), told["closing"]))
+    One walk over the text's brackets, commas and strings keeps the stack of open brackets (as
+    what closes them) and the last place where an item or the list ended."""
+    return pa.array([None if a is None else _made_whole(a) for a in answer.to_pylist()], pa.string())
 
 
 def suggestions(answer: Column, fields: str) -> Column:

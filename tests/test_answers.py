@@ -1,6 +1,7 @@
 """Answers of models that were cut off."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +58,12 @@ def test_suggestions_of_cut_answers(spark):
 def test_long_texts(spark):
     text = "[" + ", ".join('{"t": "' + "\\\\" * 3000 + '"}' for _ in range(20))
     assert len(json.loads(spark.createDataFrame([(text[:-1],)], "t string").select(A.repaired(F.col("t"))).first()[0])) == 19
+
+
+def test_repair_keeps_pace(spark):
+    """A thousand answers of 200 items; the fold over all marks took minutes."""
+    item = '{"id": 1, "at": [1, 2, [3, {"x": []}]], "t": "a, [b"}'
+    rows = spark.range(1000).select(F.lit("[" + ", ".join([item] * 200)).alias("t"), F.col("id"))
+    began = time.monotonic()
+    got = rows.select(F.length(A.repaired(F.expr("substring(t, 1, cast(length(t) - id % 7 as int))"))).alias("n")).distinct().count()
+    assert got == 2 and time.monotonic() - began < 30
