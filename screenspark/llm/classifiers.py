@@ -1,7 +1,9 @@
 """Operators 1, 4 and 8: toxicity, quality and the quality rules.
 
 All three score whole texts in one scan without a shuffle.  A model is fitted on a bounded
-sample of labelled rows (``sample_rows``); its arrays are small and travel with the task.
+sample of labelled rows (``sample_rows``); its arrays are small and travel with the task.  The
+thresholds of operator 8 come from all labelled rows, in a scan of their own; there every row
+of a doc_id counts.
 Nulls: a null text scores as an empty one; a null doc_id keeps its row and is never a
 training row.  Of several labels of one doc_id the largest counts, of several texts the least;
 repeated rows each have their row.  Other columns are ignored, or kept whatever their names; an
@@ -108,6 +110,8 @@ def base_failed(counts: np.ndarray, least_words: int = 50, repeat_percent: int =
     return (counts[:, 0] < least_words) | (100 * counts[:, 4] > repeat_percent * counts[:, 0])
 
 
+#: Places of the grid that scores, which lie between 0 and 1, are counted on.
+CUTS = 4096
 #: Columns of ``rule_ratios`` that each forest of the rules splits on.
 VIEWS = {"symbols": [1], "words": [0], "lines": [2, 3], "repeats": [4], "all": [0, 1, 2, 3, 4]}
 
@@ -119,21 +123,30 @@ class RuleForests:
         self.forests = {name: IsolationForest(trees=trees) for name in VIEWS}
         self.limits = dict.fromkeys(VIEWS, np.inf)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, keep_share: float, least_gain: float) -> RuleForests:
+    def grow(self, x: np.ndarray) -> RuleForests:
+        """Trees of each view; a tree draws its few rows from those given, as the method does."""
         for name, columns in VIEWS.items():
-            s = self.forests[name].fit(x[:, columns]).score(x[:, columns])
-            if not (y == 1).any() or not (y == 0).any():
+            self.forests[name].fit(x[:, columns])
+        return self
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """The place of each row's score on the grid of CUTS, a column a view."""
+        scores = [self.forests[name].score(x[:, columns]) for name, columns in VIEWS.items()]
+        return np.minimum(np.stack(scores, axis=1) * CUTS, CUTS - 1).astype(np.int32)
+
+    def limit(self, good: np.ndarray, bad: np.ndarray, keep_share: float, least_gain: float) -> RuleForests:
+        """Thresholds from how many good and bad rows score at each place (a row a view)."""
+        for name, g, b in zip(VIEWS, good.cumsum(axis=1), bad.cumsum(axis=1), strict=True):
+            if not g[-1] or not b[-1]:
                 continue
             # Only cuts that keep this share of the good rows; of those the best balance.
-            cuts = np.unique(s)
-            good, bad = np.sort(s[y == 1]), np.sort(s[y == 0])
-            kept = np.searchsorted(good, cuts, "right") / len(good)
-            caught = 1 - np.searchsorted(bad, cuts, "right") / len(bad)
-            gain = np.where(kept >= keep_share, kept + caught - 1, -1.0)
+            kept = g / g[-1]
+            gain = np.where(kept >= keep_share, kept - b / b[-1], -1.0)
             if gain.max() >= least_gain:
-                best = int(gain.argmax())
-                above = cuts[cuts > cuts[best]]
-                self.limits[name] = float((cuts[best] + above[0]) / 2) if len(above) else float(cuts[best])
+                # In the middle of the places that cut alike.
+                best = np.flatnonzero(gain == gain.max())
+                alike = best[: 1 + int(np.argmax(np.append(np.diff(best), 2) > 1))]
+                self.limits[name] = float(alike[0] + 1 + alike[-1] + 1) / 2 / CUTS
         return self
 
     def anomaly(self, x: np.ndarray) -> np.ndarray:
@@ -148,13 +161,37 @@ class RuleForests:
 def fit_rules(
     docs: DataFrame, labels: DataFrame, use: Column | None = None, sample_rows: int = SAMPLE_ROWS, keep_share: float = 0.998, least_gain: float = 0.05
 ) -> RuleForests:
-    """Forests over the labelled rows that pass the base rules.  A view's threshold is the cut
-    with the best balanced accuracy among those that keep ``keep_share`` of the good rows; a
-    view that gains less than ``least_gain`` is not used, nor is any without labels."""
+    """Forests over the labelled rows that pass the base rules: trees from at most
+    ``sample_rows`` of them, thresholds from all.  A view's threshold is the cut with the best
+    balanced accuracy among those that keep ``keep_share`` of the good rows; a view that gains
+    less than ``least_gain`` is not used, nor is any without labels."""
     use = use if use is not None else F.lit(True)
-    counts, y = sampled_features(labelled_sample(docs, labels, "quality", use, sample_rows), X.rule_counts, len(X.RULES))
-    passed = ~base_failed(counts)
-    return RuleForests().fit(rule_ratios(counts[passed]), y[passed], keep_share, least_gain)
+    counts, _ = sampled_features(labelled_sample(docs, labels, "quality", use, sample_rows), X.rule_counts, len(X.RULES))
+    forests = RuleForests().grow(rule_ratios(counts[~base_failed(counts)]))
+    return forests.limit(*placed_labels(docs, labels, use, forests), keep_share, least_gain)
+
+
+def placed_labels(docs: DataFrame, labels: DataFrame, use: Column, forests: RuleForests) -> tuple[np.ndarray, np.ndarray]:
+    """How many good and bad rows score at each place of the grid, a row a view: of every
+    labelled text that passes the base rules.  The texts are scored where they are; ids and
+    places meet the labels, and CUTS counts a view at most come back."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = X.rule_counts(batch.column("text"))
+        passed = ~base_failed(counts)
+        at = forests.places(rule_ratios(counts[passed]))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(passed)).cast(pa.int64()), *map(pa.array, at.T)], ["doc_id", *VIEWS])
+
+    known = labels.select("doc_id", F.col("quality").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & use)
+    known = known.groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
+    schema = "doc_id long, " + ", ".join(f"`{v}` int" for v in VIEWS)
+    met = map_batches(docs.select("doc_id", "text").where("doc_id is not null"), one, schema).join(known, "doc_id")
+    each = met.select("y", F.posexplode(F.array(*[F.col(v) for v in VIEWS])).alias("view", "place")).groupBy("y", "view", "place").agg(F.count("*").alias("n"))
+    good, bad = np.zeros((len(VIEWS), CUTS), np.int64), np.zeros((len(VIEWS), CUTS), np.int64)
+    for row in each.collect():
+        if row["y"] in (0, 1):
+            (good if row["y"] == 1 else bad)[row["view"], row["place"]] = row["n"]
+    return good, bad
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -132,3 +132,15 @@ def test_very_long_texts_have_scores(spark):
         assert {i: got[i] for i in short} == pytest.approx(short)
     rules = {r.doc_id: r for r in C.quality_rules(both, labels).where("doc_id < 0").collect()}
     assert rules[-1].n_words == 144_000 and rules[-1].base_failed and rules[-2].word_chars == 700_000
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    """Trees may be drawn from a few rows; the thresholds count every one, so the good rows that
+    are kept are that share of all of them."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    forests = C.fit_rules(docs, labels, sample_rows=60)
+    good, bad = C.placed_labels(docs, labels, F.lit(True), forests)
+    known = C.quality_rules(docs, labels, sample_rows=60).join(labels, "doc_id").where("not base_failed and quality is not null")
+    n = {r["quality"]: (r["n"], r["kept"]) for r in known.groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert [sorted(set(c.sum(axis=1).tolist())) for c in (good, bad)] == [[n[1][0]], [n[0][0]]] and n[1][0] > 60
+    assert n[1][1] >= 0.98 * n[1][0]
