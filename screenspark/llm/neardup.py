@@ -332,20 +332,50 @@ def looked_up(rows: DataFrame, key: str, other: str, values: DataFrame) -> DataF
     return salted.join(spread(values.join(salts, key)), [key, "salt"], "left").drop("salt")
 
 
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One step on edges (u, v, changed), v any other node (large) or a lesser one.  The least
+    of a node and its neighbours takes over the neighbours above the node (large), or all of
+    them and the node itself (small).  The rows of a node come in order, least neighbour first,
+    so a task holds one batch of them; ``changed`` tells of rows that were not so before."""
+
+    def run(batches):
+        node, least, seen = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, v = (batch.column(c).to_numpy() for c in ("u", "v"))
+            changed = batch.column("changed").to_numpy(zero_copy_only=False)
+            new = R._starts(u, v)
+            new[0] = (u[0], v[0]) != (node, seen)
+            head = R._starts(u)
+            first = v[np.flatnonzero(head)]
+            if u[0] == node:
+                first[0] = least
+            m = first[head.cumsum() - 1]
+            node, least, seen = u[-1], m[-1], v[-1]
+            if large:
+                m = np.minimum(u, m)
+                keep, child, changed = new & (v > u), v, changed | (m != u)
+            else:
+                keep, child, changed = new, np.where(v == m, u, v), changed | (v != m)
+            yield pa.RecordBatch.from_arrays([pa.array(child[keep]), pa.array(m[keep]), pa.array(changed[keep])], ["u", "v", "changed"])
+
+    ordered = edges.repartition("u").sortWithinPartitions("u", "v", F.desc("changed"))
+    return ordered.mapInArrow(run, "u long, v long, changed boolean")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of the component of every node of edges (a, b).  Each
-    round takes the least label of the neighbours, then the label of that label."""
-    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    at = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    round hangs nodes on the least of their neighbours, from above and then from below (large
+    and small stars), until all edges lead to the least node of their component."""
+    lesser, other = F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")
+    at = edges.where("a <> b").select(other, lesser, F.lit(False).alias("changed"))
     while True:
-        names = at.select(F.col("node").alias("b"), F.col("label").alias("other"))
-        around = looked_up(both, "b", "a", names).groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        lower = at.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        jump = at.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        step = checkpoint(looked_up(lower, "label", "node", jump).select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
-        at = step.select("node", "label")
-        if step.where("old <> label").isEmpty():
-            return at
+        both = at.withColumn("changed", F.lit(False)).unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(False).alias("changed")))
+        at = checkpoint(_star(_star(both, True), False))
+        if at.where("changed").isEmpty():
+            lone = at.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
+            return lone.unionByName(lone.select(F.col("label").alias("node"), "label").distinct())
 
 
 def mixed(live: DataFrame, labels: DataFrame) -> DataFrame:
@@ -360,12 +390,14 @@ def mixed(live: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def joined_by_hubs(docs: DataFrame, live: DataFrame, links: DataFrame, where: DataFrame, rank: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(links, mixed rows): in groups with many pairs of different labels, one node beside the
+    """(links of nodes to their labels, mixed rows): in groups with many pairs of different labels, one node beside the
     main label is verified with all others, and labels are made anew, as long as that halves
     the pairs that are left in such groups."""
     before = None
     while True:
-        rows = checkpoint(mixed(live, components(links)))
+        labels = components(links)
+        links = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+        rows = checkpoint(mixed(live, labels))
         crowded = rows.where(F.col("rows") * F.col("others") > HUB_PAIRS)
         pairs = crowded.agg(F.sum("others")).first()[0] or 0
         if not pairs or (before is not None and 2 * pairs > before):

@@ -161,3 +161,14 @@ def test_one_of_each_with_null_and_repeated_ids(spark):
     kept = sorted(((r.doc_id, r.doc_key, r.again) for r in got.collect()), key=str)
     assert [r for r in kept if r[1] in (3, 5)] in ([(5, 3, 4)], [(5, 5, 6)])
     assert sorted((r for r in kept if r[1] not in (3, 5)), key=str) == sorted([(6, 7, 8), (6, 7, 8), (None, 9, 9), (None, 0, 0)], key=str)
+
+
+def test_components_take_few_stages(spark):
+    """A path of 200 nodes in mixed order, a star and a pair."""
+    ids = [(i * 7919) % 200 for i in range(200)]
+    edges = [*zip(ids, ids[1:], strict=False), *((1000, n) for n in range(1001, 1100)), (5000, -7), (-7, 5000)]
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    before = tracker.jobsList(None).size()
+    got = {r["node"]: r["label"] for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: 0 for n in range(200)} | {n: 1000 for n in range(1000, 1100)} | {5000: -7, -7: -7}
+    assert tracker.jobsList(None).size() - before < 60
