@@ -36,6 +36,8 @@ SPARE = 15
 BUCKET_BYTES = 4 << 20
 #: Hashes of how many buckets a task probes at a time.
 RANGE_BUCKETS = 4
+#: Hashes of a range that are compared at a time, about.
+PIECE_HASHES = 250_000
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -106,6 +108,36 @@ def probes(docs: DataFrame, windows: R.Windows, ranges: int, bits: int) -> DataF
     return docs.groupBy("__bucket").applyInArrow(one, "__range long, __bucket long, grams binary, grid binary, many binary")
 
 
+def of_range(part: pa.Table) -> pa.RecordBatch:
+    """``hits`` of the rows of one range.  Hashes are compared by pieces of the range, which are
+    cut at the same values in every bucket."""
+    grams = [_unpacked(raw) for raw in part.column("grams").to_pylist()]
+    unflag = lambda name: [_unflagged(raw, len(g)) for raw, g in zip(part.column(name).to_pylist(), grams, strict=True)]
+    grid, many = unflag("grid"), unflag("many")
+    found = [np.zeros(len(g), bool) for g in grams]
+    low, high = min(int(g[0]) for g in grams), max(int(g[-1]) for g in grams)
+    pieces = 1 + sum(map(len, grams)) // PIECE_HASHES
+    edges = np.array([low + (high - low) * k // pieces for k in range(1, pieces)], np.uint64)
+    cuts = [[0, *np.searchsorted(g, edges).tolist(), len(g)] for g in grams]
+    for k in range(pieces):
+        spans = [slice(c[k], c[k + 1]) for c in cuts]
+        every = np.concatenate([g[s] for g, s in zip(grams, spans, strict=True)])
+        if not len(every):
+            continue
+        order = np.argsort(every, kind="stable")
+        head = R._starts(every[order])
+        at = np.flatnonzero(head)
+        twice, block = (np.concatenate([x[s] for x, s in zip(marks, spans, strict=True)])[order] for marks in (many, grid))
+        live = (np.add.reduceat(1 + twice.astype(np.int32), at) > 1) & np.logical_or.reduceat(block, at)
+        hit = np.zeros(len(every), bool)
+        hit[order] = live[head.cumsum() - 1]
+        for of, s, own in zip(found, spans, np.split(hit, np.cumsum([s.stop - s.start for s in spans])[:-1]), strict=True):
+            of[s] = own
+    own = [_packed(g[h]) if h.any() else None for g, h in zip(grams, found, strict=True)]
+    out = pa.record_batch({"__bucket": part.column("__bucket").combine_chunks(), "hits": pa.array(own, pa.binary())})
+    return out.filter(out.column("hits").is_valid())
+
+
 def hits(probes: DataFrame) -> DataFrame:
     """(__bucket, hits): of each bucket the windows that are a block of the grid in some
     document, and occur at another place besides.  Ranges are unpacked one at a time, however
@@ -116,21 +148,6 @@ def hits(probes: DataFrame) -> DataFrame:
         found = pa.Table.from_batches([of_range(part.slice(a, b - a)) for a, b in zip(at, at[1:], strict=False)]).combine_chunks().to_batches()
         return found[0] if found else None
 
-    def of_range(part: pa.Table) -> pa.RecordBatch:
-        grams = [_unpacked(raw) for raw in part.column("grams").to_pylist()]
-        size = np.array([len(g) for g in grams])
-        unflag = lambda name: np.concatenate([_unflagged(raw, n) for raw, n in zip(part.column(name).to_pylist(), size.tolist(), strict=True)])
-        every, grid, many = np.concatenate(grams), unflag("grid"), unflag("many")
-        order = np.argsort(every, kind="stable")
-        head = R._starts(every[order])
-        at = np.flatnonzero(head)
-        live = (np.add.reduceat(1 + many[order].astype(np.int64), at) > 1) & np.logical_or.reduceat(grid[order], at)
-        hit = np.zeros(len(every), bool)
-        hit[order] = live[head.cumsum() - 1]
-        own = [_packed(g[h]) if h.any() else None for g, h in zip(grams, np.split(hit, size.cumsum()[:-1]), strict=True)]
-        out = pa.record_batch({"__bucket": part.column("__bucket").combine_chunks(), "hits": pa.array(own, pa.binary())})
-        return out.filter(out.column("hits").is_valid())
-
     return R.by_group(probes, "__range", one, "__bucket long, hits binary")
 
 

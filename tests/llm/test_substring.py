@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from screenspark.llm import anchors as A
@@ -197,3 +198,24 @@ def test_ids_of_other_types_are_refused(spark):
     for f in (S.repeated_words, S.repeated_bytes, S.without_repeated_words):
         with pytest.raises(TypeError, match="integer"):
             f(df)
+
+
+def test_pieces_of_a_range_change_nothing(monkeypatch):
+    """However small the pieces are that a range is compared in, the hits are the same."""
+    rng = np.random.default_rng(3)
+    grams = [np.unique(rng.integers(0, 3000, 900)).astype(np.uint64) for _ in range(4)]
+    flags = [[rng.random(len(g)) < share for g in grams] for share in (0.3, 0.05)]
+    table = pa.table({
+        "__range": pa.array([5] * 4, pa.int64()), "__bucket": pa.array(range(4), pa.int64()), "grams": pa.array([A._packed(g) for g in grams], pa.binary()),
+        "grid": pa.array([A._flags(f) for f in flags[0]], pa.binary()), "many": pa.array([A._flags(f) for f in flags[1]], pa.binary()),
+    })
+    seen = {}
+    for g, grid, many in zip(grams, *flags, strict=True):
+        for x, a, b in zip(g.tolist(), grid.tolist(), many.tolist(), strict=True):
+            n, block = seen.get(x, (0, False))
+            seen[x] = n + 1 + b, block or a
+    expected = [[x for x in g.tolist() if seen[x][0] > 1 and seen[x][1]] for g in grams]
+    for most in (100, 1_000_000):
+        monkeypatch.setattr(A, "PIECE_HASHES", most)
+        out = A.of_range(table)
+        assert [A._unpacked(raw).tolist() for raw in out.column("hits").to_pylist()] == expected
