@@ -66,6 +66,37 @@ def test_deep_chains_strange_parents_and_cycles(spark):
         T.tour(ring.drop("parent_id"), ring)
 
 
+def test_places_of_screens_match_a_walk(spark):
+    """In one shuffle, without a checkpoint; parents in the rows or in a table of edges, screens
+    that run over batches, ids that are text, a deep chain, parents that are missing, cycles."""
+    rows = made(random.Random(3), screens=7, size=40) + [(9, k, k - 1 if k else None, 0, 0) for k in range(3000)]
+    df = spark.createDataFrame(rows, "state_id int, elem_id int, parent_id int, x1 int, y1 int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (before, "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for got in (T.placed(df), T.placed(df.drop("parent_id"), df)):
+                assert {(r.state_id, r.elem_id): (r.depth, r.pre_order, r.last) for r in got.collect()} == walked(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    text = df.withColumns({"elem_id": F.format_string("n%05d", "elem_id"), "parent_id": F.expr("'n' || lpad(parent_id, 5, '0')"), "state_id": F.expr("'s' || state_id")})
+    assert {(int(r.state_id[1:]), int(r.elem_id[1:])): (r.depth, r.pre_order, r.last) for r in T.placed(text).collect()} == walked(rows)
+    lost = spark.createDataFrame([(1, 1, 9, 0, 0), (1, 2, 1, 0, 0), (2, 9, None, 0, 0), (None, 1, None, 0, 0)], df.schema)
+    assert sorted((r.state_id, r.elem_id, r.parent_id, r.depth) for r in T.placed(lost).collect()) == [(1, 1, None, 0), (1, 2, 1, 1), (2, 9, None, 0)]
+    assert T.placed(df.where("false")).collect() == []
+    plan = T.placed(df.drop("parent_id"), df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Scan ExistingRDD" in plan
+    with pytest.raises(Exception, match="own ancestor"):  # when the rows are read
+        T.placed(spark.createDataFrame([(1, 1, 2, 0, 0), (1, 2, 1, 0, 0)], df.schema)).collect()
+
+
+def test_labels_take_one_shuffle(spark):
+    kind = f"state_id int, elem_id int, parent_id int, name string, control_type string, {BOX}, visible boolean"
+    df = spark.createDataFrame([(1, 0, None, "Window", "Window", 0, 0, 400, 300, True)], kind)
+    plan = H.labels(df, (0, 0, 400, 300), (400, 300))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window [" not in plan
+
+
 def test_nested_trees_come_back(spark, tmp_path):
     """Depth 700, odd letters, missing nodes and several top nodes, written and read again."""
     rows = [(1, f"n{k}", f"n{k - 1}" if k else None, k, k, k + 9, k + 9, 'say "é"\n\\' if k % 2 else None) for k in range(700)]
