@@ -23,7 +23,7 @@ _WALK = """, kid AS (SELECT b.*, e.parent_id, row_number() OVER (PARTITION BY b.
     ),
 )
 def tree_intervals(spark, sf):
-    return tours.tour(boxes(spark, sf), smallest_parents(spark, sf)).select("state_id", "elem_id", "depth", "pre_order", "last")
+    return tours.placed(boxes(spark, sf).select("state_id", "elem_id", "x1", "y1"), smallest_parents(spark, sf)).select("state_id", "elem_id", "depth", "pre_order", "last")
 
 
 @query(
