@@ -112,12 +112,13 @@ def groups(leaves: DataFrame, by: list[str], tolerance: int = 10) -> DataFrame:
 def tree_order(df: DataFrame, edges: DataFrame, on: str = "state_id") -> DataFrame:
     """Adds ``reading_pos`` from 0: the children of every node in reading order, each followed by
     what it holds, so a container is never mixed with its neighbours."""
-    from . import tree
+    from . import tours
 
     placed = df.join(edges.where("parent_id is not null").select(on, "elem_id", F.col("parent_id").alias("_parent")), [on, "elem_id"], "left")
     sides = reading_order(placed, [on, "_parent"]).withColumnRenamed("reading_pos", "_side")
-    order = tree.child_order(sides, edges, on, [F.col("_side")]).select(on, "elem_id", F.col("pre_order").alias("reading_pos"))
-    return df.join(order, [on, "elem_id"])
+    own = [F.col("_own")] if "parent_id" in df.columns else []
+    walked = tours.placed((sides.withColumn("_own", F.col("parent_id")) if own else sides).withColumn("parent_id", F.col("_parent")), None, on, [F.col("_side"), F.col("elem_id")])
+    return walked.select(*[F.col("_own" if own and c == "parent_id" else c).alias(c) for c in df.columns], F.col("pre_order").alias("reading_pos"))
 
 
 def corners(x: Column, y: Column, name: Column) -> list[Column]:

@@ -144,16 +144,12 @@ def apply_edits(nodes: DataFrame, changes: DataFrame, on: str = "state_id") -> D
 
 def child_order(nodes: DataFrame, edges: DataFrame, on: str = "state_id", order: list[Column] | None = None) -> DataFrame:
     """(on, elem_id, depth, pre_order): depth-first places from 0, children of a node by
-    ``order`` (top, then left, then id).  A node's key is the array of the ranks of its
-    ancestors among their siblings and its own; keys sort in depth-first order."""
+    ``order`` (top, then left, then id), worked out screen by screen."""
+    from . import tours
+
     order = order or [F.col("y1"), F.col("x1"), F.col("elem_id")]
-    above = edges.where("parent_id is not null").select(on, "elem_id", "parent_id")
-    placed = nodes.join(above, [on, "elem_id"], "left")
-    rank = F.row_number().over(Window.partitionBy(on, "parent_id").orderBy(*order))
-    at = placed.select(on, "elem_id", F.col("parent_id").alias("up"), F.array(rank).alias("key"))
-    keyed = climb(at, on, {"key": lambda own, above: F.concat(F.coalesce(above, F.array().cast("array<int>")), own)})
-    place = F.row_number().over(Window.partitionBy(on).orderBy("key", "elem_id")) - 1
-    return keyed.select(on, "elem_id", (F.size("key") - 1).cast("long").alias("depth"), place.cast("long").alias("pre_order"))
+    nodes = nodes.select(on, "elem_id", F.struct(*order).alias("_order"))
+    return tours.placed(nodes, edges.select(on, "elem_id", "parent_id"), on, [F.col("_order"), F.col("elem_id")]).select(on, "elem_id", "depth", "pre_order")
 
 
 def edit_scores(predicted: DataFrame, expected: DataFrame, key: list[str], by: list[str]) -> DataFrame:

@@ -21,3 +21,16 @@ def test_two_leaves_in_one_cell_are_no_grid(spark):
     rows = [(1, 1, 0, 0, 10, 10), (1, 2, 2, 2, 12, 12), (1, 3, 50, 0, 60, 10), (1, 4, 0, 40, 10, 50), (1, 5, 50, 40, 60, 50)]
     df = spark.createDataFrame(rows, "state_id int, elem_id int, x1 int, y1 int, x2 int, y2 int")
     assert {r.kind for r in L.groups(df, ["state_id"]).collect()} == {"row", "column"}
+
+
+def test_tree_order_joins_once_and_keeps_columns(spark):
+    """Places come from one pass over each screen, not from rounds that are joined again."""
+    from screenspark.operators import layout
+
+    rows = [(1, 1, 0, 0, 90, 90), (1, 2, 5, 60, 20, 80), (1, 3, 40, 5, 80, 20), (1, 4, 0, 200, 9, 209), (2, 1, 0, 0, 9, 9)]
+    df = spark.createDataFrame(rows, "state_id int, elem_id int, x1 int, y1 int, x2 int, y2 int")
+    edges = spark.createDataFrame([(1, 2, 1), (1, 3, 1)], "state_id int, elem_id int, parent_id int")
+    got = layout.tree_order(df, edges)
+    assert got.columns == [*df.columns, "reading_pos"]
+    assert {(r.state_id, r.elem_id): r.reading_pos for r in got.collect()} == {(1, 1): 0, (1, 3): 1, (1, 2): 2, (1, 4): 3, (2, 1): 0}
+    assert got._jdf.queryExecution().executedPlan().toString().count("Join ") == 1
