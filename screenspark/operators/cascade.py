@@ -37,11 +37,14 @@ def lexical(on: str = "state_id", width: Column | None = None, height: Column |
     """The best element by shared words, if it clears the floor and leads by the margin."""
 
     def answer(asked: DataFrame, elements: DataFrame) -> DataFrame:
-        ranked = checkpoint(locator.rank(asked.select(on, F.col("step").alias("desc_id"), "description"), elements, on, width, height))
-        sure = locator.confident(ranked, on, floor, margin).select("desc_id", on, "elem_id")
-        best = ranked.where("place = 1").select("desc_id", on, F.col("score").alias("top"))
-        told = ranked.join(best, ["desc_id", on]).groupBy("desc_id", on, "top").agg(F.count_if(F.col("top") - F.col("score") < margin - 1e-9).alias("tied"))
-        said = asked.select(F.col("step").alias("desc_id"), on).join(told, ["desc_id", on], "left").join(sure, ["desc_id", on], "left")
+        # All scores of a description lie on one screen, so they are told in one group.
+        scored = locator.scores(asked.select(on, F.col("step").alias("desc_id"), "description"), elements, on, width, height)
+        first, each = F.min_by("elem_id", F.struct(-F.col("score"), "elem_id")), F.sort_array(F.collect_list(F.when(F.col("score") > 0, F.col("score"))), False)
+        told = scored.groupBy("desc_id", on).agg(first.alias("best"), each.alias("scores")).where("size(scores) > 0").withColumn("top", F.col("scores")[0])
+        second, tied = F.try_element_at("scores", F.lit(2)), F.size(F.filter("scores", lambda s: F.col("top") - s < margin - 1e-9)).cast("long")
+        leads = (F.col("top") >= floor) & (second.isNull() | (F.col("top") - second >= margin - 1e-9))
+        sure = told.select("desc_id", on, "top", tied.alias("tied"), F.when(leads, F.col("best")).alias("elem_id"))
+        said = asked.select(F.col("step").alias("desc_id"), on).join(sure, ["desc_id", on], "left")
         low = F.format_string(f"best score %.2f < {floor}", "top")
         reason = F.when(F.col("elem_id").isNotNull(), F.format_string("score %.2f", "top")).when(F.col("top").isNull(), "no element shares a token or a kind").when(F.col("top") < floor, low)
         return said.select(F.col("desc_id").alias("step"), on, "elem_id", F.coalesce(reason, F.format_string("tie at %.2f between %d candidates", "top", "tied")).alias("reason"))
