@@ -123,4 +123,4 @@ def summary(results: DataFrame, by: list[str]) -> DataFrame:
 
 def similar_texts(pairs: DataFrame, least: float = 0.6) -> DataFrame:
     """Pairs whose matching-block similarity is at least that, with the score."""
-    return pairs.withColumn("similarity", X.similarity("pred_text", "gt_text")).where(F.col("similarity") >= least)
+    return pairs.withColumn("similarity", X.similarity(F.col("pred_text"), F.col("gt_text"), least)).where(F.col("similarity") >= least)
